@@ -1,0 +1,7 @@
+"""Model classes by name, for loading snapshots and naming experiments."""
+
+from __future__ import annotations
+
+from affinis.models.base import FactorModel, ZeroModel
+
+KINDS = {c.__name__: c for c in (FactorModel, ZeroModel)}

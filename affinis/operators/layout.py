@@ -1,0 +1,147 @@
+"""Where rows live: scratch tables, checked broadcasts and skew-safe layouts."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SCRATCH_CONF = "spark.checkpoint.dir"
+# Largest table we ship to every executor on our own account. Anything larger
+# goes through a shuffle join, where adaptive execution splits skewed keys.
+BROADCAST_BYTES = 32 << 20
+# A key with more rows than this is spread over several tasks.
+ROWS_PER_SLOT = 1_000_000
+
+_local_scratch: str | None = None
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """Shared folder for written intermediates, as named by the session.
+
+    Only a local-mode session without the setting gets a private temporary
+    folder; on a cluster a missing setting is an error, because executors on
+    other machines could not read such a folder.
+    """
+    global _local_scratch
+    named = spark.conf.get(SCRATCH_CONF, None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {SCRATCH_CONF} to a folder that all executors share")
+    if _local_scratch is None:
+        _local_scratch = tempfile.mkdtemp(prefix="affinis-")
+        atexit.register(shutil.rmtree, _local_scratch, ignore_errors=True)
+    return _local_scratch
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    app = spark.sparkContext.applicationId
+    return f"{scratch_dir(spark).rstrip('/')}/affinis/{app}/{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the scratch folder and read it back.
+
+    Cuts lineage, survives the loss of executors, and gives the optimizer a
+    true size for the next join.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def fits_broadcast(rows: int, row_bytes: int) -> bool:
+    return rows * row_bytes <= BROADCAST_BYTES
+
+
+def task_count(spark: SparkSession) -> int:
+    """Tasks for Python-heavy stages; fixed so small inputs still use all cores."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+class RatingStore:
+    """Ratings held once, laid out by user and by item for repeated sweeps.
+
+    ``by(key)`` hash-partitions on ``(key, slot)`` and sorts on it. ``slot`` is 0
+    except for keys above ``rows_per_slot`` rows, whose rows are spread over
+    several slots by a hash of the other id, so that a key holding a third of
+    the table is worked on by many tasks. Partial results per slot are merged
+    by the caller (see ``normal.half_sweep``).
+    """
+
+    KEYS = {"user": "item", "item": "user"}
+
+    def __init__(self, ratings: DataFrame, rows_per_slot: int = ROWS_PER_SLOT):
+        self.spark = ratings.sparkSession
+        self.df = ratings.persist(StorageLevel.MEMORY_AND_DISK)
+        row = self.df.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.max("user").alias("u"),
+            F.max("item").alias("i"),
+            F.avg("rating").alias("m"),
+        ).first()
+        if row["n"] == 0:
+            raise ValueError("no ratings to fit")
+        self.n_ratings, self.mean = row["n"], row["m"]
+        self.top_id = {"user": row["u"], "item": row["i"]}
+        self.rows_per_slot = rows_per_slot
+        self._laid: dict[str, DataFrame] = {}
+        self._hot: dict[str, bool] = {}
+
+    def max_rows(self, key: str) -> int:
+        """Upper bound on distinct ids of ``key`` (ids are not negative)."""
+        return min(self.n_ratings, int(self.top_id[key]) + 1)
+
+    def is_split(self, key: str) -> bool:
+        self.by(key)
+        return self._hot[key]
+
+    def by(self, key: str) -> DataFrame:
+        if key in self._laid:
+            return self._laid[key]
+        other = self.KEYS[key]
+        rows, self._hot[key] = self.df.withColumn("slot", F.lit(0)), False
+        if self.n_ratings > self.rows_per_slot:
+            # At most n / per_slot keys can be hot; per_slot grows with n so that
+            # the broadcast below never exceeds 100,000 rows.
+            per_slot = max(self.rows_per_slot, -(-self.n_ratings // 100_000))
+            hot = (
+                self.df.groupBy(key).count().where(F.col("count") > per_slot)
+                .select(key, F.ceil(F.col("count") / per_slot).alias("slots"))
+            )
+            hot = materialise(hot, f"hot-{key}")
+            if hot.limit(1).count():
+                self._hot[key] = True
+                slot = F.coalesce(F.pmod(F.xxhash64(other), F.col("slots")), F.lit(0)).cast("int")
+                rows = self.df.join(F.broadcast(hot), key, "left").withColumn("slot", slot).drop("slots")
+        laid = (
+            rows.repartition(task_count(self.spark), key, "slot")
+            .sortWithinPartitions(key, "slot")
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        )
+        self._laid[key] = laid
+        return laid
+
+    def attach(self, key: str, table: DataFrame, width: int) -> DataFrame:
+        """Ratings grouped by ``key`` with the other side's factor row attached.
+
+        A factor table proved small is broadcast and the stored layout is used
+        as it is: no shuffle. Otherwise one shuffle join on the other id (split
+        by AQE where skewed) and one exchange back to ``(key, slot)``.
+        """
+        other = self.KEYS[key]
+        if fits_broadcast(self.max_rows(other), 8 * (width + 4)):
+            return self.by(key).join(F.broadcast(table), other)
+        joined = self.by(key).join(table, other)
+        return joined.repartition(task_count(self.spark), key, "slot").sortWithinPartitions(key, "slot")
+
+    def release(self) -> None:
+        for df in [self.df, *self._laid.values()]:
+            df.unpersist()
