@@ -70,6 +70,10 @@ class FactorModel(Model):
         )
         return self.clip(total)
 
+    def user_rows(self, users: DataFrame) -> DataFrame:
+        """Factor rows of the given users; unknown users are absent."""
+        return self.users.join(users.select("user").distinct(), "user", "left_semi")
+
     def predict(self, pairs: DataFrame, users: DataFrame | None = None) -> DataFrame:
         users = self.users if users is None else users
         u = users.select("user", F.col("bias").alias("ub"), F.col("f").alias("uf"))

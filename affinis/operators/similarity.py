@@ -314,13 +314,14 @@ def nearest_raters(pairs: DataFrame, ratings: DataFrame, k: int, block: int = BL
 
 
 def nearest_vectors(
-    vectors: DataFrame, dim: int, k: int, queries: DataFrame | None = None, block: int = BLOCK,
+    vectors: DataFrame, dim: int, k: int, queries: DataFrame | None = None, skip_self: bool = False,
+    block: int = BLOCK,
 ) -> DataFrame:
     """user, neighbor, distance, f: the k nearest rows by Euclidean distance.
 
-    ``vectors`` has user and f; ``queries`` the same, else the vectors
-    themselves with each row's own id excluded. The neighbour's vector comes
-    along, so that averaging needs no further join.
+    ``vectors`` has user and f; ``queries`` the same, by default the vectors
+    themselves. ``skip_self`` excludes a row's own id. The neighbour's vector
+    comes along, so that averaging needs no further join.
     """
     ask = vectors if queries is None else queries
     b, bl = _blocks_for(vectors, block), _blocks_for(ask, block)
@@ -335,7 +336,6 @@ def nearest_vectors(
     rows = side(ask, LEFT, bl, b).unionByName(side(vectors, RIGHT, b, bl))
     tiles = rows.repartition(min(bl * b, 16 * task_count(rows.sparkSession)), "a", "b").sortWithinPartitions(
         "a", "b", "side", "user")
-    skip_self = queries is None
 
     def emit(parts):
         sides = [p[0] for p in parts], [p[1] for p in parts], [p[2] for p in parts]
