@@ -129,18 +129,25 @@ class RatingStore:
         self._laid[key] = laid
         return laid
 
-    def attach(self, key: str, table: DataFrame, width: int) -> DataFrame:
-        """Ratings grouped by ``key`` with the other side's factor row attached.
+    def attach(self, key: str, table: DataFrame, width: int, own: DataFrame | None = None, own_width: int = 0) -> DataFrame:
+        """Ratings grouped by ``key`` with the other side's factor row attached,
+        and optionally a table of the key's own attributes.
 
-        A factor table proved small is broadcast and the stored layout is used
-        as it is: no shuffle. Otherwise one shuffle join on the other id (split
-        by AQE where skewed) and one exchange back to ``(key, slot)``.
+        Tables proved small are broadcast and the stored layout is used as it
+        is: no shuffle. Otherwise shuffle joins (split by AQE where skewed) and
+        one exchange back to ``(key, slot)``.
         """
         other = self.KEYS[key]
-        if fits_broadcast(self.max_rows(other), 8 * (width + 4)):
-            return self.by(key).join(F.broadcast(table), other)
-        joined = self.by(key).join(table, other)
-        return joined.repartition(task_count(self.spark), key, "slot").sortWithinPartitions(key, "slot")
+        small = fits_broadcast(self.max_rows(other), 8 * (width + 4))
+        if own is not None:
+            small = small and fits_broadcast(self.max_rows(key), 8 * (own_width + 4))
+        if small:
+            rows = self.by(key).join(F.broadcast(table), other)
+            return rows if own is None else rows.join(F.broadcast(own), key, "left")
+        rows = self.by(key).join(table, other)
+        if own is not None:
+            rows = rows.join(own, key, "left")
+        return rows.repartition(task_count(self.spark), key, "slot").sortWithinPartitions(key, "slot")
 
     def release(self) -> None:
         for df in [self.df, *self._laid.values()]:

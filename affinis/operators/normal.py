@@ -159,14 +159,18 @@ def key_statistics(rows: DataFrame, k: int, split: bool) -> DataFrame:
 def half_sweep(
     store: RatingStore, key: str, k: int, solver: Solver, *, target: Column, regressors: Column,
     fixed: DataFrame | None = None, prior: DataFrame | None = None, fixed_width: int | None = None,
+    own: DataFrame | None = None, own_width: int = 0,
 ) -> DataFrame:
     """Solve every ``key`` against the other side; returns ``key, bias, f``.
 
     ``fixed`` is the other side's table, joined before ``target`` and
-    ``regressors`` are evaluated. ``prior`` (key, bias) gives the solver the
-    bias of the previous sweep.
+    ``regressors`` are evaluated, and ``own`` a table of the key itself.
+    ``prior`` (key, bias) gives the solver the bias of the previous sweep.
     """
-    rows = store.by(key) if fixed is None else store.attach(key, fixed, k if fixed_width is None else fixed_width)
+    if fixed is None:
+        rows = store.by(key)
+    else:
+        rows = store.attach(key, fixed, k if fixed_width is None else fixed_width, own, own_width)
     rows = rows.select(F.col(key).alias("key"), target.alias("y"), regressors.alias("x"))
     split = store.is_split(key)
     if prior is None and not split:
@@ -271,3 +275,72 @@ def times_matrix(table: DataFrame, m: np.ndarray, vec: str = "f") -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
     return table.mapInArrow(multiply, table.schema)
+
+
+def gradient_steps(k: int, intercept_start: np.ndarray, epochs: int, rate: float, penalty: float, burst: int) -> Solver:
+    """Gradient descent on one key's bias and factors with the other side fixed.
+
+    The gradient depends on the ratings only through the normal-equation sums,
+    so all epochs run on them without touching the ratings again. The bias
+    starts at the prior, the factors at ``intercept_start``.
+    """
+
+    def solver(n, gram, rhs, prior):
+        f = np.tile(np.asarray(intercept_start, dtype=float), (len(n), 1))
+        bias = prior.astype(float).copy()
+        step = rate * np.minimum(n, burst) / n
+        g, sums = gram[:, :k, :k], gram[:, :k, k]
+        for _ in range(epochs):
+            e = n * bias + (sums * f).sum(axis=1) - rhs[:, k]
+            grad = np.einsum("mij,mj->mi", g, f) + bias[:, None] * sums - rhs[:, :k]
+            bias -= step * (e + penalty * n * bias)
+            f -= step[:, None] * (grad + penalty * n[:, None] * f)
+        return bias, f
+
+    return solver
+
+
+def lasso(k: int, alpha: float, with_bias: bool, method: str = "descent", rounds: int = 1000, tol: float = 1e-9) -> Solver:
+    """min 1/(2n) |y - b - x w|^2 + alpha |w|_1 for every key at once.
+
+    ``descent``: cyclic coordinate descent until no weight moves. ``ista``:
+    exactly ``rounds`` proximal steps of length n / trace.
+    """
+
+    def shrink(v, t):
+        return np.sign(v) * np.maximum(np.abs(v) - t, 0.0)
+
+    def solver(n, gram, rhs, prior):
+        sums = gram[:, :k, k] if with_bias else np.zeros((len(n), k))
+        sy = rhs[:, k] if with_bias else np.zeros(len(n))
+        g = (gram[:, :k, :k] - sums[:, :, None] * sums[:, None, :] / n[:, None, None]) / n[:, None, None]
+        b = (rhs[:, :k] - sums * (sy / n)[:, None]) / n[:, None]
+        w = np.zeros((len(n), k))
+        diagonal = np.einsum("mii->mi", g)
+        # Columns without spread carry rounding noise only; they keep weight 0.
+        live = diagonal > 1e-12
+        if method == "ista":
+            size = np.maximum(diagonal.sum(axis=1), 1e-12)[:, None]
+            for _ in range(rounds):
+                w = shrink(w - (np.einsum("mij,mj->mi", g, w) - b) / size, alpha / size)
+        else:
+            safe = np.where(live, diagonal, 1.0)
+            for _ in range(rounds):
+                moved = 0.0
+                for j in range(k):
+                    rest = b[:, j] - np.einsum("mi,mi->m", g[:, j], w) + diagonal[:, j] * w[:, j]
+                    new = np.where(live[:, j], shrink(rest, alpha) / safe[:, j], 0.0)
+                    moved = max(moved, np.abs(new - w[:, j]).max())
+                    w[:, j] = new
+                if moved < tol:
+                    break
+        bias = (sy - (sums * w).sum(axis=1)) / n
+        return bias, w
+
+    return solver
+
+
+def pooled_statistics(rows: DataFrame, k: int) -> DataFrame:
+    """Sums for a few, mostly hot keys: added up inside each task first, so that
+    only one row per task and key is shuffled."""
+    return key_statistics(rows.sortWithinPartitions("key"), k, split=True)

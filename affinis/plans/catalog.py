@@ -1,4 +1,4 @@
 """Importing the plan modules registers their queries."""
 
-from affinis.plans import least_squares, neighbourhood, preparation, spectral, statistics  # noqa: F401
+from affinis.plans import least_squares, neighbourhood, preparation, spectral, statistics, trained  # noqa: F401
 from affinis.plans.registry import ORACLES, QUERIES  # noqa: F401
