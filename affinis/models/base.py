@@ -33,9 +33,15 @@ class Model:
         """
         for label, df in self.tables.items():
             df.write.mode("overwrite").parquet(f"{path}/{label}")
-        spark = next(iter(self.tables.values())).sparkSession
-        write_text(spark, f"{path}/manifest.json", json.dumps(
-            {"kind": type(self).__name__, "name": self.name, "params": self.params, "tables": list(self.tables)}))
+        for label, part in self.parts().items():
+            part.save(f"{path}/{label}")
+        manifest = {"kind": type(self).__name__, "name": self.name, "params": self.params,
+                    "tables": list(self.tables), "parts": list(self.parts())}
+        write_text(SparkSession.active(), f"{path}/manifest.json", json.dumps(manifest))
+
+    def parts(self) -> dict[str, Model]:
+        """Models this one is made of, saved along with it."""
+        return {}
 
 
 @dataclass
@@ -100,7 +106,8 @@ def load(spark: SparkSession, path: str) -> Model:
     manifest = json.loads(read_text(spark, f"{path}/manifest.json"))
     kind = registry.KINDS[manifest["kind"]]
     tables = {t: spark.read.parquet(f"{path}/{t}") for t in manifest["tables"]}
-    return kind(manifest["name"], tables, manifest["params"])
+    parts = {p: load(spark, f"{path}/{p}") for p in manifest["parts"]}
+    return kind(manifest["name"], tables, manifest["params"], **parts)
 
 
 def delete_snapshot(spark: SparkSession, path: str) -> None:

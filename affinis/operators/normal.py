@@ -144,16 +144,20 @@ def key_statistics(rows: DataFrame, k: int, split: bool) -> DataFrame:
             yield _stats_batch(*part)
 
     stats = rows.mapInArrow(sums, STATS)
-    if split:
-        def merge(it):
-            for part in _merge(it, k):
-                yield _stats_batch(*part)
-
-        stats = (
-            stats.repartition(task_count(rows.sparkSession), "key")
-            .sortWithinPartitions("key").mapInArrow(merge, STATS)
-        )
-    return stats
+    return merge_statistics(stats, k) if split else stats
+
+
+def merge_statistics(stats: DataFrame, k: int) -> DataFrame:
+    """Add up the partial sums of a key."""
+
+    def merge(it):
+        for part in _merge(it, k):
+            yield _stats_batch(*part)
+
+    return (
+        stats.select("key", "n", "gram", "rhs").repartition(task_count(stats.sparkSession), "key")
+        .sortWithinPartitions("key").mapInArrow(merge, STATS)
+    )
 
 
 def half_sweep(
@@ -214,6 +218,21 @@ def ridge(k: int, penalty: float) -> Solver:
     return solver
 
 
+def ridge_around_mean(k: int, penalty: float) -> Solver:
+    """Ridge on ratings centred by the key's own mean, which becomes its bias.
+
+    The sums are over raw ratings: sum (r - m) x = sum r x - m sum x.
+    """
+
+    def solver(n, gram, rhs, prior):
+        mean = rhs[:, k] / n
+        a = gram[:, :k, :k] + (penalty * n)[:, None, None] * np.eye(k)
+        b = rhs[:, :k] - mean[:, None] * gram[:, :k, k]
+        return mean, np.linalg.solve(a, b[:, :, None])[:, :, 0]
+
+    return solver
+
+
 def ridge_with_bias(k: int, penalty: float, intercept: float) -> Solver:
     """Factors against the previous bias, then the shrunken mean residual as the new bias."""
 

@@ -1,0 +1,120 @@
+"""Top-k items for a group of users.
+
+For models whose score is linear in the user's row the group mean is taken
+first: mean(b_u) + mean(u).v + c_i needs one aggregate over the group and one
+pass over the items, never group x items.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from affinis.functions.vectors import dot, elem, literal_vector
+from affinis.models.base import FactorModel, Model
+from affinis.operators.prepare import dense_ids
+
+USERS_PER_SLOT = 256
+# Up to this many rows the final numbering happens in one small task.
+SMALL_TOP = 10_000
+
+
+def group_grid(users: DataFrame, items: DataFrame) -> DataFrame:
+    """(user, item) for every member and candidate, as an equi-join on a slot.
+
+    Members are dealt to slots of bounded size and candidates are repeated once
+    per slot, so each task holds a few hundred members at most.
+    """
+    members = users.select("user").distinct()
+    slots = max(1, math.ceil(members.count() / USERS_PER_SLOT))
+    dealt = members.withColumn("slot", F.pmod(F.xxhash64("user"), F.lit(slots)).cast("int"))
+    spread = items.select("item", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    return spread.join(dealt, "slot").select("user", "item")
+
+
+def _group_row(model: FactorModel, users: DataFrame | None, extra: DataFrame | None):
+    """Mean bias and mean factors of known and folded-in members: k + 1 numbers."""
+    k = model.params["k"]
+    parts = []
+    if users is not None:
+        parts.append(users.select("user").join(model.user_rows(users).select("user", "bias", "f"), "user", "left"))
+    if extra is not None:
+        parts.append(extra.select("user", "bias", "f"))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    row = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("bias", F.lit(0.0))).alias("b"),
+        *[F.sum(F.coalesce(elem(F.col("f"), j), F.lit(0.0))).alias(f"c{j}") for j in range(k)]).first()
+    if row["n"] == 0:
+        raise ValueError("the group is empty")
+    return row["b"] / row["n"], [row[f"c{j}"] / row["n"] for j in range(k)]
+
+
+def item_scores(
+    model: Model, users: DataFrame | None, extra: DataFrame | None = None, items: DataFrame | None = None,
+    pushdown: bool = True,
+) -> DataFrame:
+    """item, score: mean prediction over the group for every candidate."""
+    if users is None and extra is None:
+        raise ValueError("the group is empty")
+    if pushdown and model.bilinear and model.params.get("low") is None:
+        bias, f = _group_row(model, users, extra)
+        cand = model.items.select("item", "bias", "f")
+        if items is not None:
+            cand = items.select("item").distinct().join(cand, "item", "left")
+        k = model.params["k"]
+        score = F.lit(float(model.params["intercept"]) + float(bias)) + F.coalesce("bias", F.lit(0.0)) + F.coalesce(
+            dot(F.col("f"), literal_vector(f), k) if k else F.lit(0.0), F.lit(0.0))
+        return cand.select("item", score.alias("score"))
+    if items is None:
+        items = model.items.select("item") if isinstance(model, FactorModel) else None
+    if items is None:
+        raise ValueError("this model needs the candidate items")
+    items = items.select("item").distinct()
+    if users is not None and extra is None and hasattr(model, "item_scores"):
+        members = users.select("user").distinct()
+        n = members.count()
+        if n == 0:
+            raise ValueError("the group is empty")
+        known = model.item_scores(members).groupBy("item").agg((F.sum("prediction") / n).alias("score"))
+        return items.join(known, "item", "left").fillna(0.0, ["score"])
+    scored = []
+    if users is not None:
+        scored.append(model.predict(group_grid(users, items)))
+    if extra is not None:
+        scored.append(model.predict(group_grid(extra, items), extra))
+    stacked = scored[0] if len(scored) == 1 else scored[0].unionByName(scored[1])
+    return stacked.groupBy("item").agg(F.avg("prediction").alias("score"))
+
+
+def top(scores: DataFrame, k: int | None) -> DataFrame:
+    """rank, item, score, best first; equal scores put the larger id first."""
+    order = [F.desc_nulls_last("score"), F.desc("item")]
+    if k == 0:
+        return scores.select(F.lit(0).cast("bigint").alias("rank"), "item", "score").where(F.lit(False))
+    if k is not None and k <= SMALL_TOP:
+        first = scores.orderBy(*order).limit(k)
+        return first.select(F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("rank"), "item", "score")
+    lowest = F.lit(float("-inf"))
+    numbered = dense_ids(scores.select("item", "score"), [-F.coalesce("score", lowest), -F.col("item")], "__r", "ranked")
+    ranked = numbered.select((F.col("__r") + 1).alias("rank"), "item", "score")
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
+
+
+def recommend(
+    model: Model, users: DataFrame | None, extra: DataFrame | None = None, items: DataFrame | None = None,
+    k: int | None = None, method: str = "mean", exclude_seen: DataFrame | None = None, pushdown: bool = True,
+) -> DataFrame:
+    """The ``k`` best items (all when None) for known and folded-in members.
+
+    Only the mean is defined as combination. ``exclude_seen`` (a ratings table)
+    leaves out what a known member has rated; by default nothing is left out.
+    """
+    if method != "mean":
+        raise NotImplementedError(f"combination {method!r}")
+    scores = item_scores(model, users, extra, items, pushdown)
+    if exclude_seen is not None and users is not None:
+        seen = exclude_seen.join(users.select("user").distinct(), "user", "left_semi").select("item").distinct()
+        scores = scores.join(seen, "item", "left_anti")
+    return top(scores, k)
