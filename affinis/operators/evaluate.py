@@ -125,6 +125,7 @@ def compare_models(
                 F.lit(label).alias("model"), F.lit(split).alias("split"), "user", "item", "rating",
                 F.nullif("prediction", F.lit(float("nan"))).alias("prediction"))
             scored.append(materialise(out, "scored"))
+    ratings.unpersist()
     return metrics(reduce(DataFrame.unionByName, scored), names, ["model", "split"])
 
 

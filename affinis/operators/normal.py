@@ -45,6 +45,26 @@ def unpack(flat: np.ndarray, k: int) -> np.ndarray:
     return full
 
 
+def _gram_runs(x: np.ndarray, starts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Packed x'x of every run of rows. Long runs go to BLAS one by one; where
+    runs are short, products are formed for many rows at once, in slices so that
+    a wide model does not multiply a whole batch by k*k."""
+    out = np.zeros((len(starts), len(i)))
+    if len(x) >= 4 * len(starts):
+        square = np.empty((x.shape[1], x.shape[1]))
+        for g, (lo, hi) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(x)])):
+            np.dot(x[lo:hi].T, x[lo:hi], out=square)
+            out[g] = square[i, j]
+        return out
+    step = max(1, 4_000_000 // len(i))
+    for lo in range(0, len(x), step):
+        part = x[lo:lo + step]
+        run = np.searchsorted(starts, np.arange(lo, lo + len(part)), side="right") - 1
+        cut = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        out[run[cut]] += np.add.reduceat(part[:, i] * part[:, j], cut, axis=0)
+    return out
+
+
 def _partials(batches: Iterator[pa.RecordBatch], k: int):
     """Yield ``(keys, n, gram, rhs)`` for runs of equal keys, complete within the
     partition because its rows are sorted by key. Memory: one batch."""
@@ -61,15 +81,7 @@ def _partials(batches: Iterator[pa.RecordBatch], k: int):
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         keys = key[starts]
         n = np.diff(np.r_[starts, len(key)])
-        # A batch has 10,000 rows by default: products are formed in slices so
-        # that a wide model does not multiply that by k*k all at once.
-        gram = np.zeros((len(keys), len(i)))
-        step = max(1, 4_000_000 // len(i))
-        for lo in range(0, len(key), step):
-            part = x[lo:lo + step]
-            seg = np.searchsorted(starts, np.arange(lo, lo + len(part)), side="right") - 1
-            cut = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-            gram[seg[cut]] += np.add.reduceat(part[:, i] * part[:, j], cut, axis=0)
+        gram = _gram_runs(x, starts, i, j)
         rhs = np.add.reduceat(x * y[:, None], starts, axis=0)
         if held is not None:
             if held[0][0] == keys[0]:

@@ -150,19 +150,35 @@ class _Tile:
         ir, rater, rr = it[rm], user[rm], rating[rm]
         asked, who, what = it[lm], user[lm], item[lm]
         li, ri = np.searchsorted(self.left, who), np.searchsorted(self.right, rater)
-        n_right = np.bincount(ir, minlength=it[-1] + 1)
-        for i, j in _expand(li, n_right, np.cumsum(n_right) - n_right, asked):
-            sim = self.sim[li[i], ri[j]]
-            order = np.lexsort((rater[j], -sim, i))
-            i, j, sim = i[order], j[order], sim[order]
-            first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-            rank = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
-            keep = rank < self.k
-            i, j = i[keep], j[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(who[i]), pa.array(what[i]), pa.array(rater[j]), pa.array(sim[keep]), pa.array(rr[j])],
+        n_left, n_right = np.bincount(asked, minlength=it[-1] + 1), np.bincount(ir, minlength=it[-1] + 1)
+        start_left, start_right = np.cumsum(n_left) - n_left, np.cumsum(n_right) - n_right
+
+        def out(i, j, sim):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(who[i]), pa.array(what[i]), pa.array(rater[j]), pa.array(sim), pa.array(rr[j])],
                 names=["user", "item", "rater", "sim", "rating"])
 
+        # Popular items: one block of similarities each, cut down to the k-th
+        # best value before anything is sorted.
+        wide = (n_left * n_right >= 4096) & (n_right > self.k)
+        for t in np.flatnonzero(wide):
+            i = np.arange(start_left[t], start_left[t] + n_left[t])
+            j = np.arange(start_right[t], start_right[t] + n_right[t])
+            sim = self.sim[np.ix_(li[i], ri[j])]
+            least = -np.partition(-sim, self.k - 1, axis=1)[:, self.k - 1]
+            row, col = np.nonzero(sim >= least[:, None])
+            yield from self._ranked(i[row], j[col], sim[row, col], rater, out)
+        for i, j in _expand(li, np.where(wide, 0, n_right), start_right, asked):
+            yield from self._ranked(i, j, self.sim[li[i], ri[j]], rater, out)
+
+    def _ranked(self, i, j, sim, rater, out):
+        order = np.lexsort((rater[j], -sim, i))
+        i, j, sim = i[order], j[order], sim[order]
+        first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        rank = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
+        keep = rank < self.k
+        yield out(i[keep], j[keep], sim[keep])
+
     def _best(self, sim, rows, cols):
         if self.k is not None and self.k < len(cols):
             order = np.argsort(-sim, axis=1, kind="stable")[:, : self.k]
@@ -244,7 +260,11 @@ def _tiles(rows: DataFrame, count: int) -> DataFrame:
 
 
 def _blocks_for(users: DataFrame, block: int) -> int:
-    return max(1, math.ceil(users.count() / block))
+    """Blocks of at most about ``block`` users, and enough of them to give every
+    task a tile unless that would make the blocks tiny."""
+    n = users.count()
+    spread = math.ceil(math.sqrt(2 * task_count(users.sparkSession)))
+    return max(1, math.ceil(n / block), min(spread, n // 64))
 
 
 def _keep_best(found: DataFrame, k: int) -> DataFrame:

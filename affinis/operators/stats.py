@@ -76,11 +76,11 @@ def dims(ratings: DataFrame) -> tuple[int, int]:
     return int(row["u"]) + 1, int(row["i"]) + 1
 
 
-def component_share(factors: DataFrame) -> DataFrame:
+def component_share(factors: DataFrame, digits: int = 1) -> DataFrame:
     """Share of each non-zero component in a user's factor vector, in percent."""
     total = F.aggregate("f", F.lit(0.0), lambda a, x: a + x)
     parts = factors.select("user", total.alias("total"), F.posexplode("f").alias("component", "value"))
-    share = F.round(F.col("value") * 100 / F.col("total"), 1)
+    share = F.round(F.col("value") * 100 / F.col("total"), digits)
     return parts.where("value != 0 and total != 0").select("user", "component", share.alias("share"))
 
 

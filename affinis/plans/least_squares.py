@@ -32,7 +32,7 @@ def als_chain(sweeps: int, lam: float = 0.1) -> str:
 @query(f"""{als_chain(2)} SELECT r."user", r.item, {rs('m + u * v')} AS prediction
    FROM r JOIN m USING ("user") JOIN u2 USING ("user") JOIN v2 USING (item)""")
 def als_rank1(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     model = als.fit_als(d1, k=1, iterations=2, seed=SEED, init="grid")
     return model.predict(d1.select("user", "item")).withColumn("prediction", r("prediction"))
 
@@ -62,14 +62,14 @@ def _biased_sql(w: str) -> str:
 
 @query(_biased_sql("0.0::DOUBLE * count(*)"))
 def als2_rank1(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     model = als.fit_als_biased(d1, k=1, iterations=2, seed=SEED, init="grid")
     return model.predict(d1.select("user", "item")).withColumn("prediction", r("prediction"))
 
 
 @query(_biased_sql("avg(rating)"))
 def als3_rank1(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     model = als.fit_als3(d1, k=1, iterations=2, seed=SEED, init="grid")
     return model.predict(d1.select("user", "item")).withColumn("prediction", r("prediction"))
 
@@ -87,7 +87,7 @@ def wals_chain(sweeps: int, reg: float = 0.001) -> str:
 @query(f"""{wals_chain(2)} SELECT r."user", r.item, {rs('m + u * v')} AS prediction
    FROM r JOIN m USING ("user") JOIN u2 USING ("user") JOIN v2 USING (item)""")
 def wals_rank1(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     model = als.fit_wals(d1, k=1, iterations=2, seed=SEED, init="grid")
     return model.predict(d1.select("user", "item")).withColumn("prediction", r("prediction"))
 
@@ -111,7 +111,7 @@ def xals_chain(sweeps: int, lam: float = 0.1) -> str:
 @query(f"""{xals_chain(2)} SELECT r."user", r.item, {rs('m + p * v + q * t')} AS prediction
    FROM r JOIN m USING ("user") JOIN u2 USING ("user") JOIN v2 USING (item) JOIN t USING (item)""")
 def xals_rank1_tag1(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     size = fx.table(spark, sf, "part").select(
         F.col("p_partkey").alias("item"), F.lit(0).alias("tag"), (F.col("p_size") / 50.0).alias("weight"))
     model = als.fit_xals(d1, size, 1, k=1, iterations=2, seed=SEED, init="grid")
@@ -134,7 +134,7 @@ def cfm_chain(sweeps: int, reg: float = 0.1, scale: float = 0.1) -> str:
 @query(f"""{cfm_chain(2)} SELECT d."user", d.item, {rs('w + u2.b + v2.b + u2.f * v2.f')} AS prediction
    FROM d JOIN u2 USING ("user") JOIN v2 USING (item), g""")
 def cfm_rank1(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     model = als.fit_cfm(d1, k=1, iterations=2, seed=SEED, init="grid")
     return model.predict(d1.select("user", "item")).withColumn("prediction", r("prediction"))
 
@@ -142,11 +142,11 @@ def cfm_rank1(spark, sf):
 @query()
 def als_k20(spark, sf):
     """Full rank and sweeps; the objective is checked in the tests."""
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     return als.fit_als(d1, k=20, iterations=10).predict(d1.select("user", "item"))
 
 
 @query()
 def als_ml(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     return als.fit_als_mllib(d1, k=20, iterations=10).predict(d1.select("user", "item"))

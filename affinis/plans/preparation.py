@@ -110,7 +110,7 @@ def model_save_load(spark, sf):
     """A saved model predicts as it did; the snapshot is then deleted."""
     from affinis.models.means import fit_user_mean
 
-    ratings = fx.part_ratings(spark, sf)
+    ratings = fx.stored(fx.part_ratings(spark, sf))
     path = scratch_path(spark, "snapshot")
     fit_user_mean(ratings).save(path)
     out = load(spark, path).predict(ratings.select("user", "item"))

@@ -16,7 +16,7 @@ from affinis.sources import fixtures as fx
 
 
 def _als(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     return d1, als.fit_als(d1, k=1, iterations=2, seed=SEED, init="grid")
 
 
@@ -92,7 +92,7 @@ def recommend_pairwise(spark, sf):
    {TOP.replace('ORDER BY s DESC', 'ORDER BY round(s, 9) DESC').replace(rs('s'), rs('s', 9))} QUALIFY rank <= 20""")
 def recommend_knn(spark, sf):
     """Group recommendation by a neighbourhood model, without group x items."""
-    d3 = fx.event_ratings(spark, sf)
+    d3 = fx.stored(fx.event_ratings(spark, sf))
     users = d3.select("user").distinct().join(_nation(spark, sf, 3), "user", "left_semi")
     model = neighbours.fit_knn(d3)
     from affinis.operators.recommend import item_scores, top
@@ -113,7 +113,7 @@ SPLIT = f"""d AS ({fx.D1}), train AS (SELECT * FROM d WHERE ("user" * 31 + item
 
 
 def _scored(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     train, test = d1.where(~prepare.grid_split()), d1.where(prepare.grid_split())
     return means.fit_user_mean(train).predict(test)
 
@@ -205,7 +205,7 @@ def _history_sql() -> str:
 @query(f"""{als_chain(2).replace(fx.D1, 'SELECT * FROM (' + fx.D1 + ') WHERE ("user" * 31 + item * 17) % 10 <> 0')},
    train AS (SELECT * FROM d), test AS (SELECT * FROM ({fx.D1}) WHERE ("user" * 31 + item * 17) % 10 = 0) {_history_sql()}""")
 def metric_history(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     train, test = d1.where(~prepare.grid_split()), d1.where(prepare.grid_split())
     curve = evaluate.MetricHistory(train, test, ["rmse"])
     als.fit_als(train, k=1, iterations=2, seed=SEED, init="grid", on_sweep=curve)

@@ -47,14 +47,14 @@ def _predict(model, d3, digits=6):
 @query(f"""{power_chain(DOUBLE_CENTRED, 2)} SELECT d."user", d.item, {rs('b * v + m + c')} AS prediction
    FROM d JOIN b USING ("user") JOIN m USING ("user") JOIN v USING (item) JOIN c USING (item)""")
 def svd_power1(spark, sf):
-    d3 = fx.event_ratings(spark, sf)
+    d3 = fx.stored(fx.event_ratings(spark, sf))
     return _predict(spectral.fit_svd(d3, k=1, iterations=2, seed=SEED, init="grid", oversample=0), d3)
 
 
 @query(f"""{power_chain(USER_CENTRED, 2)} SELECT d."user", d.item, {rs('b * v + m')} AS prediction
    FROM d JOIN b USING ("user") JOIN m USING ("user") JOIN v USING (item)""")
 def svd2_power1(spark, sf):
-    d3 = fx.event_ratings(spark, sf)
+    d3 = fx.stored(fx.event_ratings(spark, sf))
     return _predict(spectral.fit_svd2(d3, k=1, iterations=2, seed=SEED, init="grid", oversample=0), d3)
 
 
@@ -62,14 +62,14 @@ def svd2_power1(spark, sf):
    SELECT d."user", d.item, {rs('b * v + m')} AS prediction
    FROM d JOIN b USING ("user") JOIN m USING ("user") JOIN v USING (item)""")
 def svd1_power1(spark, sf):
-    d3 = fx.event_ratings(spark, sf)
+    d3 = fx.stored(fx.event_ratings(spark, sf))
     return _predict(spectral.fit_svd1(d3, k=1, iterations=3, seed=SEED, init="grid", oversample=0), d3)
 
 
 @query()
 def svd_k20(spark, sf):
     """Full rank on the wide ratings; orthonormality and A v = sigma u are tested."""
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     return spectral.fit_svd(d1, k=20, iterations=4).predict(d1.select("user", "item"))
 
 
@@ -83,7 +83,7 @@ KNN_1D = """near AS (SELECT u, b, w FROM (SELECT p."user" AS u, q.b,
 @query(f"""{power_chain(DOUBLE_CENTRED, 2)}, {KNN_1D} SELECT d."user", d.item, {rs('q * v + m + c')} AS prediction
    FROM d JOIN q USING ("user") JOIN m USING ("user") JOIN v USING (item) JOIN c USING (item)""")
 def svdknn(spark, sf):
-    d3 = fx.event_ratings(spark, sf)
+    d3 = fx.stored(fx.event_ratings(spark, sf))
     return _predict(spectral.fit_svdknn(d3, k=1, iterations=2, seed=SEED, init="grid", oversample=0), d3)
 
 
@@ -93,7 +93,7 @@ def svdknn(spark, sf):
    SELECT w."user", w.item, {rs('wm + f * v + c')} AS prediction FROM w JOIN wm USING ("user") JOIN f USING ("user")
    JOIN v USING (item) JOIN c USING (item)""")
 def svd_foldin(spark, sf):
-    d3, new = fx.event_ratings(spark, sf), _newcomers(spark, sf)
+    d3, new = fx.stored(fx.event_ratings(spark, sf)), _newcomers(spark, sf)
     model = spectral.fit_svd(d3, k=1, iterations=2, seed=SEED, init="grid", oversample=0)
     rows = foldin.fold_in_svd(model, new)
     return model.predict(new.select("user", "item"), rows).withColumn("prediction", r("prediction"))
@@ -109,7 +109,7 @@ def svd_foldin(spark, sf):
    SELECT w."user", w.item, {rs('wm + q * v + c')} AS prediction FROM w JOIN wm USING ("user") JOIN q USING ("user")
    JOIN v USING (item) JOIN c USING (item)""")
 def svdknn_foldin(spark, sf):
-    d3, new = fx.event_ratings(spark, sf), _newcomers(spark, sf)
+    d3, new = fx.stored(fx.event_ratings(spark, sf)), _newcomers(spark, sf)
     model = spectral.fit_svdknn(d3, k=1, iterations=2, seed=SEED, init="grid", oversample=0)
     rows = foldin.fold_in_svd(model, new)
     return model.predict(new.select("user", "item"), rows).withColumn("prediction", r("prediction"))
@@ -122,7 +122,7 @@ def svdknn_foldin(spark, sf):
    SELECT w."user", w.item, {rs('wm + f * s * v')} AS prediction FROM w JOIN wm USING ("user") JOIN f USING ("user")
    JOIN v USING (item), s""")
 def svd2_foldin(spark, sf):
-    d3, new = fx.event_ratings(spark, sf), _newcomers(spark, sf)
+    d3, new = fx.stored(fx.event_ratings(spark, sf)), _newcomers(spark, sf)
     model = spectral.fit_svd2(d3, k=1, iterations=2, seed=SEED, init="grid", oversample=0)
     rows = foldin.fold_in_svd_ridge(model, new)
     return model.predict(new.select("user", "item"), rows).withColumn("prediction", r("prediction"))
@@ -137,7 +137,7 @@ NEW_BUYERS = f"""SELECT "user" + 1000000000 AS "user", item, 6 - rating AS ratin
    SELECT w."user", w.item, {rs('wm + f * v')} AS prediction FROM w JOIN wm USING ("user") JOIN f USING ("user") JOIN v2 USING (item)""")
 def als_foldin(spark, sf):
     """Every customer again as a newcomer with the opposite taste."""
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     new = d1.select((F.col("user") + 1_000_000_000).alias("user"), "item", (6 - F.col("rating")).alias("rating"))
     model = als.fit_als(d1, k=1, iterations=2, seed=SEED, init="grid")
     rows = foldin.fold_in_als(model, new)
@@ -151,7 +151,7 @@ PCA = f"""{power_chain(USER_CENTRED.replace(fx.D3, 'SELECT * FROM (' + fx.D3 + '
 @query(f"""{PCA} SELECT d."user", d.item, {rs('(b - o) * v + mu + m')} AS prediction
    FROM d JOIN b USING ("user") JOIN m USING ("user") JOIN v USING (item) JOIN mu USING (item), o""")
 def pca_power1(spark, sf):
-    d3 = fx.event_ratings(spark, sf)
+    d3 = fx.stored(fx.event_ratings(spark, sf))
     return _predict(spectral.fit_pca(d3, k=1, iterations=2, seed=SEED, init="grid", oversample=0), d3)
 
 
@@ -159,7 +159,7 @@ def pca_power1(spark, sf):
    SELECT d."user", d.item, {rs('(b - o) * sqrt(l / (n - 1) / n) * v + m')} AS prediction
    FROM d JOIN b USING ("user") JOIN m USING ("user") JOIN v USING (item), o, n, lam""")
 def pca_compat(spark, sf):
-    d3 = fx.event_ratings(spark, sf)
+    d3 = fx.stored(fx.event_ratings(spark, sf))
     return _predict(spectral.fit_pca(d3, k=1, iterations=2, seed=SEED, init="grid", oversample=0, compat=True), d3)
 
 
@@ -176,26 +176,26 @@ def nmf_chain(rounds: int) -> str:
 
 @query(f"""{nmf_chain(2)} SELECT "user", item, {rs('w2.f * h2.f')} AS prediction FROM x JOIN w2 USING ("user") JOIN h2 USING (item)""")
 def nmf_rank1(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     return _predict(latent.fit_nmf(d1, k=1, iterations=2, seed=SEED, init="grid"), d1)
 
 
 @query()
 def nmf_k10(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     return latent.fit_nmf(d1, k=10, iterations=5).predict(d1.select("user", "item"))
 
 
 @query(f"""WITH p AS (SELECT p_partkey AS item, tag, sum(weight) AS weight FROM (SELECT item AS p_partkey, tag, weight FROM ({fx.D4})) GROUP BY 1, 2),
    s AS (SELECT d."user", tag, sum(weight) AS w FROM ({fx.D1}) d JOIN p USING (item) GROUP BY 1, 2)
-   SELECT "user", CAST(tag AS INTEGER) AS component, {rs('w * 100 / sum(w) OVER (PARTITION BY "user")', 1)} AS share FROM s WHERE w <> 0""")
+   SELECT "user", CAST(tag AS INTEGER) AS component, {rs('w * 100 / sum(w) OVER (PARTITION BY "user")', 9)} AS share FROM s WHERE w <> 0""")
 def component_share(spark, sf):
     """Share of every tag in a customer's purchases, as component shares of a profile."""
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     tags = als.tag_vectors(fx.item_tags(spark, sf), fx.N_TAGS)
     profile = d1.join(tags, "item").groupBy("user").agg(
         F.array(*[F.sum(F.get("t", F.lit(j))) for j in range(fx.N_TAGS)]).alias("f"))
-    return stats.component_share(profile).withColumn("share", r("share", 1))
+    return stats.component_share(profile, digits=9)
 
 
 def efa_chain(rounds: int) -> str:
@@ -215,5 +215,5 @@ def efa_chain(rounds: int) -> str:
 
 @query(f"""{efa_chain(2)} SELECT "user", item, {rs('z * f + mu')} AS prediction FROM d JOIN z2 USING ("user") JOIN i2 USING (item)""")
 def efa_rank1(spark, sf):
-    d3 = fx.event_ratings(spark, sf)
+    d3 = fx.stored(fx.event_ratings(spark, sf))
     return _predict(latent.fit_efa(d3, k=1, iterations=2, seed=SEED, init="grid"), d3)

@@ -40,11 +40,11 @@ def stream_quorum_sum(spark, sf):
 
 @query(f"""{als_chain(2).replace(fx.D1, fx.D3)}, w AS (SELECT "user", item, {fx.VALUE_CASE} AS rating FROM ({fx.EVENT_LOG})),
    wm AS (SELECT w."user", avg(rating) AS wm FROM w JOIN v2 USING (item) GROUP BY w."user")
-   SELECT w."user", {rs('any_value(wm)')} AS bias, {rs('sum((rating - wm) * v) / (sum(v * v) + 0.1 * count(*))', 5)} AS factor
+   SELECT w."user", {rs('any_value(wm)', 9)} AS bias, {rs('sum((rating - wm) * v) / (sum(v * v) + 0.1 * count(*))', 5)} AS factor
    FROM w JOIN wm USING ("user") JOIN v2 USING (item) GROUP BY w."user" """)
 def stream_foldin(spark, sf):
     """Every event counts as one rating of a newcomer."""
     model = als.fit_als(fx.event_ratings(spark, sf), k=1, iterations=2, seed=SEED, init="grid")
     rated = label_to_value(streams.event_stream(spark, sf), LABEL_VALUES).select("user", "item", "rating")
     rows = streams.fold_in(rated, model, scratch_path(spark, "stream-foldin"))
-    return rows.select("user", r("bias").alias("bias"), r(F.col("f")[0], 5).alias("factor"))
+    return rows.select("user", r("bias", 9).alias("bias"), r(F.col("f")[0], 5).alias("factor"))

@@ -46,32 +46,32 @@ def _predict(model, ratings):
 
 @query(f"{sgd_chain(2)} {_final(2)}")
 def sgd_epoch(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     return _predict(gradient.fit_sgd(d1, k=1, epochs=2, seed=SEED, init="grid"), d1)
 
 
 @query(f"{sgd_chain(2, start_w='0.0::DOUBLE', bias=False, learn_w=False)} {_final(2)}")
 def sgd0_epoch(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     return _predict(gradient.fit_sgd0(d1, k=1, epochs=2, seed=SEED, init="grid"), d1)
 
 
 @query(f"{sgd_chain(2, start_w='0.0::DOUBLE', learn_w=False)} {_final(2)}")
 def sgd2_epoch(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     return _predict(gradient.fit_sgd2(d1, k=1, epochs=2, seed=SEED, init="grid"), d1)
 
 
 @query(f"{sgd_chain(2, start_w='0.0::DOUBLE', learn_w=False, compat=True)} {_final(2)}")
 def sgd2_compat(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     return _predict(gradient.fit_sgd2(d1, k=1, epochs=2, seed=SEED, init="grid", compat=True), d1)
 
 
 @query(f"""{sgd_chain(2, rate=0.005, lam=0.02, start_w='avg(rating)', learn_w=False, zero_bias=True, scale='0.1::DOUBLE')}
    {_final(2, 'greatest((SELECT min(rating) FROM d), least((SELECT max(rating) FROM d), w + u.b + v.b + u.f * v.f))')}""")
 def ssvd_epoch(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     return _predict(gradient.fit_ssvd(d1, k=1, epochs=2, seed=SEED, init="grid"), d1)
 
 
@@ -90,7 +90,7 @@ def _fold_chain(epochs: int) -> str:
 @query(f"""{sgd_chain(2)}, {_fold_chain(2)} SELECT nw."user", nw.item, {rs('w + p.b + v.b + p.f * v.f')} AS prediction
    FROM nw JOIN p2 p USING ("user") JOIN v2 v USING (item), g2""")
 def sgd_foldin(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     model = gradient.fit_sgd(d1, k=1, epochs=2, seed=SEED, init="grid")
     new = d1.select((F.col("user") + 1_000_000_000).alias("user"), "item", (6 - F.col("rating")).alias("rating"))
     rows = gradient.fold_in_sgd(model, new, epochs=2, start=[0.5])
@@ -119,27 +119,27 @@ def lasso_chain(rounds: int, alpha: float = 0.01) -> str:
 
 @query(f"""WITH {lasso_chain(3)} SELECT "user", item, {rs('lasso')} AS prediction FROM p""")
 def lasso_ista(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     return _predict(tagged.fit_lasso(d1, fx.item_tags(spark, sf), fx.N_TAGS, method="ista", rounds=3), d1)
 
 
 @query(f"""WITH {lasso_chain(3)} SELECT "user", item, {rs('raw')} AS prediction FROM p""")
 def lasso0_ista(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     model = tagged.fit_lasso(d1, fx.item_tags(spark, sf), fx.N_TAGS, method="ista", rounds=3, clipped=False)
     return _predict(model, d1)
 
 
 @query(f"""WITH {lasso_chain(3)} SELECT "user", CAST(count(*) FILTER (c <> 0) AS BIGINT) AS nonzero FROM c3 GROUP BY "user" """)
 def lasso_sparsity(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     return tagged.user_sparsity(tagged.fit_lasso(d1, fx.item_tags(spark, sf), fx.N_TAGS, method="ista", rounds=3))
 
 
 @query()
 def lasso_descent(spark, sf):
     """To convergence; the optimality conditions are tested."""
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     return _predict(tagged.fit_lasso(d1, fx.item_tags(spark, sf), fx.N_TAGS), d1)
 
 
@@ -148,7 +148,7 @@ def lasso_descent(spark, sf):
    SELECT r."user", r.item, {rs('CASE WHEN cnt < 25 THEN lasso ELSE m + u * v END')} AS prediction
    FROM r JOIN m USING ("user") JOIN u2 USING ("user") JOIN v2 USING (item) JOIN k USING (item) JOIN p USING ("user", item)""")
 def balse_switch(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     model = tagged.fit_balse(d1, fx.item_tags(spark, sf), fx.N_TAGS, k=1, iterations=2, gamma=25, seed=SEED, init="grid",
                              method="ista", rounds=3)
     return _predict(model, d1)
@@ -156,20 +156,20 @@ def balse_switch(spark, sf):
 
 @query()
 def cfm(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     return _predict(als.fit_cfm(d1), d1)
 
 
 @query()
 def fma(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     return _predict(tagged.fit_fma(d1, fx.item_tags(spark, sf), fx.N_TAGS, k=8, iterations=3), d1)
 
 
 @query(f"""{als_chain(2)} SELECT r."user", r.item, {rs('u')} AS fu, {rs('v')} AS fi, {rs('u * v')} AS fui
    FROM r JOIN u2 USING ("user") JOIN v2 USING (item)""")
 def gbr_features(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     model = als.fit_als(d1, k=1, iterations=2, seed=SEED, init="grid")
     x = boosted.interaction_features(d1.select("user", "item"), model)
     return x.select("user", "item", *[r(F.col("features")[j]).alias(n) for j, n in enumerate(["fu", "fi", "fui"])])
@@ -177,5 +177,5 @@ def gbr_features(spark, sf):
 
 @query()
 def gbr(spark, sf):
-    d1 = fx.part_ratings(spark, sf)
+    d1 = fx.stored(fx.part_ratings(spark, sf))
     return _predict(boosted.fit_gbr(d1, k=20, iterations=10), d1)

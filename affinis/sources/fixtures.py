@@ -36,6 +36,13 @@ def supplier_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _purchases(spark, sf_dir, "l_suppkey")
 
 
+def stored(ratings: DataFrame) -> DataFrame:
+    """Written once, for jobs that read the derived ratings several times."""
+    from affinis.operators.layout import materialise
+
+    return materialise(ratings, "ratings")
+
+
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled events, still with repeated (user, item) pairs."""
     names = F.create_map(*[F.lit(x) for kv in EVENT_LABELS.items() for x in kv])
