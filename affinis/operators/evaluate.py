@@ -58,7 +58,12 @@ def ranked_metrics(predictions: DataFrame, by: list[str] | None = None) -> DataF
     scored = predictions.where(F.col("prediction").isNotNull()).select(*by, "user", "item", "rating", "prediction")
     got = _ranked_gain(scored, by, [F.desc("prediction"), F.col("user"), F.col("item")], "dcg")
     best = _ranked_gain(scored, by, [F.desc("rating"), F.col("user"), F.col("item")], "ideal")
-    both = got.join(best, by) if by else got.crossJoin(best)  # one row each when ungrouped
+    if by:
+        both = got.join(best, by)
+    else:  # one row each: stack them instead of joining
+        none = F.lit(None).cast("double")
+        both = got.select("dcg", none.alias("ideal")).unionByName(best.select(none.alias("dcg"), "ideal")).agg(
+            F.max("dcg").alias("dcg"), F.max("ideal").alias("ideal"))
     return both.select(*by, "dcg", F.coalesce(F.try_divide("dcg", F.col("ideal")), F.lit(0.0)).alias("ndcg"))
 
 

@@ -65,18 +65,27 @@ def _gram_runs(x: np.ndarray, starts: np.ndarray, i: np.ndarray, j: np.ndarray)
     return out
 
 
-def _partials(batches: Iterator[pa.RecordBatch], k: int):
-    """Yield ``(keys, n, gram, rhs)`` for runs of equal keys, complete within the
-    partition because its rows are sorted by key. Memory: one batch."""
-    i, j = packed(k + 1)
-    held = None
+def _slices(batches: Iterator[pa.RecordBatch], k: int, width: int):
+    """Rows in pieces small enough that a sum per row would still fit in 64 MB."""
+    step = max(1, 8_000_000 // width)
     for batch in batches:
         if batch.num_rows == 0:
             continue
         key = batch.column("key").to_numpy(zero_copy_only=False)
         y = batch.column("y").to_numpy(zero_copy_only=False)
+        x = matrix(batch.column("x"), k)
+        for lo in range(0, len(key), step):
+            yield key[lo:lo + step], y[lo:lo + step], x[lo:lo + step]
+
+
+def _partials(batches: Iterator[pa.RecordBatch], k: int):
+    """Yield ``(keys, n, gram, rhs)`` for runs of equal keys, complete within the
+    partition because its rows are sorted by key. Memory: one batch."""
+    i, j = packed(k + 1)
+    held = None
+    for key, y, raw in _slices(batches, k, len(i)):
         x = np.empty((len(key), k + 1))
-        x[:, :k] = matrix(batch.column("x"), k)
+        x[:, :k] = raw
         x[:, k] = 1.0
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         keys = key[starts]
@@ -159,6 +168,18 @@ def key_statistics(rows: DataFrame, k: int, split: bool) -> DataFrame:
     return merge_statistics(stats, k) if split else stats
 
 
+def partial_statistics(rows: DataFrame, k: int) -> DataFrame:
+    """Sums per key within each Arrow batch, for rows in any order (streams)."""
+
+    def sums(it):
+        for batch in it:
+            if batch.num_rows:
+                for part in _partials(iter([batch.sort_by("key")]), k):
+                    yield _stats_batch(*part)
+
+    return rows.mapInArrow(sums, STATS)
+
+
 def merge_statistics(stats: DataFrame, k: int) -> DataFrame:
     """Add up the partial sums of a key."""
 

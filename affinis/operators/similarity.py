@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from affinis.operators.layout import task_count
 from affinis.operators.normal import matrix
 
-BLOCK = 1024
+# A tile of this many users squared takes 32 MB; bigger blocks mean fewer copies
+# of each rating (one per block), smaller ones less memory per task.
+BLOCK = 2048
 DECIMALS = 9
 _PAIRS_AT_ONCE = 2_000_000
 
@@ -180,6 +182,11 @@ class _Tile:
         yield out(i[keep], j[keep], sim[keep])
 
     def _best(self, sim, rows, cols):
+        step = max(1, 1_000_000 // len(cols))
+        for lo in range(0, len(rows), step):
+            yield self._best_slice(sim[lo:lo + step], rows[lo:lo + step], cols)
+
+    def _best_slice(self, sim, rows, cols):
         if self.k is not None and self.k < len(cols):
             order = np.argsort(-sim, axis=1, kind="stable")[:, : self.k]
         else:
@@ -199,9 +206,9 @@ class _Tile:
         yield from self._flush(self._accumulate)
         self._similarity()
         if len(self.left) and len(self.right):
-            yield self._best(self.sim, self.left, self.right)
+            yield from self._best(self.sim, self.left, self.right)
             if self.mirror:
-                yield self._best(self.sim.T, self.right, self.left)
+                yield from self._best(self.sim.T, self.right, self.left)
 
 
 def _run(mirror: bool, k: int | None, skip_self: bool, finish: str):

@@ -45,16 +45,16 @@ def wrapping_sum(vectors: DataFrame, by: list[str], length: int | None = None) -
     """Element-wise wrapping sum of ``vec`` per group, back as one vector.
 
     As in a fold that zips, the result is as long as the shortest vector of the
-    group, and no longer than ``length``.
+    group, and no longer than ``length``. ``by`` names at least one column.
     """
     sums = wrapping_sum_rows(elements(vectors, by), [*by, "pos"])
     limit = vectors.groupBy(*by).agg(F.min(F.size("vec")).alias("shortest"))
     if length is not None:
         limit = limit.withColumn("shortest", F.least("shortest", F.lit(length)))
     packed = sums.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "total"))).alias("cells"))
-    joined = packed.join(limit, by, "right") if by else packed.crossJoin(limit)
-    cells = F.coalesce(F.slice("cells", F.lit(1), F.col("shortest")), F.array().cast("array<struct<pos:int,total:bigint>>"))
-    return joined.select(*by, F.transform(cells, lambda c: c["total"]).alias("vec"))
+    empty = F.array().cast("array<struct<pos:int,total:bigint>>")
+    cells = F.coalesce(F.slice("cells", F.lit(1), F.col("shortest")), empty)
+    return limit.join(packed, by, "left").select(*by, F.transform(cells, lambda c: c["total"]).alias("vec"))
 
 
 def wrap_multiply(value: Column, factor: Column) -> Column:

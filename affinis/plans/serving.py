@@ -151,12 +151,13 @@ def dcg_ndcg(spark, sf):
     return got.select(r("dcg").alias("dcg"), r("ndcg").alias("ndcg"))
 
 
-@query(f"""WITH {SPLIT} SELECT {rs('count(p) / count(*)')} AS coverage, {rs('avg(rating - p)')} AS bias FROM z""")
+@query(f"""WITH {SPLIT} SELECT 'coverage' AS metric, {rs('count(p) / count(*)')} AS value FROM z
+   UNION ALL SELECT 'bias', {rs('avg(rating - p)')} FROM z""")
 def user_defined_metric(spark, sf):
     evaluate.register_metric("bias", lambda: F.avg(F.col("rating") - F.col("prediction")))
     scored = _scored(spark, sf)
-    value = evaluate.metrics(scored, ["bias"]).select(r("value").alias("bias"))
-    return evaluate.coverage(scored).select(r("coverage").alias("coverage")).join(F.broadcast(value), how="inner")
+    covered = evaluate.coverage(scored).select(F.lit("coverage").alias("metric"), F.col("coverage").alias("value"))
+    return covered.unionByName(evaluate.metrics(scored, ["bias"])).withColumn("value", r("value"))
 
 
 def _per_model(names: dict[str, str]) -> str:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from affinis.models.base import FactorModel
-from affinis.operators.layout import scratch_path
-from affinis.operators.normal import key_statistics, merge_statistics, ridge_around_mean, solve_statistics
+from affinis.operators.normal import partial_statistics, ridge_around_mean, unpack
 from affinis.operators.vectorsum import _join_limbs, _limb_sums
 from affinis.sources.fixtures import EVENT_LABELS
 
@@ -86,27 +88,37 @@ def quorum_sums(messages: DataFrame, path: str, threshold: int, length: str = "1
 def fold_in(ratings: DataFrame, model: FactorModel, path: str, lam: float = 0.1) -> DataFrame:
     """Continuous fold-in of a stream of ratings against fixed item factors.
 
-    The state of a user is its normal-equation sums, which are additive: a batch
-    stores its own sums, and the users it touched are solved again from all
-    theirs. Centring by the user's mean is derived from the sums. Returns the
-    current user rows.
+    The state of a user is its normal-equation sums, which are additive, kept in
+    the stream's state store: a batch touches the users it contains and nothing
+    else. Ratings are summed per user inside each Arrow batch before they are
+    shuffled, so a user who dominates the stream costs one row per batch.
+    Centring by the user's mean is derived from the sums. Returns the current
+    user rows.
     """
     spark, k = ratings.sparkSession, model.params["k"]
-    items = model.items.select("item", "f")
-    schema = spark.createDataFrame([], "user bigint, bias double, f array<double>").schema
-
-    def update(batch_rows: DataFrame, batch: int) -> None:
-        # A user who dominates the batch is spread over 16 slots and merged below.
-        slot = F.pmod(F.xxhash64(*batch_rows.columns), F.lit(16)).alias("slot")
-        rows = batch_rows.select("*", slot).join(items, "item").select(
-            F.col("user").alias("key"), F.col("rating").alias("y"), F.col("f").alias("x"), "slot")
-        ordered = rows.repartition("key", "slot").sortWithinPartitions("key").drop("slot")
-        key_statistics(ordered, k, split=True).write.mode("overwrite").parquet(f"{path}/sums/batch={batch}")
-        sums = spark.read.parquet(f"{path}/sums").where(F.col("batch") <= batch)
-        touched = sums.where(F.col("batch") == batch).select("key").distinct()
-        merged = merge_statistics(sums.drop("batch").join(touched, "key", "left_semi"), k)
-        solved = solve_statistics(merged, k, ridge_around_mean(k, lam), "user")
-        solved.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
-
-    _drain(ratings.writeStream.foreachBatch(update), path)
-    return _upserts(spark, f"{path}/rows", "user", schema)
+    solver = ridge_around_mean(k, lam)
+    rows = ratings.join(model.items.select("item", "f"), "item").select(
+        F.col("user").alias("key"), F.col("rating").alias("y"), F.col("f").alias("x"))
+
+    def update(key, parts, state):
+        n, gram, rhs = 0, 0.0, 0.0
+        if state.exists:
+            n, packed_sums = state.get[0], np.frombuffer(state.get[1])
+            rhs, gram = packed_sums[: k + 1], packed_sums[k + 1:]
+        for part in parts:
+            n += int(part["n"].sum())
+            gram = gram + np.stack(part["gram"].to_numpy()).sum(axis=0)
+            rhs = rhs + np.stack(part["rhs"].to_numpy()).sum(axis=0)
+        state.update((n, np.concatenate([rhs, gram]).tobytes()))
+        bias, f = solver(np.array([float(n)]), unpack(gram[None, :], k + 1), rhs[None, :], np.zeros(1))
+        yield pd.DataFrame({"user": [key[0]], "bias": bias, "f": [f[0].tolist()]})
+
+    out_schema = "user bigint, bias double, f array<double>"
+    solved = partial_statistics(rows, k).groupBy("key").applyInPandasWithState(
+        update, out_schema, "n bigint, sums binary", "update", GroupStateTimeout.NoTimeout)
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+
+    _drain(solved.writeStream.outputMode("update").foreachBatch(write), path)
+    return _upserts(spark, f"{path}/rows", "user", solved.schema)
