@@ -18,6 +18,13 @@ BROADCAST_BYTES = 32 << 20
 # A key with more rows than this is spread over several tasks.
 ROWS_PER_SLOT = 1_000_000
 
+# With a byte limit per Arrow batch, Spark measures all buffers again for every
+# row, which costs several times the transfer itself. Batches are limited by
+# row count anyway, so the limit is lifted while such a batch stays below this.
+ARROW_BATCH_BYTES = 256 << 20
+ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _local_scratch: str | None = None
 
 
@@ -61,6 +68,13 @@ def fits_broadcast(rows: int, row_bytes: int) -> bool:
     return rows * row_bytes <= BROADCAST_BYTES
 
 
+def arrow_rows(spark: SparkSession, row_bytes: int) -> None:
+    """Prepare the session for Arrow stages whose rows take ``row_bytes``."""
+    rows = int(spark.conf.get(ARROW_ROWS))
+    bounded = 0 < rows and rows * row_bytes <= ARROW_BATCH_BYTES
+    spark.conf.set(ARROW_LIMIT, str(2**31 - 1) if bounded else "64m")
+
+
 def task_count(spark: SparkSession) -> int:
     """Tasks for Python-heavy stages; fixed so small inputs still use all cores."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinis.operators.layout import RatingStore, task_count
+from affinis.operators.layout import RatingStore, arrow_rows, task_count
 
 STATS = "key bigint, n bigint, gram array<double>, rhs array<double>"
 FACTORS = "key bigint, bias double, f array<double>"
@@ -210,7 +210,10 @@ def half_sweep(
         rows = store.attach(key, fixed, k if fixed_width is None else fixed_width, own, own_width)
     rows = rows.select(F.col(key).alias("key"), target.alias("y"), regressors.alias("x"))
     split = store.is_split(key)
-    if prior is None and not split:
+    fused_pass = prior is None and not split
+    # Rows in: k + 1 numbers; rows between the two passes, if there are two: the sums.
+    arrow_rows(store.spark, 8 * (k + 2) if fused_pass else 8 * ((k + 1) * (k + 4) // 2 + 3))
+    if fused_pass:
         def fused(it):
             for keys, n, gram, rhs in _partials(it, k):
                 yield from _solved(keys, n, gram, rhs, np.zeros(len(keys)), k, solver)
@@ -296,6 +299,8 @@ def gram_matrix(table: DataFrame, k: int, vec: str = "f") -> np.ndarray:
     in Spark by position, so the driver receives k*(k+1)/2 numbers."""
     i, j = packed(k)
 
+    arrow_rows(table.sparkSession, 8 * (k + 1))
+
     def partial(it):
         total = np.zeros((k, k))
         for b in it:
@@ -319,6 +324,7 @@ def times_matrix(table: DataFrame, m: np.ndarray, vec: str = "f") -> DataFrame:
     """Replace the vector of each row by ``vec @ m`` (m is k x k', a constant)."""
     k = m.shape[0]
     at = table.schema.names.index(vec)
+    arrow_rows(table.sparkSession, 16 * (k + 4))
 
     def multiply(it):
         for b in it:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinis.operators.layout import task_count
+from affinis.operators.layout import arrow_rows, task_count
 from affinis.operators.normal import matrix
 
 # A tile of this many users squared takes 32 MB; bigger blocks mean fewer copies
@@ -262,6 +262,7 @@ def _both_sides(df: DataFrame, blocks: int) -> DataFrame:
 
 
 def _tiles(rows: DataFrame, count: int) -> DataFrame:
+    arrow_rows(rows.sparkSession, 64)
     tasks = min(count, 16 * task_count(rows.sparkSession))
     return rows.repartition(max(tasks, 1), "a", "b").sortWithinPartitions("a", "b", "phase", "item", "side")
 
@@ -360,6 +361,7 @@ def nearest_vectors(
         return at.select(F.col(a).alias("a"), F.col(c).alias("b"), F.lit(s).alias("side"),
                          F.col("user").cast("bigint").alias("user"), "f")
 
+    arrow_rows(vectors.sparkSession, 8 * (dim + 4))
     rows = side(ask, LEFT, bl, b).unionByName(side(vectors, RIGHT, b, bl))
     tiles = rows.repartition(min(bl * b, 16 * task_count(rows.sparkSession)), "a", "b").sortWithinPartitions(
         "a", "b", "side", "user")
