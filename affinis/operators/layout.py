@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import shutil
 import tempfile
 import uuid
@@ -75,9 +76,18 @@ def arrow_rows(spark: SparkSession, row_bytes: int) -> None:
     spark.conf.set(ARROW_LIMIT, str(2**31 - 1) if bounded else "64m")
 
 
-def task_count(spark: SparkSession) -> int:
-    """Tasks for Python-heavy stages; fixed so small inputs still use all cores."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+def cores(spark: SparkSession) -> int:
+    return spark.sparkContext.defaultParallelism
+
+
+def task_count(spark: SparkSession, rows: int) -> int:
+    """Tasks for a Python stage over ``rows`` rows: every core gets one, and the
+    session's shuffle partitions are followed between one and five million rows
+    per task. The number is fixed, so that adaptive execution does not merge
+    stages that are small in bytes but heavy in arithmetic."""
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most, least = math.ceil(rows / 1_000_000), math.ceil(rows / 5_000_000)
+    return max(cores(spark), min(most, max(wanted, least)))
 
 
 class RatingStore:
@@ -106,6 +116,7 @@ class RatingStore:
         self.n_ratings, self.mean = row["n"], row["m"]
         self.top_id = {"user": row["u"], "item": row["i"]}
         self.rows_per_slot = rows_per_slot
+        self.tasks = task_count(self.spark, self.n_ratings)
         self._laid: dict[str, DataFrame] = {}
         self._hot: dict[str, bool] = {}
 
@@ -136,7 +147,7 @@ class RatingStore:
                 slot = F.coalesce(F.pmod(F.xxhash64(other), F.col("slots")), F.lit(0)).cast("int")
                 rows = self.df.join(F.broadcast(hot), key, "left").withColumn("slot", slot).drop("slots")
         laid = (
-            rows.repartition(task_count(self.spark), key, "slot")
+            rows.repartition(self.tasks, key, "slot")
             .sortWithinPartitions(key, "slot")
             .persist(StorageLevel.MEMORY_AND_DISK)
         )
@@ -161,7 +172,7 @@ class RatingStore:
         rows = self.by(key).join(table, other)
         if own is not None:
             rows = rows.join(own, key, "left")
-        return rows.repartition(task_count(self.spark), key, "slot").sortWithinPartitions(key, "slot")
+        return rows.repartition(self.tasks, key, "slot").sortWithinPartitions(key, "slot")
 
     def release(self) -> None:
         for df in [self.df, *self._laid.values()]:

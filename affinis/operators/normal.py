@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinis.operators.layout import RatingStore, arrow_rows, task_count
+from affinis.operators.layout import RatingStore, arrow_rows
 
 STATS = "key bigint, n bigint, gram array<double>, rhs array<double>"
 FACTORS = "key bigint, bias double, f array<double>"
@@ -188,7 +188,7 @@ def merge_statistics(stats: DataFrame, k: int) -> DataFrame:
             yield _stats_batch(*part)
 
     return (
-        stats.select("key", "n", "gram", "rhs").repartition(task_count(stats.sparkSession), "key")
+        stats.select("key", "n", "gram", "rhs").repartition("key")
         .sortWithinPartitions("key").mapInArrow(merge, STATS)
     )
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinis.operators.layout import arrow_rows, task_count
+from affinis.operators.layout import arrow_rows, cores
 from affinis.operators.normal import matrix
 
 # A tile of this many users squared takes 32 MB; bigger blocks mean fewer copies
@@ -263,7 +263,7 @@ def _both_sides(df: DataFrame, blocks: int) -> DataFrame:
 
 def _tiles(rows: DataFrame, count: int) -> DataFrame:
     arrow_rows(rows.sparkSession, 64)
-    tasks = min(count, 16 * task_count(rows.sparkSession))
+    tasks = min(count, 16 * cores(rows.sparkSession))
     return rows.repartition(max(tasks, 1), "a", "b").sortWithinPartitions("a", "b", "phase", "item", "side")
 
 
@@ -271,7 +271,7 @@ def _blocks_for(users: DataFrame, block: int) -> int:
     """Blocks of at most about ``block`` users, and enough of them to give every
     task a tile unless that would make the blocks tiny."""
     n = users.count()
-    spread = math.ceil(math.sqrt(2 * task_count(users.sparkSession)))
+    spread = math.ceil(math.sqrt(2 * cores(users.sparkSession)))
     return max(1, math.ceil(n / block), min(spread, n // 64))
 
 
@@ -363,7 +363,7 @@ def nearest_vectors(
 
     arrow_rows(vectors.sparkSession, 8 * (dim + 4))
     rows = side(ask, LEFT, bl, b).unionByName(side(vectors, RIGHT, b, bl))
-    tiles = rows.repartition(min(bl * b, 16 * task_count(rows.sparkSession)), "a", "b").sortWithinPartitions(
+    tiles = rows.repartition(min(bl * b, 16 * cores(rows.sparkSession)), "a", "b").sortWithinPartitions(
         "a", "b", "side", "user")
 
     def emit(parts):

@@ -398,3 +398,18 @@ def test_registry(d1, tmp_path, spark):
     path.write_text('{"configurations": [["svd"], ["svdknn", 30, 5, true]]}')
     got = registry.load_experiments(spark, str(path))
     assert got == [("svd", "svd", {}), ("svdknn-30-5-true", "svdknn", {"k": 30, "neighbors": 5, "weighted": True})]
+
+
+def test_third_of_all_rows_on_one_key(spark):
+    """A user and an item that each hold about a third of the ratings."""
+    rows = [(0, i, float(1 + (i * 7) % 5)) for i in range(600)] + [(u, 0, float(1 + u % 5)) for u in range(1, 600)]
+    rows += [(u, 1 + (u * 13) % 599, float(1 + (u * 3) % 5)) for u in range(1, 600)]
+    df = layout.materialise(spark.createDataFrame(rows, "user bigint, item bigint, rating double"), "skew")
+    plain = als.fit_als_biased(df, k=2, iterations=2).predict(df).toPandas().sort_values(["user", "item"]).prediction
+    saved = layout.RatingStore.__init__.__defaults__
+    try:
+        layout.RatingStore.__init__.__defaults__ = (50,)
+        split = als.fit_als_biased(df, k=2, iterations=2).predict(df).toPandas().sort_values(["user", "item"]).prediction
+    finally:
+        layout.RatingStore.__init__.__defaults__ = saved
+    assert np.allclose(plain.values, split.values, atol=1e-9)
