@@ -84,16 +84,18 @@ def recommend_pairwise(spark, sf):
     return _shown(recommend(model, _nation(spark, sf, 3), k=20, pushdown=False))
 
 
-@query(f"""WITH {COSINE}, grp AS (SELECT DISTINCT "user" FROM r WHERE "user" IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)),
+@query(f"""WITH {COSINE}, grp AS (SELECT DISTINCT "user" FROM r WHERE "user" IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')),
    kk AS (SELECT u, v FROM k JOIN grp ON u = grp."user" WHERE rank <= 20), im AS (SELECT item, avg(rating) AS mean FROM r GROUP BY item),
    h AS (SELECT kk.u, r.item, count(*) AS n, sum(rating) AS wr FROM kk JOIN r ON r."user" = kk.v GROUP BY 1, 2),
-   sc AS (SELECT im.item, sum(CASE WHEN coalesce(n, 0) < 3 THEN 0 ELSE (wr + (20 - n) * mean) / 20 END) / count(*) AS s
-     FROM grp CROSS JOIN im LEFT JOIN h ON h.u = grp."user" AND h.item = im.item GROUP BY im.item)
+   a AS (SELECT u, count(*) AS near FROM kk GROUP BY u),
+   sc AS (SELECT im.item, sum(CASE WHEN coalesce(n, 0) < 3 THEN 0 ELSE (wr + (near - n) * mean) / near END) / count(*) AS s
+     FROM grp JOIN a ON a.u = grp."user" CROSS JOIN im LEFT JOIN h ON h.u = grp."user" AND h.item = im.item GROUP BY im.item)
    {TOP.replace('ORDER BY s DESC', 'ORDER BY round(s, 9) DESC').replace(rs('s'), rs('s', 9))} QUALIFY rank <= 20""")
 def recommend_knn(spark, sf):
     """Group recommendation by a neighbourhood model, without group x items."""
     d3 = fx.stored(fx.event_ratings(spark, sf))
-    users = d3.select("user").distinct().join(_nation(spark, sf, 3), "user", "left_semi")
+    segment = fx.table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user"))
+    users = d3.select("user").distinct().join(segment, "user", "left_semi")
     model = neighbours.fit_knn(d3)
     from affinis.operators.recommend import item_scores, top
 
