@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from affinis.functions.vectors import dot, start_value, start_vector, vector_sum, zeros
 from affinis.models.base import FactorModel
 from affinis.operators import stats
-from affinis.operators.layout import RatingStore, materialise
+from affinis.operators.layout import RatingStore, Sweeps, materialise
 from affinis.operators.normal import (
     gram_matrix, half_sweep, joint_ridge, ridge, ridge_with_bias, times_matrix)
 
@@ -36,16 +36,16 @@ def fit_als(
         users = means.join(u.select("user", "f"), "user")
         return FactorModel("als", {"user_factors": users, "item_factors": v}, {"k": k, "intercept": 0.0})
 
-    v = None
+    v, sweeps = None, Sweeps()
     for sweep in range(iterations):
         x = start_vector(F.col("item"), k, seed, init) if v is None else F.col("f")
         u = half_sweep(store, "user", k, solver, target=y, regressors=x, fixed=v)
         last = _due(sweep, iterations, checkpoint_every)
         if last or on_sweep:
-            u = materialise(u, "als-user")
+            u = sweeps.write(u, "als-user")
         v = half_sweep(store, "item", k, solver, target=y, regressors=F.col("f"), fixed=u.select("user", "f"))
         if last or on_sweep:
-            v = materialise(v, "als-item")
+            v = sweeps.write(v, "als-item")
         if on_sweep:
             on_sweep(sweep, model(u, v))
         v = v.select("item", "bias", "f")
@@ -94,14 +94,14 @@ def fit_als_biased(
     start = lambda key: (
         start_vector(F.col(key), k, seed, init), start_value(F.col(key), k, seed, init))
     u = store.df.select("user").distinct().select("user", start("user")[1].alias("bias"))
-    v = None
+    v, sweeps = None, Sweeps()
     for sweep in range(iterations):
         x, b = start("item") if v is None else (F.col("f"), F.col("bias"))
-        u = materialise(half_sweep(
+        u = sweeps.write(half_sweep(
             store, "user", k, solver, target=F.col("rating") - b, regressors=x, fixed=v, prior=u), "als2-user")
         if v is None:
             v = store.df.select("item").distinct().select("item", start("item")[1].alias("bias"))
-        v = materialise(half_sweep(
+        v = sweeps.write(half_sweep(
             store, "item", k, solver, target=F.col("rating") - F.col("bias"), regressors=F.col("f"),
             fixed=u, prior=v), "als2-item")
         if on_sweep:
@@ -137,18 +137,18 @@ def fit_xals(
     means = materialise(stats.user_means(ratings), "user-means")
     rows = stats.center_by_user(ratings, means).join(tags, "item", "left")
     store = RatingStore(rows.withColumn("t", F.coalesce("t", zeros(n_tags))))
-    v = None
+    v, sweeps = None, Sweeps()
     for sweep in range(iterations):
         free = start_vector(F.col("item"), k, seed, init) if v is None else F.col("f")
         u = half_sweep(store, "user", width, ridge(width, lam), target=F.col("rating"),
                        regressors=F.concat(free, F.col("t")), fixed=v, fixed_width=k)
         last = _due(sweep, iterations, checkpoint_every)
-        u = materialise(u, "xals-user") if last else u
+        u = sweeps.write(u, "xals-user") if last else u
         v = half_sweep(
             store, "item", k, ridge(k, lam), fixed=u.select("user", "f"), fixed_width=width,
             target=F.col("rating") - dot(F.slice("f", k + 1, n_tags), F.col("t"), n_tags),
             regressors=F.slice("f", 1, k))
-        v = materialise(v, "xals-item") if last else v
+        v = sweeps.write(v, "xals-item") if last else v
     items = v.join(tags, "item", "left").select(
         "item", "bias", F.concat("f", F.coalesce("t", zeros(n_tags))).alias("f"))
     store.release()
@@ -176,9 +176,9 @@ def fit_wals(
             fixed = materialise(ids.select(other, start_vector(F.col(other), k, seed, init).alias("f")), "wals-start")
         inverse = np.linalg.inv(gram_matrix(fixed, k) + reg * np.eye(k))
         sums = store.df.join(fixed, other).groupBy(key).agg(vector_sum(F.col("rating"), F.col("f"), k).alias("f"))
-        return materialise(times_matrix(sums, inverse), f"wals-{key}")
+        return sweeps.write(times_matrix(sums, inverse), f"wals-{key}")
 
-    v = None
+    v, sweeps = None, Sweeps()
     for _ in range(iterations):
         u = half("user", v)
         v = half("item", u)
@@ -201,7 +201,7 @@ def fit_cfm(
     store = RatingStore(ratings.select("user", "item", "rating"))
     w0 = float(store.mean)
     solver = joint_ridge(k, reg_w, reg_v)
-    v = None
+    v, sweeps = None, Sweeps()
     for sweep in range(iterations):
         x = start_vector(F.col("item"), k, seed, init) if v is None else F.col("f")
         if v is None:
@@ -209,9 +209,9 @@ def fit_cfm(
         else:
             b = F.col("bias")
         u = half_sweep(store, "user", k, solver, target=F.col("rating") - w0 - b, regressors=x, fixed=v)
-        u = materialise(u, "cfm-user") if _due(sweep, iterations, 4) else u
+        u = sweeps.write(u, "cfm-user") if _due(sweep, iterations, 4) else u
         v = half_sweep(store, "item", k, solver, target=F.col("rating") - w0 - F.col("bias"),
                        regressors=F.col("f"), fixed=u)
-        v = materialise(v, "cfm-item") if _due(sweep, iterations, 4) else v
+        v = sweeps.write(v, "cfm-item") if _due(sweep, iterations, 4) else v
     store.release()
     return FactorModel("cfm", {"user_factors": u, "item_factors": v}, {"k": k, "intercept": w0})

@@ -4,15 +4,14 @@ to be given to ``model.predict(pairs, users=rows)``."""
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinis.functions.vectors import combine, dot, elem, literal_vector, start_value, start_vector, zeros
+from affinis.functions.vectors import combine, elem, literal_vector, zeros
 from affinis.models.base import FactorModel
 from affinis.models.spectral import NeighbourSVDModel
 from affinis.operators import stats
-from affinis.operators.layout import RatingStore
+from affinis.operators.layout import RatingStore, materialise
 from affinis.operators.normal import half_sweep, ridge
 
 
@@ -21,12 +20,19 @@ def _centred(new_ratings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return means, stats.center_by_user(new_ratings, means)
 
 
+def _solve(rows: DataFrame, k: int, lam: float, regressors: Column, items: DataFrame) -> DataFrame:
+    store = RatingStore(rows)
+    solved = materialise(half_sweep(store, "user", k, ridge(k, lam), target=F.col("rating"), regressors=regressors,
+                                    fixed=items.select("item", "f")), "newcomers")
+    store.release()
+    return solved
+
+
 def fold_in_als(model: FactorModel, new_ratings: DataFrame, lam: float = 0.1) -> DataFrame:
     """Ridge against the item factors after centring by the newcomer's own mean."""
     k = model.params["k"]
     means, rows = _centred(new_ratings)
-    u = half_sweep(RatingStore(rows), "user", k, ridge(k, lam), target=F.col("rating"), regressors=F.col("f"),
-                   fixed=model.items.select("item", "f"))
+    u = _solve(rows, k, lam, F.col("f"), model.items)
     return means.join(u.select("user", "f"), "user", "left")
 
 
@@ -47,6 +53,5 @@ def fold_in_svd_ridge(model: FactorModel, new_ratings: DataFrame, lam: float = 0
     sigma = literal_vector(model.params["sigma"])
     means, rows = _centred(new_ratings)
     scaled = combine(F.col("f"), sigma, k, lambda a, b: a * b)
-    u = half_sweep(RatingStore(rows), "user", k, ridge(k, lam), target=F.col("rating"), regressors=scaled,
-                   fixed=model.items.where(F.col("f").isNotNull()).select("item", "f"))
+    u = _solve(rows, k, lam, scaled, model.items.where(F.col("f").isNotNull()))
     return means.join(u.select("user", scaled.alias("f")), "user", "left")

@@ -12,6 +12,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from affinis.sources.tables import delete_path
+
 SCRATCH_CONF = "spark.checkpoint.dir"
 # Largest table we ship to every executor on our own account. Anything larger
 # goes through a shuffle join, where adaptive execution splits skewed keys.
@@ -65,6 +67,24 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Sweeps:
+    """Tables written by an iteration. Once two newer ones of the same label
+    exist, nothing reads a table any more and its files are deleted."""
+
+    def __init__(self):
+        self._paths: dict[str, list[str]] = {}
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        spark = df.sparkSession
+        path = scratch_path(spark, label)
+        df.write.parquet(path)
+        kept = self._paths.setdefault(label, [])
+        kept.append(path)
+        if len(kept) > 2:
+            delete_path(spark, kept.pop(0))
+        return spark.read.schema(df.schema).parquet(path)
+
+
 def fits_broadcast(rows: int, row_bytes: int) -> bool:
     return rows * row_bytes <= BROADCAST_BYTES
 

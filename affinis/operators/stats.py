@@ -92,3 +92,21 @@ def split_dispersion(metrics: DataFrame) -> DataFrame:
         F.var_pop(value).alias("var"),
         (1.96 * F.sqrt(F.var_pop(value) / F.count(value))).alias("ci95"),
     )
+
+
+def one_hot(ratings: DataFrame, n_users: int, n_items: int, item_tags: DataFrame | None = None) -> DataFrame:
+    """Sparse design row of each pair: columns user, n_users + item, then the tags.
+
+    Adds ``columns`` and ``values``. No model here needs it (a pair is two keys);
+    it is for handing the data to a solver that wants a design matrix.
+    """
+    columns = F.array(F.col("user").cast("bigint"), (F.col("item") + n_users).cast("bigint"))
+    values = F.array(F.lit(1.0), F.lit(1.0))
+    if item_tags is None:
+        return ratings.select("*", columns.alias("columns"), values.alias("values"))
+    sides = item_tags.groupBy("item").agg(F.array_sort(F.collect_list(F.struct(
+        (F.col("tag") + n_users + n_items).cast("bigint").alias("c"), F.bround("weight").alias("v")))).alias("side"))
+    side = F.filter(F.coalesce("side", F.array().cast("array<struct<c:bigint,v:double>>")), lambda t: t["v"] != 0)
+    return ratings.join(sides, "item", "left").select(
+        *ratings.columns, F.concat(columns, F.transform(side, lambda t: t["c"])).alias("columns"),
+        F.concat(values, F.transform(side, lambda t: t["v"])).alias("values"))

@@ -60,3 +60,15 @@ def mean_over_rows(spark, sf):
 def distinct_ids(spark, sf):
     d1 = fx.part_ratings(spark, sf)
     return d1.agg(F.countDistinct("user").alias("users"), F.countDistinct("item").alias("items"))
+
+
+@query(f"""WITH d AS ({fx.D1}), n AS (SELECT max("user") + 1 AS nu, max(item) + 1 AS ni FROM d)
+   SELECT "user", item, CAST("user" AS BIGINT) AS col, 1.0::DOUBLE AS value FROM d
+   UNION ALL SELECT "user", item, CAST(nu + item AS BIGINT), 1.0::DOUBLE FROM d, n
+   UNION ALL SELECT "user", item, CAST(nu + ni + tag AS BIGINT), round_even(weight, 0) FROM d JOIN ({fx.D4}) USING (item), n
+     WHERE round_even(weight, 0) <> 0""")
+def one_hot_rows(spark, sf):
+    d1 = fx.stored(fx.part_ratings(spark, sf))
+    rows = stats.one_hot(d1, *stats.dims(d1), fx.item_tags(spark, sf))
+    cells = F.inline(F.arrays_zip(F.col("columns").alias("col"), F.col("values").alias("value")))
+    return rows.select("user", "item", cells).toDF("user", "item", "col", "value")

@@ -97,6 +97,18 @@ def sgd_foldin(spark, sf):
     return model.predict(new.select("user", "item"), rows).withColumn("prediction", r("prediction"))
 
 
+@query(f"""{sgd_chain(2, start_w='0.0::DOUBLE', learn_w=False)}, {_fold_chain(2)}
+   SELECT nw."user", nw.item, {rs('w + p.b + v.b + p.f * v.f')} AS prediction
+   FROM nw JOIN p2 p USING ("user") JOIN v2 v USING (item), g2""")
+def sgd2_foldin(spark, sf):
+    """The same fold-in for the pair machine, whose intercept is 0."""
+    d1 = fx.stored(fx.part_ratings(spark, sf))
+    model = gradient.fit_sgd2(d1, k=1, epochs=2, seed=SEED, init="grid")
+    new = d1.select((F.col("user") + 1_000_000_000).alias("user"), "item", (6 - F.col("rating")).alias("rating"))
+    rows = gradient.fold_in_sgd(model, new, epochs=2, start=[0.5])
+    return model.predict(new.select("user", "item"), rows).withColumn("prediction", r("prediction"))
+
+
 def lasso_chain(rounds: int, alpha: float = 0.01) -> str:
     """Proximal steps in long form: one row per user and tag."""
     ctes = [f"d AS MATERIALIZED ({fx.D1})", f"t AS MATERIALIZED ({fx.D4})",
