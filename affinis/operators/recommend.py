@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from affinis.functions.vectors import dot, elem, literal_vector
 from affinis.models.base import FactorModel, Model
+from affinis.operators.layout import fits_broadcast
 from affinis.operators.prepare import dense_ids
 
 USERS_PER_SLOT = 256
@@ -28,9 +29,12 @@ def group_grid(users: DataFrame, items: DataFrame) -> DataFrame:
     per slot, so each task holds a few hundred members at most.
     """
     members = users.select("user").distinct()
-    slots = max(1, math.ceil(members.count() / USERS_PER_SLOT))
+    n = members.count()
+    slots = max(1, math.ceil(n / USERS_PER_SLOT))
     dealt = members.withColumn("slot", F.pmod(F.xxhash64("user"), F.lit(slots)).cast("int"))
     spread = items.select("item", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    if fits_broadcast(n, 24):  # counted: the candidates then stay where they are
+        dealt = F.broadcast(dealt)
     return spread.join(dealt, "slot").select("user", "item")
 
 
