@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 # Each module registers its query here when imported.
-MODULES = ["q_rules"]
+MODULES = ["q_rules", "q_jaccard"]
 
 
 def query(name: str, sql: str | None = None):

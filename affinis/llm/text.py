@@ -115,7 +115,7 @@ def read(spark, sf_dir: str, table: str) -> DataFrame:
 
 def input_mb(df: DataFrame) -> float:
     """Optimizer's size estimate of the scan in MB; sizes the partitions of written work."""
-    return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) / 1e6
+    return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 1e6
 
 
 def tasks_for(df: DataFrame, mb: float = 16.0) -> int:
