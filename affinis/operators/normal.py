@@ -8,6 +8,7 @@ differs between the models is only the target, the regressors and the solver.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -335,24 +336,71 @@ def times_matrix(table: DataFrame, m: np.ndarray, vec: str = "f") -> DataFrame:
     return table.mapInArrow(multiply, table.schema)
 
 
-def gradient_steps(k: int, intercept_start: np.ndarray, epochs: int, rate: float, penalty: float, burst: int) -> Solver:
-    """Gradient descent on one key's bias and factors with the other side fixed.
+def implicit_step(n, gram, rhs, bias, f, k: int, rate: float, penalty: float, with_bias: bool) -> tuple[np.ndarray, np.ndarray]:
+    """One implicit gradient step of every key on its bias and factors together.
 
-    The gradient depends on the ratings only through the normal-equation sums,
-    so all epochs run on them without touching the ratings again. The bias
-    starts at the prior, the factors at ``intercept_start``.
+    The n serial steps that a key's ratings would take are, to first order in the
+    rate, theta + rate (rhs - (gram + penalty n) theta). Taking the gradient at the
+    end point instead, theta' = (1 + rate (gram + penalty n))^-1 (theta + rate rhs),
+    agrees with them to that order and is stable for any number of ratings.
+    """
+    size = k + 1 if with_bias else k
+    theta = np.column_stack([f, bias])[:, :size]
+    a = np.eye(size) + rate * (gram[:, :size, :size] + (penalty * n)[:, None, None] * np.eye(size))
+    theta = np.linalg.solve(a, (theta + rate * rhs[:, :size])[:, :, None])[:, :, 0]
+    return (theta[:, k] if with_bias else np.zeros(len(n))), theta[:, :k]
+
+
+def implicit_sweep(
+    store: RatingStore, key: str, k: int, rate: float, penalty: float, *, target: Column, own: DataFrame, fixed: DataFrame,
+    with_bias: bool = True, keep: Column | None = None,
+) -> DataFrame:
+    """An implicit step of every row of ``own`` (``key, bias, f``) against the other side.
+
+    Returns ``key, bias, f, n, e``: e is the sum of the key's residuals after the step.
+    ``keep`` restricts the ratings (a mini-batch); keys without one stay as they are.
+    """
+    rows = store.attach(key, fixed, k)
+    if keep is not None:
+        rows = rows.where(keep)
+    rows = rows.select(F.col(key).alias("key"), target.alias("y"), F.col("f").alias("x"))
+    width = (k + 1) * (k + 2) // 2
+    arrow_rows(store.spark, 8 * (width + 2 * k + 6))
+    stats = key_statistics(rows, k, store.is_split(key))
+    held = own.select(F.col(key).alias("key"), F.col("bias").alias("b0"), F.col("f").alias("f0"))
+
+    def solve(it):
+        for b in it:
+            if b.num_rows:
+                n = b.column("n").to_numpy(zero_copy_only=False).astype(float)
+                gram = unpack(matrix(b.column("gram"), width), k + 1)
+                rhs = matrix(b.column("rhs"), k + 1)
+                bias, f = implicit_step(
+                    n, gram, rhs, b.column("b0").to_numpy(zero_copy_only=False), matrix(b.column("f0"), k), k, rate, penalty, with_bias)
+                e = rhs[:, k] - n * bias - (f * gram[:, :k, k]).sum(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("key"), pa.array(bias, pa.float64()), list_array(f), b.column("n"), pa.array(e)],
+                    names=["key", "bias", "f", "n", "e"])
+
+    moved = stats.join(held, "key").mapInArrow(solve, "key bigint, bias double, f array<double>, n bigint, e double")
+    return held.join(moved, "key", "left").select(
+        F.col("key").alias(key), F.coalesce("bias", "b0").alias("bias"), F.coalesce("f", "f0").alias("f"),
+        F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("e", F.lit(0.0)).alias("e"))
+
+
+def implicit_steps(k: int, factors_start: np.ndarray, epochs: int, rate: float, penalty: float) -> Solver:
+    """Implicit steps on one key's bias and factors with the other side fixed.
+
+    They depend on the ratings only through the normal-equation sums, so all epochs
+    run on them without touching the ratings again. The bias starts at the prior,
+    the factors at ``factors_start``.
     """
 
     def solver(n, gram, rhs, prior):
-        f = np.tile(np.asarray(intercept_start, dtype=float), (len(n), 1))
-        bias = prior.astype(float).copy()
-        step = rate * np.minimum(n, burst) / n
-        g, sums = gram[:, :k, :k], gram[:, :k, k]
+        f = np.tile(np.asarray(factors_start, dtype=float), (len(n), 1))
+        bias = prior.astype(float)
         for _ in range(epochs):
-            e = n * bias + (sums * f).sum(axis=1) - rhs[:, k]
-            grad = np.einsum("mij,mj->mi", g, f) + bias[:, None] * sums - rhs[:, :k]
-            bias -= step * (e + penalty * n * bias)
-            f -= step[:, None] * (grad + penalty * n[:, None] * f)
+            bias, f = implicit_step(n, gram, rhs, bias, f, k, rate, penalty, True)
         return bias, f
 
     return solver
@@ -382,16 +430,22 @@ def lasso(k: int, alpha: float, with_bias: bool, method: str = "descent", rounds
             for _ in range(rounds):
                 w = shrink(w - (np.einsum("mij,mj->mi", g, w) - b) / size, alpha / size)
         else:
-            safe = np.where(live, diagonal, 1.0)
+            # Only keys whose weights still move, and of those only columns with spread.
+            active = np.arange(len(n))
             for _ in range(rounds):
-                moved = 0.0
+                moved = np.zeros(len(n))
                 for j in range(k):
-                    rest = b[:, j] - np.einsum("mi,mi->m", g[:, j], w) + diagonal[:, j] * w[:, j]
-                    new = np.where(live[:, j], shrink(rest, alpha) / safe[:, j], 0.0)
-                    moved = max(moved, np.abs(new - w[:, j]).max())
-                    w[:, j] = new
-                if moved < tol:
+                    at = active[live[active, j]]
+                    if len(at):
+                        rest = b[at, j] - np.einsum("mi,mi->m", g[at, j], w[at]) + diagonal[at, j] * w[at, j]
+                        new = shrink(rest, alpha) / diagonal[at, j]
+                        moved[at] = np.maximum(moved[at], np.abs(new - w[at, j]))
+                        w[at, j] = new
+                active = active[moved[active] >= tol]
+                if not len(active):
                     break
+            else:
+                warnings.warn(f"{len(active)} of {len(n)} regressions still move after {rounds} rounds", RuntimeWarning, stacklevel=2)
         bias = (sy - (sums * w).sum(axis=1)) / n
         return bias, w
 

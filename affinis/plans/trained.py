@@ -11,8 +11,27 @@ from affinis.plans.spectral import NEW_BUYERS
 from affinis.sources import fixtures as fx
 
 
-def sgd_chain(epochs: int, rate=0.01, lam=0.1, start_w="0.5", bias=True, learn_w=True, burst=10, compat=False,
-              scale="1", zero_bias=False, name="d") -> str:
+def implicit_sql(sums: str, mine: str, key: str, rate, lam, bias: bool = True) -> str:
+    """One implicit step at rank 1: a division, or with a bias a system of two equations.
+
+    ``sums`` has n, sx, sxx, sy, sxy per key; ``mine`` the key's b and f before the step.
+    """
+    a, d, c = f"(1 + {rate} * (sxx + {lam} * n))", f"(1 + {rate} * (n + {lam} * n))", f"({rate} * sx)"
+    p, q = f"(f + {rate} * sxy)", f"(b + {rate} * sy)"
+    if not bias:
+        nb, nf = "0.0::DOUBLE", f"{p} / {a}"
+    else:
+        nb, nf = f"({a} * {q} - {c} * {p}) / ({a} * {d} - {c} * {c})", f"({d} * {p} - {c} * {q}) / ({a} * {d} - {c} * {c})"
+    return f"SELECT {key}, {nb} AS b, {nf} AS f FROM {mine} JOIN ({sums}) USING ({key})"
+
+
+def _sums(key: str, other: str, theirs: str, w: str, rows: str = "d") -> str:
+    return f"""SELECT {key}, count(*) AS n, sum(o.f) AS sx, sum(o.f * o.f) AS sxx, sum(rating - w - o.b) AS sy, sum((rating - w - o.b) * o.f) AS sxy
+          FROM {rows} JOIN {other} o USING ({theirs}), {w} GROUP BY {key}"""
+
+
+def sgd_chain(epochs: int, rate=0.01, lam=0.1, start_w="0.5", bias=True, learn_w=True, compat=False,
+              scale="1", zero_bias=False) -> str:
     user = '"user"'
     b0 = lambda c: grid(c, 1) if bias and not zero_bias else "0.0::DOUBLE"
     ctes = [f"d AS MATERIALIZED ({fx.D1})", "nn AS (SELECT count(*) AS total FROM d)",
@@ -20,19 +39,16 @@ def sgd_chain(epochs: int, rate=0.01, lam=0.1, start_w="0.5", bias=True, learn_w
             f"u0 AS (SELECT DISTINCT {user}, {b0(user)} AS b, {scale} * {grid(user)} AS f FROM d)",
             f"v0 AS (SELECT DISTINCT item, {b0('item')} AS b, {scale} * {grid('item')} AS f FROM d)"]
     for t in range(1, epochs + 1):
-        ctes.append(f"""e{t} AS MATERIALIZED (SELECT d.{user}, d.item, w + u.b + v.b + u.f * v.f - rating AS err, u.f AS uf, v.f AS vf
-          FROM d JOIN u{t - 1} u USING ({user}) JOIN v{t - 1} v USING (item), g{t - 1})""")
-        for key, mine, fixed in ((user, "u", "vf"), ("item", "v", "uf")):
-            if compat:
-                nb = f"b - {rate} * (e / total + {lam} * b)"
-                nf = f"f - {rate} * (1.0::DOUBLE / total + {lam}) * g"
-            else:
-                step = f"{rate} * least(n, {burst}) / n"
-                nb, nf = f"b - {step} * (e + {lam} * n * b)", f"f - {step} * (g + {lam} * n * f)"
-            ctes.append(f"""{mine}{t} AS MATERIALIZED (SELECT {key}, {nb if bias else '0.0::DOUBLE'} AS b, {nf} AS f
-              FROM {mine}{t - 1} JOIN (SELECT {key}, count(*) AS n, sum(err) AS e, sum(err * {fixed}) AS g FROM e{t} GROUP BY {key}) USING ({key}), nn)""")
-        ctes.append(f"g{t} AS (SELECT w - {rate} * {burst} * (SELECT avg(err) FROM e{t}) AS w FROM g{t - 1})" if learn_w
-                    else f"g{t} AS (SELECT w FROM g{t - 1})")
+        if compat:
+            for key, mine, fixed in ((user, "u", "v.f"), ("item", "v", "u.f")):
+                ctes.append(f"""{mine}{t} AS MATERIALIZED (SELECT {key}, b - {rate} * (e / total + {lam} * b) AS b, f - {rate} * (1.0::DOUBLE / total + {lam}) * g AS f
+                  FROM {mine}{t - 1} JOIN (SELECT d.{key}, sum(w + u.b + v.b + u.f * v.f - rating) AS e, sum((w + u.b + v.b + u.f * v.f - rating) * {fixed}) AS g
+                    FROM d JOIN u{t - 1} u USING ({user}) JOIN v{t - 1} v USING (item), g{t - 1} GROUP BY d.{key}) USING ({key}), nn)""")
+        else:
+            ctes.append(f"u{t} AS MATERIALIZED ({implicit_sql(_sums(user, f'v{t - 1}', 'item', f'g{t - 1}'), f'u{t - 1}', user, rate, lam, bias)})")
+            ctes.append(f"v{t} AS MATERIALIZED ({implicit_sql(_sums('item', f'u{t}', user, f'g{t - 1}'), f'v{t - 1}', 'item', rate, lam, bias)})")
+        ctes.append(f"""g{t} AS MATERIALIZED (SELECT any_value(w) + {rate} * sum(rating - w - u.b - v.b - u.f * v.f) / (1 + {rate} * count(*)) AS w
+          FROM d JOIN u{t} u USING ({user}) JOIN v{t} v USING (item), g{t - 1})""" if learn_w else f"g{t} AS (SELECT w FROM g{t - 1})")
     return "WITH " + ",\n".join(ctes)
 
 
@@ -79,11 +95,8 @@ def _fold_chain(epochs: int) -> str:
     ctes = [f"nw AS MATERIALIZED ({NEW_BUYERS})",
             'p0 AS MATERIALIZED (SELECT "user", avg(rating) AS b, 0.5::DOUBLE AS f FROM nw GROUP BY "user")']
     for t in range(1, epochs + 1):
-        step = "0.01 * least(n, 10) / n"
-        ctes.append(f"""p{t} AS MATERIALIZED (SELECT "user", b - {step} * (e + 0.1 * n * b) AS b, f - {step} * (g + 0.1 * n * f) AS f FROM p{t - 1} JOIN (
-          SELECT "user", count(*) AS n, sum(err) AS e, sum(err * f) AS g FROM (
-            SELECT nw."user", w + p.b + v.b + p.f * v.f - rating AS err, v.f FROM nw JOIN p{t - 1} p USING ("user") JOIN v2 v USING (item), g2)
-          GROUP BY "user") USING ("user"))""")
+        sums = _sums('"user"', "v2", "item", "g2", "nw")
+        ctes.append(f"""p{t} AS MATERIALIZED ({implicit_sql(sums, f'p{t - 1}', '"user"', 0.01, 0.1)})""")
     return ",\n".join(ctes)
 
 
