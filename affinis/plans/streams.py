@@ -48,3 +48,15 @@ def stream_foldin(spark, sf):
     rated = label_to_value(streams.event_stream(spark, sf), LABEL_VALUES).select("user", "item", "rating")
     rows = streams.fold_in(rated, model, scratch_path(spark, "stream-foldin"))
     return rows.select("user", r("bias", 9).alias("bias"), r(F.col("f")[0], 5).alias("factor"))
+
+
+@query(f"""{als_chain(2).replace(fx.D1, fx.D3)}, w AS ({fx.D3}), wm AS (SELECT "user", avg(rating) AS wm FROM w GROUP BY "user")
+   SELECT w."user", {rs('any_value(wm)', 9)} AS bias, {rs('sum((rating - wm) * v) / (sum(v * v) + 0.1 * count(*))', 5)} AS factor
+   FROM w JOIN wm USING ("user") JOIN v2 USING (item) GROUP BY w."user" """)
+def stream_foldin_latest(spark, sf):
+    """Later events of a pair replace earlier ones."""
+    model = als.fit_als(fx.event_ratings(spark, sf), k=1, iterations=2, seed=SEED, init="grid")
+    rated = label_to_value(streams.event_stream(spark, sf), LABEL_VALUES).select(
+        "user", "item", "rating", F.struct("ts", "event_id").alias("arrived"))
+    rows = streams.fold_in_latest(rated, model, scratch_path(spark, "stream-latest"))
+    return rows.select("user", r("bias", 9).alias("bias"), r(F.col("f")[0], 5).alias("factor"))

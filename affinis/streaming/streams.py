@@ -75,14 +75,48 @@ def quorum_sums(messages: DataFrame, path: str, threshold: int, length: str = "1
         messages.withWatermark("ts", delay)
         .groupBy(F.window("ts", length).alias("round"), "user").agg(F.max_by("vec", "arrived").alias("vec"))
     )
+    # Position -1 holds the length of the vector: its row counts a round's senders
+    # and knows the shortest vector, to which the round is cut.
+    led = F.concat(F.array(F.size("vec").cast("bigint")), F.col("vec"))
     sums = (
-        latest.select("round", F.posexplode("vec").alias("pos", "value"))
-        .groupBy("round", "pos").agg(F.count(F.lit(1)).alias("senders"), *_limb_sums(F.col("value")))
-        .where(F.col("senders") >= threshold)
-        .select(F.col("round.start").alias("round"), "pos", "senders", _join_limbs().alias("total"))
+        latest.where("vec is not null").select("round", F.posexplode(led).alias("at", "value"))
+        .groupBy("round", "at").agg(F.count(F.lit(1)).alias("senders"), F.min("value").alias("least"), *_limb_sums(F.col("value")))
+        .select(F.col("round.start").alias("round"), (F.col("at") - 1).alias("pos"), "senders", "least", _join_limbs().alias("total"))
     )
     _drain(sums.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows"), path)
-    return spark.read.schema(sums.schema).parquet(f"{path}/rows")
+    rows = spark.read.schema(sums.schema).parquet(f"{path}/rows")
+    rounds = rows.where((F.col("pos") == -1) & (F.col("senders") >= threshold)).select(
+        "round", "senders", F.col("least").alias("shortest"))
+    return rows.where("pos >= 0").select("round", "pos", "total").join(rounds, "round").where(
+        F.col("pos") < F.col("shortest")).select("round", "pos", "senders", "total")
+
+
+def latest_ratings(ratings: DataFrame, path: str) -> DataFrame:
+    """The last rating of every pair by ``arrived``, whatever order batches bring them in.
+
+    ``ratings``: user, item, rating, arrived. The state is a native aggregate per pair;
+    every batch writes the pairs it changed, and repeating it overwrites them.
+    """
+    spark = ratings.sparkSession
+    last = ratings.groupBy("user", "item").agg(F.max_by("rating", "arrived").alias("rating"))
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+
+    _drain(last.writeStream.outputMode("update").foreachBatch(write), path)
+    rows = spark.read.schema(T.StructType([*last.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/rows")
+    return rows.groupBy("user", "item").agg(F.max_by("rating", "batch").alias("rating"))
+
+
+def fold_in_latest(ratings: DataFrame, model: FactorModel, path: str, lam: float = 0.1) -> DataFrame:
+    """Fold-in of a stream in which the last rating of a pair replaces earlier ones.
+
+    The stream keeps the ratings; users are solved against the fixed items in one pass
+    over the current table, as in the batch fold-in.
+    """
+    from affinis.models.foldin import fold_in_als
+
+    return fold_in_als(model, latest_ratings(ratings, path), lam)
 
 
 def fold_in(ratings: DataFrame, model: FactorModel, path: str, lam: float = 0.1) -> DataFrame:
