@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from affinis.functions.vectors import dot, start_value, start_vector, vector_sum, zeros
 from affinis.models.base import FactorModel
 from affinis.operators import stats
-from affinis.operators.layout import RatingStore, Sweeps, materialise
+from affinis.operators.layout import RatingStore, Sweeps, materialise, scratch_path, task_count
 from affinis.operators.normal import (
     gram_matrix, half_sweep, joint_ridge, ridge, ridge_with_bias, times_matrix)
 
@@ -65,8 +65,12 @@ def fit_als_mllib(
 
     means = materialise(stats.user_means(ratings), "user-means")
     centred = stats.center_by_user(ratings, means)
+    spark = ratings.sparkSession
+    blocks = task_count(spark, centred.count())
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch_path(spark, "als"))
     als = ALS(rank=k, maxIter=iterations, regParam=lam, seed=seed, userCol="item", itemCol="user",
-              ratingCol="rating", checkpointInterval=-1)
+              ratingCol="rating", checkpointInterval=4, numUserBlocks=blocks, numItemBlocks=blocks)
     fitted = als.fit(centred.select(F.col("user").cast("int"), F.col("item").cast("int"), "rating"))
 
     def side(df: DataFrame, key: str) -> DataFrame:
@@ -125,7 +129,7 @@ def tag_vectors(item_tags: DataFrame, n_tags: int) -> DataFrame:
 
 def fit_xals(
     ratings: DataFrame, item_tags: DataFrame, n_tags: int, k: int = 10, iterations: int = 10, lam: float = 0.1,
-    seed: int = 42, init: str = "uniform", checkpoint_every: int = 4,
+    seed: int = 42, init: str = "uniform", checkpoint_every: int = 4, on_sweep=None,
 ) -> FactorModel:
     """ALS whose item vector is [k free factors, the item's tags].
 
@@ -138,22 +142,28 @@ def fit_xals(
     rows = stats.center_by_user(ratings, means).join(tags, "item", "left")
     store = RatingStore(rows.withColumn("t", F.coalesce("t", zeros(n_tags))))
     v, sweeps = None, Sweeps()
+
+    def model() -> FactorModel:
+        items = v.join(tags, "item", "left").select(
+            "item", "bias", F.concat("f", F.coalesce("t", zeros(n_tags))).alias("f"))
+        return FactorModel("xals", {"user_factors": means.join(u.select("user", "f"), "user"), "item_factors": items},
+                           {"k": width, "intercept": 0.0})
+
     for sweep in range(iterations):
         free = start_vector(F.col("item"), k, seed, init) if v is None else F.col("f")
         u = half_sweep(store, "user", width, ridge(width, lam), target=F.col("rating"),
                        regressors=F.concat(free, F.col("t")), fixed=v, fixed_width=k)
-        last = _due(sweep, iterations, checkpoint_every)
+        last = _due(sweep, iterations, checkpoint_every) or on_sweep is not None
         u = sweeps.write(u, "xals-user") if last else u
         v = half_sweep(
             store, "item", k, ridge(k, lam), fixed=u.select("user", "f"), fixed_width=width,
             target=F.col("rating") - dot(F.slice("f", k + 1, n_tags), F.col("t"), n_tags),
             regressors=F.slice("f", 1, k))
         v = sweeps.write(v, "xals-item") if last else v
-    items = v.join(tags, "item", "left").select(
-        "item", "bias", F.concat("f", F.coalesce("t", zeros(n_tags))).alias("f"))
+        if on_sweep:
+            on_sweep(sweep, model())
     store.release()
-    return FactorModel("xals", {"user_factors": means.join(u.select("user", "f"), "user"), "item_factors": items},
-                       {"k": width, "intercept": 0.0})
+    return model()
 
 
 def fit_wals(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,18 +27,49 @@ class Model:
     def predict(self, pairs: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def set_parameters(self, n_users: int | None = None, n_items: int | None = None) -> Model:
+        """Dimensions of the matrix, where they exceed the largest rated ids."""
+        given = {"n_users": n_users, "n_items": n_items}
+        self.params.update({k: int(v) for k, v in given.items() if v is not None})
+        return self
+
+    def rated_items(self) -> DataFrame | None:
+        """Items the model knows, or None if it knows none."""
+        return None
+
+    def n_items(self) -> int:
+        """Items 0 .. n - 1 are candidates unless others are named."""
+        if "n_items" not in self.params:
+            known = self.rated_items()
+            top = None if known is None else known.agg(F.max("item")).first()[0]
+            self.params["n_items"] = 0 if top is None else int(top) + 1
+        return self.params["n_items"]
+
     def save(self, path: str) -> None:
         """Write every table as parquet under ``path``, the manifest last.
 
-        The manifest makes a half-written snapshot unreadable rather than wrong.
+        Every save goes to a folder of its own, which the manifest names once all is
+        written; only then is the folder of the save before deleted. A save that
+        breaks off leaves the older snapshot readable, and a model may be saved to
+        where it was loaded from. The model reads the new files from then on.
         """
+        spark = SparkSession.active()
+        try:
+            old = json.loads(read_text(spark, f"{path}/manifest.json")).get("folder")
+        except FileNotFoundError:
+            old = None
+        folder = f"data-{uuid.uuid4().hex}"
+        parts = self.parts()
         for label, df in self.tables.items():
-            df.write.mode("overwrite").parquet(f"{path}/{label}")
-        for label, part in self.parts().items():
-            part.save(f"{path}/{label}")
-        manifest = {"kind": type(self).__name__, "name": self.name, "params": self.params,
-                    "tables": list(self.tables), "parts": list(self.parts())}
-        write_text(SparkSession.active(), f"{path}/manifest.json", json.dumps(manifest))
+            df.write.parquet(f"{path}/{folder}/{label}")
+        for label, part in parts.items():
+            part.save(f"{path}/{folder}/{label}")
+        manifest = {"kind": type(self).__name__, "name": self.name, "params": self.params, "folder": folder,
+                    "tables": list(self.tables), "parts": list(parts)}
+        write_text(spark, f"{path}/manifest.json", json.dumps(manifest))
+        self.tables = {t: spark.read.schema(df.schema).parquet(f"{path}/{folder}/{t}") for t, df in self.tables.items()}
+        if old:
+            delete_path(spark, f"{path}/{old}")
 
     def parts(self) -> dict[str, Model]:
         """Models this one is made of, saved along with it."""
@@ -63,6 +95,9 @@ class FactorModel(Model):
     def items(self) -> DataFrame:
         return self.tables["item_factors"]
 
+    def rated_items(self) -> DataFrame | None:
+        return self.items
+
     def clip(self, score: Column) -> Column:
         if self.params.get("low") is None:
             return score
@@ -95,7 +130,10 @@ class FactorModel(Model):
 class ZeroModel(Model):
     bilinear = False
 
-    def predict(self, pairs: DataFrame) -> DataFrame:
+    def rated_items(self) -> DataFrame | None:
+        return None
+
+    def predict(self, pairs: DataFrame, users: DataFrame | None = None) -> DataFrame:
         return pairs.withColumn("prediction", F.lit(0.0))
 
 
@@ -105,8 +143,9 @@ def load(spark: SparkSession, path: str) -> Model:
 
     manifest = json.loads(read_text(spark, f"{path}/manifest.json"))
     kind = registry.KINDS[manifest["kind"]]
-    tables = {t: spark.read.parquet(f"{path}/{t}") for t in manifest["tables"]}
-    parts = {p: load(spark, f"{path}/{p}") for p in manifest["parts"]}
+    base = f"{path}/{manifest['folder']}"
+    tables = {t: spark.read.parquet(f"{base}/{t}") for t in manifest["tables"]}
+    parts = {p: load(spark, f"{base}/{p}") for p in manifest["parts"]}
     return kind(manifest["name"], tables, manifest["params"], **parts)
 
 

@@ -134,5 +134,6 @@ def compare_models(
     return metrics(reduce(DataFrame.unionByName, scored), names, ["model", "split"])
 
 
-def save_metrics(table: DataFrame, path: str, mode: str = "append") -> None:
-    table.write.mode(mode).partitionBy("model").parquet(path)
+def save_metrics(table: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One folder per model; by default those of the models in ``table`` are replaced."""
+    table.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(path)

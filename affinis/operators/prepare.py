@@ -130,8 +130,9 @@ def interesting_items(ratings: DataFrame, at_least: int = RATED_BY_AT_LEAST) ->
 
 
 def by_popularity(ratings: DataFrame) -> DataFrame:
-    n = ratings.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    return n.orderBy(F.desc("n"), "item")
+    """item, n, rank from 1, the most rated first; equal counts in id order."""
+    ids = popularity_ids(ratings)
+    return ids.select(F.col("raw_id").alias("item"), "n", (F.col("dense_id") + 1).alias("rank")).orderBy("rank")
 
 
 def round_tags(item_tags: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from affinis.functions.vectors import dot, elem, literal_vector
@@ -22,20 +22,32 @@ USERS_PER_SLOT = 256
 SMALL_TOP = 10_000
 
 
+def group_members(users: DataFrame) -> DataFrame:
+    """user, weight: a member named several times counts as often."""
+    return users.groupBy("user").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def candidates(model: Model, items: DataFrame | None) -> DataFrame:
+    """The items named, else all of 0 .. n_items - 1, rated or not."""
+    if items is not None:
+        return items.select("item").distinct()
+    return SparkSession.active().range(model.n_items()).withColumnRenamed("id", "item")
+
+
 def group_grid(users: DataFrame, items: DataFrame) -> DataFrame:
-    """(user, item) for every member and candidate, as an equi-join on a slot.
+    """(user, item, weight) for every member and candidate, as an equi-join on a slot.
 
     Members are dealt to slots of bounded size and candidates are repeated once
     per slot, so each task holds a few hundred members at most.
     """
-    members = users.select("user").distinct()
+    members = group_members(users)
     n = members.count()
     slots = max(1, math.ceil(n / USERS_PER_SLOT))
     dealt = members.withColumn("slot", F.pmod(F.xxhash64("user"), F.lit(slots)).cast("int"))
     spread = items.select("item", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
     if fits_broadcast(n, 24):  # counted: the candidates then stay where they are
         dealt = F.broadcast(dealt)
-    return spread.join(dealt, "slot").select("user", "item")
+    return spread.join(dealt, "slot").select("user", "item", "weight")
 
 
 def _group_row(model: FactorModel, users: DataFrame | None, extra: DataFrame | None):
@@ -64,32 +76,30 @@ def item_scores(
         raise ValueError("the group is empty")
     if pushdown and model.bilinear and model.params.get("low") is None:
         bias, f = _group_row(model, users, extra)
-        cand = model.items.select("item", "bias", "f")
-        if items is not None:
-            cand = items.select("item").distinct().join(cand, "item", "left")
+        cand = candidates(model, items).join(model.items.select("item", "bias", "f"), "item", "left")
         k = model.params["k"]
         score = F.lit(float(model.params["intercept"]) + float(bias)) + F.coalesce("bias", F.lit(0.0)) + F.coalesce(
             dot(F.col("f"), literal_vector(f), k) if k else F.lit(0.0), F.lit(0.0))
         return cand.select("item", score.alias("score"))
-    if items is None:
-        items = model.items.select("item") if isinstance(model, FactorModel) else None
-    if items is None:
-        raise ValueError("this model needs the candidate items")
-    items = items.select("item").distinct()
+    items = candidates(model, items)
     if users is not None and extra is None and hasattr(model, "item_scores"):
-        members = users.select("user").distinct()
-        n = members.count()
-        if n == 0:
+        members = group_members(users)
+        n = members.agg(F.sum("weight")).first()[0]
+        if not n:
             raise ValueError("the group is empty")
-        known = model.item_scores(members).groupBy("item").agg((F.sum("prediction") / n).alias("score"))
+        known = model.item_scores(members).join(members, "user").groupBy("item").agg(
+            (F.sum(F.col("prediction") * F.col("weight")) / n).alias("score"))
         return items.join(known, "item", "left").fillna(0.0, ["score"])
     scored = []
     if users is not None:
         scored.append(model.predict(group_grid(users, items)))
     if extra is not None:
-        scored.append(model.predict(group_grid(extra, items), extra))
+        # A newcomer's rows, several for neighbour lists, make one member.
+        once = group_grid(extra.select("user").distinct(), items)
+        scored.append(model.predict(once, extra))
     stacked = scored[0] if len(scored) == 1 else scored[0].unionByName(scored[1])
-    return stacked.groupBy("item").agg(F.avg("prediction").alias("score"))
+    weight = F.when(F.col("prediction").isNotNull(), F.col("weight"))
+    return stacked.groupBy("item").agg((F.sum(F.col("prediction") * F.col("weight")) / F.sum(weight)).alias("score"))
 
 
 def top(scores: DataFrame, k: int | None) -> DataFrame:

@@ -28,6 +28,7 @@ from affinis.operators.normal import matrix
 # A tile of this many users squared takes 32 MB; bigger blocks mean fewer copies
 # of each rating (one per block), smaller ones less memory per task.
 BLOCK = 2048
+TILES_PER_TASK = 16
 DECIMALS = 9
 _PAIRS_AT_ONCE = 2_000_000
 
@@ -261,10 +262,14 @@ def _both_sides(df: DataFrame, blocks: int) -> DataFrame:
                      "user", "item", "rating")
 
 
+def _tile_tasks(spark, count: int) -> int:
+    """Every core gets tiles, and no task more than a few, however many there are."""
+    return max(1, min(count, max(16 * cores(spark), math.ceil(count / TILES_PER_TASK))))
+
+
 def _tiles(rows: DataFrame, count: int) -> DataFrame:
     arrow_rows(rows.sparkSession, 64)
-    tasks = min(count, 16 * cores(rows.sparkSession))
-    return rows.repartition(max(tasks, 1), "a", "b").sortWithinPartitions("a", "b", "phase", "item", "side")
+    return rows.repartition(_tile_tasks(rows.sparkSession, count), "a", "b").sortWithinPartitions("a", "b", "phase", "item", "side")
 
 
 def _blocks_for(users: DataFrame, block: int) -> int:
@@ -363,7 +368,7 @@ def nearest_vectors(
 
     arrow_rows(vectors.sparkSession, 8 * (dim + 4))
     rows = side(ask, LEFT, bl, b).unionByName(side(vectors, RIGHT, b, bl))
-    tiles = rows.repartition(min(bl * b, 16 * cores(rows.sparkSession)), "a", "b").sortWithinPartitions(
+    tiles = rows.repartition(_tile_tasks(rows.sparkSession, bl * b), "a", "b").sortWithinPartitions(
         "a", "b", "side", "user")
 
     def emit(parts):

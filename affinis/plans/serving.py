@@ -37,15 +37,15 @@ TOP = "SELECT CAST(row_number() OVER (ORDER BY s DESC, item DESC) AS BIGINT) AS
    {TOP} QUALIFY rank <= 20""")
 def recommend_group(spark, sf):
     """Best 20 parts for all customers of one nation, by the group-mean shortcut."""
-    _, model = _als(spark, sf)
-    return _shown(recommend(model, _nation(spark, sf, 3), k=20))
+    d1, model = _als(spark, sf)
+    return _shown(recommend(model, _nation(spark, sf, 3), items=d1, k=20))
 
 
 @query(f"""{als_chain(2)}, {GROUP}, sc AS (SELECT item, avg(m + u * v) AS s FROM gu CROSS JOIN v2 GROUP BY item) {TOP}""")
 def recommend_all(spark, sf):
     """All parts ranked, numbered without a single-task sort."""
-    _, model = _als(spark, sf)
-    return _shown(recommend(model, _nation(spark, sf, 3)))
+    d1, model = _als(spark, sf)
+    return _shown(recommend(model, _nation(spark, sf, 3), items=d1))
 
 
 @query(f"""{als_chain(2)}, {GROUP}, cand AS (SELECT p_partkey AS item FROM part WHERE p_brand = 'Brand#7'),
@@ -65,7 +65,7 @@ def recommend_with_extra(spark, sf):
     """One nation together with every newcomer."""
     d1, model = _als(spark, sf)
     new = d1.select((F.col("user") + 1_000_000_000).alias("user"), "item", (6 - F.col("rating")).alias("rating"))
-    return _shown(recommend(model, _nation(spark, sf, 3), extra=foldin.fold_in_als(model, new), k=20))
+    return _shown(recommend(model, _nation(spark, sf, 3), extra=foldin.fold_in_als(model, new), items=d1, k=20))
 
 
 @query(f"""{als_chain(2)}, {GROUP}, seen AS (SELECT DISTINCT item FROM d JOIN grp USING ("user")),
@@ -73,16 +73,37 @@ def recommend_with_extra(spark, sf):
    {TOP} QUALIFY rank <= 20""")
 def recommend_unseen(spark, sf):
     d1, model = _als(spark, sf)
-    return _shown(recommend(model, _nation(spark, sf, 3), k=20, exclude_seen=d1))
+    return _shown(recommend(model, _nation(spark, sf, 3), items=d1, k=20, exclude_seen=d1))
 
 
 @query(f"""{als_chain(2)}, {GROUP}, sc AS (SELECT item, avg(m + u * v) AS s FROM gu CROSS JOIN v2 GROUP BY item)
    {TOP} QUALIFY rank <= 20""")
 def recommend_pairwise(spark, sf):
     """The same without the shortcut: every member scored against every part."""
-    _, model = _als(spark, sf)
-    return _shown(recommend(model, _nation(spark, sf, 3), k=20, pushdown=False))
+    d1, model = _als(spark, sf)
+    return _shown(recommend(model, _nation(spark, sf, 3), items=d1, k=20, pushdown=False))
+
 
+SOME = f'(SELECT * FROM ({fx.D1}) WHERE item % 7 <> 0)'
+
+
+@query(f"""{als_chain(2).replace(fx.D1, 'SELECT * FROM ' + SOME)}, {GROUP},
+   cand AS (SELECT range AS item FROM range(0, CAST((SELECT max(item) + 1 FROM d) AS BIGINT))),
+   sc AS (SELECT item, avg(m + u * coalesce(v, 0)) AS s FROM gu CROSS JOIN (SELECT item, v FROM cand LEFT JOIN v2 USING (item)) GROUP BY item)
+   {TOP}""")
+def recommend_cold_items(spark, sf):
+    """Without named candidates all items up to the largest id are scored, also those nobody has rated."""
+    d1 = fx.stored(fx.part_ratings(spark, sf).where("item % 7 != 0"))
+    return _shown(recommend(als.fit_als(d1, k=1, iterations=2, seed=SEED, init="grid"), _nation(spark, sf, 3)))
+
+
+@query(f"""{als_chain(2)}, {GROUP}, often AS (SELECT * FROM gu UNION ALL SELECT * FROM gu WHERE "user" % 2 = 0),
+   sc AS (SELECT item, avg(m + u * v) AS s FROM often CROSS JOIN v2 GROUP BY item) {TOP} QUALIFY rank <= 20""")
+def recommend_repeated_members(spark, sf):
+    """A member named twice counts twice."""
+    d1, model = _als(spark, sf)
+    group = _nation(spark, sf, 3)
+    return _shown(recommend(model, group.unionAll(group.where("user % 2 = 0")), items=d1, k=20, pushdown=False))
 
 @query(f"""WITH {COSINE}, grp AS (SELECT DISTINCT "user" FROM r WHERE "user" IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')),
    kk AS (SELECT u, v FROM k JOIN grp ON u = grp."user" WHERE rank <= 20), im AS (SELECT item, avg(rating) AS mean FROM r GROUP BY item),
@@ -227,6 +248,6 @@ def ci95(spark, sf):
     return got.select("model", "metric", *[r(c).alias(c) for c in ("mean", "var", "ci95")])
 
 
-@query(f"""SELECT item, CAST(count(*) AS BIGINT) AS n FROM ({fx.D3}) GROUP BY item""")
+@query(f"""SELECT item, CAST(count(*) AS BIGINT) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, item) AS BIGINT) AS rank FROM ({fx.D3}) GROUP BY item""")
 def popularity_order(spark, sf):
     return prepare.by_popularity(fx.event_ratings(spark, sf))

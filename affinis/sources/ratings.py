@@ -14,7 +14,8 @@ def load_ratings(spark: SparkSession, path: str, convert: Column | None = None,
     """CSV with a header holding at least user, item and rating, in any order.
 
     Columns are picked by name and extra ones ignored: only the header line is
-    read for the schema. ``convert`` is an expression over the text column
+    read for the schema. Files of one folder must have the same header; one with
+    another order is an error, not a table with its columns exchanged. ``convert`` is an expression over the text column
     ``rating``; by default the text is cast to a number.
     """
     header = spark.read.option("header", True).csv(path).schema.names
@@ -22,7 +23,7 @@ def load_ratings(spark: SparkSession, path: str, convert: Column | None = None,
     if missing:
         raise ValueError(f"{path} lacks the columns {sorted(missing)}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = spark.read.schema(schema).option("header", True).csv(path)
+    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
     rating = F.col("rating").cast("double") if convert is None else convert.cast("double")
     return raw.select(F.col("user").cast("bigint").alias("user"), F.col("item").cast("bigint").alias("item"),
                       rating.alias("rating"))
