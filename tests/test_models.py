@@ -263,6 +263,28 @@ def test_boosting_reduces_the_error(d1):
         model.save("/nowhere")
 
 
+def test_default_gradient_models_beat_the_user_mean(d1, mean_rmse):
+    assert rmse(gradient.fit_sgd(d1), d1) < mean_rmse
+    assert rmse(gradient.fit_ssvd(d1), d1) < mean_rmse
+
+
+def test_implicit_steps_follow_the_serial_ones(spark):
+    """To first order in the rate, for keys of any number of ratings: nothing is capped."""
+    n, rate, lam = 400, 1e-6, 0.1
+    rows = [(0, i, 1.0 + i % 5) for i in range(n)]
+    df = layout.materialise(spark.createDataFrame(rows, "user bigint, item bigint, rating double"), "steps")
+    start = gradient.fit_sgd(df, k=2, epochs=0, rate=rate)
+    u, ub = vectors(start.users, "user")
+    v, vb = vectors(start.items, "item")
+    f, b, w = u[0].copy(), ub[0], 0.5
+    for _, i, rating in rows:
+        err = rating - w - b - vb[i] - f @ v[i]
+        f, b = f + rate * (err * v[i] - lam * f), b + rate * (err - lam * b)
+    moved = gradient.fit_sgd(df, k=2, epochs=1, rate=rate)
+    f1, b1 = vectors(moved.users, "user")
+    assert np.allclose(f1[0] - u[0], f - u[0], rtol=5e-3) and np.isclose(b1[0] - ub[0], b - ub[0], rtol=5e-3)
+
+
 def test_gradient_models_learn(d1):
     curve = []
     gradient.fit_sgd(d1, k=4, epochs=4, on_sweep=lambda e, m: curve.append(rmse(m, d1)))
@@ -375,6 +397,27 @@ def test_every_model_survives_save_and_load(spark, d1, d3, tags, tmp_path):
             load(spark, path)
 
 
+def test_saving_a_loaded_model_to_its_own_path(spark, d1, tags, tmp_path):
+    path = str(tmp_path / "model")
+    model = tagged.fit_balse(d1, tags, N_TAGS, k=2, iterations=1, gamma=25)
+    pairs = d1.select("user", "item")
+    want = model.predict(pairs).agg(F.sum("prediction")).first()[0]
+    model.save(path)
+    for _ in range(2):
+        back = load(spark, path)
+        back.save(path)
+        assert abs(back.predict(pairs).agg(F.sum("prediction")).first()[0] - want) < 1e-6
+    assert abs(load(spark, path).predict(pairs).agg(F.sum("prediction")).first()[0] - want) < 1e-6
+    assert len([x for x in (tmp_path / "model").iterdir() if x.is_dir()]) == 1
+
+
+def test_curves_of_the_tag_models(d1, tags):
+    seen = []
+    als.fit_xals(d1, tags, N_TAGS, k=2, iterations=2, on_sweep=lambda e, m: seen.append((e, rmse(m, d1))))
+    tagged.fit_fma(d1, tags, N_TAGS, k=2, iterations=2, on_sweep=lambda e, m: seen.append((e, rmse(m, d1))))
+    assert [e for e, _ in seen] == [0, 1, 0, 1] and all(np.isfinite(r) for _, r in seen)
+
+
 def test_fold_in_reproduces_a_trained_user(d1):
     """Solving a known user again against the final items of another sweep."""
     model = als.fit_als(d1, k=3, iterations=3)

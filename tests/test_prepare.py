@@ -49,7 +49,17 @@ def test_ids_are_dense_seeded_and_invertible(spark):
 def test_popularity_breaks_ties_by_id(spark):
     df = spark.createDataFrame([(1, 5, 1.0), (2, 5, 1.0), (1, 3, 1.0), (1, 4, 1.0)], "user bigint, item bigint, rating double")
     assert rows(prepare.popularity_ids(df), "raw_id", "dense_id", "n") == [(3, 1, 1), (4, 2, 1), (5, 0, 2)]
-    assert [r["item"] for r in prepare.by_popularity(df).collect()] == [5, 3, 4]
+    assert rows(prepare.by_popularity(df), "rank", "item", "n") == [(1, 5, 2), (2, 3, 1), (3, 4, 1)]
+
+
+def test_files_with_another_header_are_refused(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("user,item,rating\n1,2,3\n")
+    assert [tuple(r) for r in src.load_ratings(spark, str(folder)).collect()] == [(1, 2, 3.0)]
+    (folder / "b.csv").write_text("item,user,rating\n7,8,1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        src.load_ratings(spark, str(folder)).collect()
 
 
 def test_empty_ids(spark):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from affinis.functions.values import LABEL_VALUES
-from affinis.models import als, means, neighbours, tagged
+from affinis.models import als, foldin, means, neighbours, registry, tagged
 from affinis.operators import evaluate, vectorsum as vs
 from affinis.operators.prepare import label_to_value
 from affinis.operators.recommend import group_grid, recommend
@@ -35,7 +35,7 @@ def test_recommend_edges(spark, model):
     group = users(spark, 1)
     assert recommend(model, group, k=0).count() == 0
     every = recommend(model, group)
-    assert every.count() == model.items.count()
+    assert every.count() == model.n_items()
     assert sorted(r["rank"] for r in every.collect()) == list(range(1, every.count() + 1))
     assert recommend(model, group, k=10**6).count() == every.count()
     some = spark.createDataFrame([(2,), (4,), (5,)], "item bigint")
@@ -66,6 +66,51 @@ def test_models_without_the_shortcut(spark, d1, d3, tags):
     assert recommend(knn, users(spark, 1, 2), items=d3.select("item"), k=3).count() == 3
 
 
+QUICK = {"iterations": 1, "epochs": 1, "rounds": 3, "k": 2}
+
+
+@pytest.mark.parametrize("name", registry.available())
+def test_every_model_scores_all_items_by_default(spark, d1, tags, name):
+    import inspect
+
+    fit = registry.ALGORITHMS[name][0]
+    known = inspect.signature(fit).parameters
+    kw = {p: v for p, v in QUICK.items() if p in known} | ({"base": None} if name == "gbr" else {})
+    args = (tags, N_TAGS) if "item_tags" in known else ()
+    model = registry.fit_named(name, d1.where("item != 5"), *args, **kw)
+    top = d1.agg(F.max("item")).first()[0]
+    got = recommend(model, users(spark, 1, 3))
+    assert sorted(r["item"] for r in got.collect()) == list(range(top + 1))
+    model.set_parameters(n_items=top + 4)
+    assert recommend(model, users(spark, 1), k=10**6).count() == top + 4
+
+
+def test_repeated_members_weigh_the_same_on_every_path(spark, d1, d3):
+    group, items = users(spark, 1, 1, 1, 3), d1.select("item").distinct()
+    model = als.fit_als(d1, k=2, iterations=1)
+    quick, grid = (listed(recommend(model, group, items=items, pushdown=p)) for p in (True, False))
+    assert [(i, round(s, 9)) for _, i, s in quick] == [(i, round(s, 9)) for _, i, s in grid]
+    knn = neighbours.fit_knn(d3, k=5)
+    pairs = knn.predict(group_grid(users(spark, 1, 3), d3)).withColumn("w", F.when(F.col("user") == 1, 3).otherwise(1))
+    want = {r["item"]: r["s"] for r in pairs.groupBy("item").agg((F.sum(F.col("prediction") * F.col("w")) / 4).alias("s")).collect()}
+    got = {i: s for _, i, s in listed(recommend(knn, group, items=d3))}
+    assert all(abs(got[i] - s) < 1e-9 for i, s in want.items())
+
+
+def test_newcomers_of_neighbour_and_switch_models(spark, d1, d3, tags):
+    knn = neighbours.fit_knn(d3, k=5)
+    near = neighbours.fold_in_knn(knn, d3.where("user = 2").withColumn("user", F.lit(10**6).cast("bigint")))
+    got = recommend(knn, users(spark, 1), extra=near, items=d3)
+    alone = recommend(knn, None, extra=near, items=d3)
+    assert got.count() == alone.count() == d3.select("item").distinct().count()
+    switch = tagged.fit_balse(d1, tags, N_TAGS, k=2, iterations=1, gamma=25)
+    rows = switch.warm.users.where("user = 1").withColumn("user", F.lit(10**6).cast("bigint"))
+    cold = switch.cold.users.where("user = 1").select(F.col("bias").alias("cold_bias"), F.col("f").alias("cold_f"))
+    extra = rows.join(F.broadcast(cold))
+    a = {i: round(s, 9) for _, i, s in listed(recommend(switch, None, extra=extra))}
+    assert a == {i: round(s, 9) for _, i, s in listed(recommend(switch, users(spark, 1)))}
+
+
 def test_large_groups_are_dealt_to_slots(spark):
     members = spark.range(1000).withColumnRenamed("id", "user")
     items = spark.range(30).withColumnRenamed("id", "item")
@@ -175,6 +220,23 @@ def split_events(spark, folder, parts):
         os.utime(path, (1_700_000_000 + 60 * p,) * 2)  # files are taken in this order
 
 
+def test_ragged_vectors_are_cut_in_streams_as_in_batches(spark, tmp_path):
+    sent = [(1, [1, 2, 3]), (2, [10, 20]), (3, [100, 200, 300])]
+    df = spark.createDataFrame([(u, "2024-01-01 10:00:00", u, v) for u, v in sent] + [(9, "2024-01-03 10:00:00", 9, [0])],
+                               "user bigint, t string, arrived bigint, vec array<bigint>").withColumn("ts", F.col("t").cast("timestamp"))
+    df.drop("t").repartition(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.drop("t").schema).parquet(str(tmp_path / "in"))
+    got = streams.quorum_sums(stream, str(tmp_path / "out"), threshold=3)
+    assert sorted((r["pos"], r["senders"], r["total"]) for r in got.collect()) == [(0, 3, 111), (1, 3, 222)]
+
+
+def test_metrics_of_a_model_are_replaced(spark, tmp_path):
+    path = str(tmp_path / "results")
+    for model in ("a", "b", "a"):
+        evaluate.save_metrics(spark.createDataFrame([(model, 0, "rmse", 1.0)], "model string, split int, metric string, value double"), path)
+    assert sorted(r["model"] for r in spark.read.parquet(path).collect()) == ["a", "b"]
+
+
 def test_streams_in_many_batches_equal_one(spark, d3, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
@@ -188,8 +250,14 @@ def test_streams_in_many_batches_equal_one(spark, d3, tmp_path):
         out.append(sorted((r["item"], r["n"], round(r["total"], 9)) for r in stats_.collect()))
         rows = streams.fold_in(rated.select("user", "item", "rating"), model, f"{base}-fold")
         out.append(sorted((r["user"], round(r["bias"], 9), *np.round(r["f"], 7)) for r in rows.collect()))
+        dated = rated.select("user", "item", "rating", F.struct("ts", "event_id").alias("arrived"))
+        rows = streams.fold_in_latest(dated, model, f"{base}-latest")
+        out.append(sorted((r["user"], round(r["bias"], 9), *np.round(r["f"], 7)) for r in rows.collect()))
         sent = streams.event_stream(spark, source, pattern, limit).select(
             "user", "ts", F.struct("ts", "event_id").alias("arrived"), F.array("item", "event_id").alias("vec"))
         sums = streams.quorum_sums(sent, f"{base}-sums", threshold=2)
         out.append(sorted(map(tuple, sums.collect())))
     assert whole == pieces
+    # The last rating of a pair wins, so the stream agrees with the batch fold-in of the cleaned ratings.
+    batch = foldin.fold_in_als(model, d3.select("user", "item", "rating"))
+    assert whole[2] == sorted((r["user"], round(r["bias"], 9), *np.round(r["f"], 7)) for r in batch.collect())
