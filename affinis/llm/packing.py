@@ -27,7 +27,10 @@ Texts that name a special token of the vocabulary get its id, as the tokenizer d
 from __future__ import annotations
 
 import bisect
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,51 +38,87 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.text import batches, documents, materialise, pairs_of
+from affinis.llm.text import batches, documents, kept, materialise, pairs_of
 
 CAPACITY = 2048
 END = 0
 # Words whose ids a task remembers; beyond it the memory starts anew, results stay.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 
 _PIECE = pa.schema([
     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
     ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
 
+# The tokenizer's own split, for words of ASCII and these Latin letters only: among them
+# a letter is its own lower case once lowered, and no two of them compose.
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_PLAIN = re.compile(f"[\x21-\x7e{_LATIN}]+")
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+")
+
+
+def _byte_names() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it
+    prints, else the next one from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    names = {b: chr(b) for b in plain}
+    names.update({b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in names)})
+    return names
+
+
 class WordIds(dict):
-    """UTF-8 word -> ids as little-endian 32-bit numbers.
+    """UTF-8 word -> ids as little-endian 32-bit numbers, coded at its first use.
 
-    The tokenizer drops white space and never joins across it, so words can be
-    encoded one by one and remembered.
+    The tokenizer drops white space and never joins across it, so words can be coded
+    one by one. A plain word is cut into its pieces here and only those go to the
+    tokenizer's merges; any other word, and one with a special token's brackets, goes
+    through the whole tokenizer.
     """
 
     def __init__(self, vocabulary: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_buffer(vocabulary)
+        self.merges = self.tokenizer.model
+        self.names = _byte_names()
+        self.pieces: dict[str, bytes] = {}
 
-    def encode(self, text: bytes | None) -> bytes:
-        words = text.split() if text else []
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        fresh = [w for w in dict.fromkeys(words) if w not in self]
-        if fresh:
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-            for word, x in zip(fresh, coded, strict=True):
-                self[word] = np.array(x.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, words)) + END.to_bytes(4, "little")
+        text = word.decode()
+        if word.isalpha():  # letters of ASCII only
+            ids = self._piece(text.lower())
+        elif "<|" not in text and _PLAIN.fullmatch(text):
+            ids = b"".join(map(self._piece, _PIECES.findall(text.lower())))
+        else:
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= REMEMBERED:
+                self.pieces.clear()
+            named = piece if piece.isascii() else "".join(map(self.names.__getitem__, piece.encode()))
+            ids = self.pieces[piece] = array("I", [t.id for t in self.merges.tokenize(named)]).tobytes()
+        return ids
+
+    def encode(self, text: bytes | None) -> bytes:
+        return b"".join(map(self.__getitem__, text.split() if text else ())) + END.to_bytes(4, "little")
 
 
 def pieces(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` (and the ids) of every piece."""
     with open(vocabulary, "rb") as file:  # an installed file of a few MB, sent to the tasks
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
-    width = 4 * CAPACITY
+    width, name = 4 * CAPACITY, os.path.basename(vocabulary)
 
     def rows(parts) -> Iterator[tuple]:
-        coder = WordIds(shared.value)
+        coder = kept(f"word_ids {name}", lambda: WordIds(shared.value))
         for batch in parts:
             for doc_id, text in pairs_of(batch, "doc_id", "text"):
                 ids = coder.encode(text)
@@ -211,7 +250,8 @@ def reduce_and_fit(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[li
 def packed(cut: DataFrame) -> DataFrame:
     """``cut`` (with ``doc_id, piece, length``) and each piece's ``sequence_id, offset``."""
     spark = cut.sparkSession
-    lined = cut.repartitionByRange("length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
+    # Written first: the range sort draws a sample of its rows beforehand.
+    lined = materialise(cut, "cut").repartitionByRange("length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
     stored = materialise(lined.withColumn("place", F.monotonically_increasing_id()), "pieces")
     # The high bits of the place are the range partition, the low 33 the row in it.
     part = F.shiftright("place", 33)

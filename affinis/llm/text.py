@@ -6,6 +6,8 @@ Words are what the contracts call words: maximal runs of anything but space and
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,22 @@ from affinis.operators.layout import materialise, scratch_path  # noqa: F401
 
 SHINGLE_WORDS = 5
 # Word hashes a task remembers; beyond it the memory starts anew, results stay.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+
+
+def kept(name: str, make):
+    """A value that a Python worker keeps from task to task, made by the first that asks.
+
+    Only for caches: a new worker starts without them and gets the same results.
+    """
+    state = sys.modules.setdefault("affinis_worker_state", types.ModuleType("affinis_worker_state"))
+    if name not in state.__dict__:
+        state.__dict__[name] = make()
+    return state.__dict__[name]
+
+
+def word_hashes() -> WordHashes:
+    return kept("word_hashes", WordHashes)
 
 
 class WordHashes(dict):
