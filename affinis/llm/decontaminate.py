@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.text import SHINGLE_WORDS, WordHashes, batches, documents, materialise, pairs_of, runs, words_of
+from affinis.llm.text import SHINGLE_WORDS, batches, documents, materialise, pairs_of, runs, word_hashes, words_of
 
 SIMILARITY = 0.75
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2
@@ -74,7 +74,7 @@ class Items:
     """A block of benchmark items: shingles, fingerprints and the multi-index."""
 
     def __init__(self, rows: list[tuple[int, bytes | None]]):
-        hashes = WordHashes()
+        hashes = word_hashes()
         self.numbers, self.by_length = [], {}
         self.counts: list[Counter] = []
         prints, lengths, every = [], [], []
@@ -160,7 +160,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             [(r["item"], r["text"].encode() if r["text"] is not None else None) for r in items.where(F.col("item").between(lo, hi)).collect()])
 
         def rows(batches_in, block=block) -> Iterator[tuple]:
-            known, hashes = Items(block.value), WordHashes()
+            known, hashes = Items(block.value), word_hashes()
             for batch in batches_in:
                 for doc_id, text in pairs_of(batch, "doc_id", "text"):
                     best: dict[int, tuple] = {}
