@@ -15,12 +15,13 @@ all texts are at distance 1 of each other, so every window would cover every reg
    n - ceil(3n/4) + 1 pivots: the document is replicated to these regions, and no
    link is lost whatever the order is. Shingle counts over all documents choose it,
    to keep passages that many documents share out of the windows.
-2. Inside a region (documents that share a rare shingle) documents are pivots. A round
-   measures each document's exact distance to its region's pivot, links those within
-   1/4, and closes regions that are one component by then. What is left is joined
-   pair by pair across components only, inside the triangle window
-   |d(x, p) - d(y, p)| <= 1/4 and the length window; regions that are still large
-   take another pivot first (the recursion).
+2. Inside a region (documents that share a rare shingle) documents are pivots: the
+   smallest member p. Exact distances to it are measured, those within 1/4 are links,
+   and regions that are one component by then are closed. In the others members of
+   different components are compared, in blocks of bounded size, inside three windows:
+   the triangle window |d(x, p) - d(y, p)| <= 1/4, the length window, and the distance
+   of sketches (how many shingles fall into each of 256 or more classes), which bounds the
+   symmetric difference from below. Pairs that stand all three are measured exactly.
 
 Equal sets are one class from the start, so groups of exact copies cost one member.
 Results are classes, not pairs: a link between members of one component decides
@@ -39,30 +40,33 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinis.llm.components import components
-from affinis.llm.text import WordHashes, batches, documents, materialise, pairs_of, shingles, signed, tasks_for, words_of
+from affinis.llm.text import WordHashes, batches, documents, materialise, mixed, pairs_of, shingles, signed, tasks_for, word_hashes, words_of
 
 PERCENT = 75
 # Shingles held in one task before they are counted and sent on.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 # Shingles in at least this many documents go last in the global order ...
 COMMON_AT_LEAST = 48
 # ... as far as they fit in this many entries (16 bytes each, sent to every executor);
 # the threshold rises until they do. Which ones are known changes speed, never results.
 COMMON_ENTRIES = 1_000_000
-# Regions up to this many documents are joined pair by pair after the first round.
-PAIRWISE = 48
-PIVOT_ROUNDS = 4
+# Members of a region that are compared with one another in one go.
+BLOCK = 256
+# Bits of a shingle's hash that name its class in a sketch, at least and at most.
+CLASS_BITS, MOST_CLASS_BITS = 8, 16
 # Members compared with a pivot in one go.
 SLOT = 128
 
-_CLASS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64())])
 _COUNTED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-_CELLS = pa.schema([("key", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("common", pa.bool_())])
-_DISTANCE = pa.schema([("a", pa.int64()), ("p", pa.int64()), ("both", pa.int64()), ("either", pa.int64())])
+# Two kinds of rows: a document (kind 1, with its sketch), and a region of a set (kind 0).
+_CELLS = pa.schema([
+    ("kind", pa.int32()), ("key", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("common", pa.bool_()),
+    ("doc_id", pa.int64()), ("sketch", pa.binary())])
+_DISTANCE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int64()), ("either", pa.int64())])
 
 
 def shingle_set(text: bytes | None, hashes: WordHashes) -> np.ndarray:
@@ -74,17 +78,17 @@ def signature(unique: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(unique.tobytes())).astype(np.int64))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, sig``: size and name of every document's set (``sig`` null if empty)."""
+def sketch(unique: np.ndarray) -> bytes:
+    """Shingles per class of the hash space: the distance of two sketches bounds
+    the symmetric difference of the sets from below. Large sets have more classes;
+    neighbouring classes added up are those of a smaller sketch."""
+    bits = min(max(CLASS_BITS, len(unique).bit_length() - 2), MOST_CLASS_BITS)
+    counts = np.bincount((unique >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
-    def rows(parts) -> Iterator[tuple]:
-        hashes = WordHashes()
-        for batch in parts:
-            for doc_id, text in pairs_of(batch, "doc_id", "text"):
-                unique = shingle_set(text, hashes)
-                yield doc_id, len(unique), signature(unique) if len(unique) else None
 
-    return documents(docs).mapInArrow(lambda parts: batches(rows(parts), _CLASS), "doc_id long, n long, sig long")
+def _folded(sketched: bytes, classes: int) -> np.ndarray:
+    return np.frombuffer(sketched, np.uint8).reshape(classes, -1).sum(axis=1, dtype=np.int32)
 
 
 def _distinct_texts(parts, hashes: WordHashes) -> Iterator[tuple[int, np.ndarray]]:
@@ -100,13 +104,8 @@ def _distinct_texts(parts, hashes: WordHashes) -> Iterator[tuple[int, np.ndarray
                     yield sig, unique
 
 
-def _counted_half(unique: np.ndarray) -> np.ndarray:
-    """Only every other shingle, by its hash, is counted and may come first in the order."""
-    return unique[(unique & np.uint64(1)) == 0]
-
-
 def shingle_counts(docs: DataFrame, tasks: int) -> DataFrame:
-    """``count, key`` of the shingles (of the counted half) in two or more documents' sets.
+    """``key, count`` of the shingles in ``COMMON_AT_LEAST`` or more documents' sets.
 
     Each task sends its shingles as sorted arrays, one per bucket of the hash space,
     and counts what it has twice before sending it.
@@ -114,7 +113,7 @@ def shingle_counts(docs: DataFrame, tasks: int) -> DataFrame:
     buckets = 4 * tasks
 
     def packed(parts) -> Iterator[tuple]:
-        hashes, held, n = WordHashes(), [], 0
+        hashes, held, n = word_hashes(), [], 0
 
         def flush():
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -124,7 +123,7 @@ def shingle_counts(docs: DataFrame, tasks: int) -> DataFrame:
                 yield b, np.ascontiguousarray((k >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), c.astype(np.uint16 if len(c) and c.max() < 65536 else np.uint32).tobytes()
 
         for _, unique in _distinct_texts(parts, hashes):
-            held.append(_counted_half(unique))
+            held.append(unique)
             n += len(held[-1])
             if n >= CHUNK:
                 yield from flush()
@@ -174,76 +173,166 @@ def common_shingles(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(docs: DataFrame, common, tasks: int) -> DataFrame:
-    """``key, sig, n, pos, common``: the regions each distinct set is replicated to."""
+    """Every document (kind 1: ``doc_id, n, sig, sketch``; ``sig`` null for an empty set), and
+    the regions each distinct set is replicated to (kind 0: ``key, sig, n, pos, common``)."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
+    def places(unique: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rank = np.zeros(len(unique), np.int64)
+        if len(keys):
+            short = unique >> np.uint64(16)
+            at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
+            rank = np.where(keys[at] == short, counts[at], 0)
+        first = np.lexsort((unique, rank))[: len(unique) - -(-PERCENT * len(unique) // 100) + 1]
+        return signed(unique[first]), rank[first] > 0
+
     def rows(parts) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, seen = word_hashes(), set()
         keys, counts = shared.value
-        held: list[tuple] = []
-        size = 0
-        for sig, unique in _distinct_texts(parts, hashes):
-            n = len(unique)
-            length = n - -(-PERCENT * n // 100) + 1
-            rank = np.where(unique & np.uint64(1), 1, 0).astype(np.int64)
-            if len(keys):
-                short = unique >> np.uint64(16)
-                at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
-                hit = (keys[at] == short) & (rank == 0)
-                rank[hit] = 1 + counts[at[hit]]
-            first = np.lexsort((unique, rank))[:length]
-            held.append((signed(unique[first]), np.full(length, sig, np.int64), np.full(length, n, np.int32),
-                         np.arange(length, dtype=np.int32), rank[first] > 0))
-            size += length
-            if size > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=_CELLS)
-                held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=_CELLS)
-
-    found = documents(docs).mapInArrow(rows, "key long, sig long, n int, pos int, common boolean")
+        for batch in parts:
+            named, regions = [], []
+            for doc_id, text in pairs_of(batch, "doc_id", "text"):
+                unique = shingle_set(text, hashes)
+                sig = signature(unique) if len(unique) else None
+                named.append((sig, len(unique), doc_id, sketch(unique)))
+                if sig is not None and doc_id is not None and sig not in seen:
+                    seen.add(sig)
+                    at, is_common = places(unique, keys, counts)
+                    regions.append((at, np.full(len(at), sig, np.int64), np.full(len(at), len(unique), np.int32),
+                                    np.arange(len(at), dtype=np.int32), is_common))
+            if named:
+                sigs, sizes, ids, sketches = zip(*named, strict=True)
+                m = len(named)
+                # Any key does that spreads them.
+                spread = signed(mixed(np.arange(m, dtype=np.uint64) + np.uint64(len(seen) << 20)))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.ones(m, np.int32)), pa.array(spread), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()),
+                    pa.nulls(m, pa.int32()), pa.nulls(m, pa.bool_()), pa.array(ids, pa.int64()), pa.array(sketches, pa.binary())], schema=_CELLS)
+            for low in range(0, len(regions), 1024):
+                key, sig, n, pos, is_common = (np.concatenate(c) for c in zip(*regions[low : low + 1024], strict=True))
+                m = len(key)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.zeros(m, np.int32)), pa.array(key), pa.array(sig), pa.array(n), pa.array(pos), pa.array(is_common),
+                    pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], schema=_CELLS)
+
+    found = documents(docs).mapInArrow(
+        rows, "kind int, key long, sig long, n int, pos int, common boolean, doc_id long, sketch binary")
     # A region of uncommon shingles is small, so its rows may meet in one task; rows of
     # common ones are salted and all kept, for the count says that others have them.
-    salt = F.when(F.col("common"), F.pmod("sig", F.lit(64))).otherwise(0)
+    salt = F.when(F.col("kind") == 1, -1).when(F.col("common"), F.pmod("sig", F.lit(64))).otherwise(0)
     found = found.withColumn("salt", salt).repartition(tasks, "key", "salt")
-    from pyspark.sql import Window
-
     region = Window.partitionBy("key", "salt")
     return (
         found.withColumn("lo", F.min("sig").over(region)).withColumn("hi", F.max("sig").over(region))
-        .where(F.col("common") | (F.col("lo") < F.col("hi"))).drop("salt", "lo", "hi").distinct())
+        .where((F.col("kind") == 1) | F.col("common") | (F.col("lo") < F.col("hi"))).drop("salt", "lo", "hi"))
 
 
-def distances(pairs: DataFrame, texts: DataFrame, tasks: int) -> DataFrame:
-    """``a, p, both, either``: exact set sizes of each pair; ``texts`` has ``sig, text``.
+def _apart(x: np.ndarray, y: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Whether sketches rule a link out: it needs |x and y| >= PERCENT / (100 + PERCENT) (|x| + |y|)."""
+    return (100 + PERCENT) * np.abs(x - y).sum(axis=-1, dtype=np.int64) > (100 - PERCENT) * total
+
+
+def _ruled_out(x: bytes, y: bytes, total: int) -> bool:
+    classes = min(len(x), len(y))
+    return bool(_apart(_folded(x, classes), _folded(y, classes), total))
+
+
+def _plausible(pairs: DataFrame) -> DataFrame:
+    """Pairs ``a, p`` whose sketches ``sa, sp`` don't rule a link out."""
+
+    def near(parts) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            keep = [not _ruled_out(x, y, n + m) for x, y, n, m in pairs_of(batch, "sa", "sp", "na", "np")]
+            yield batch.select(["a", "p"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(near, "a long, p long")
 
-    A pivot's members are dealt out in slots of about ``SLOT``; each slot has the
-    pivot's text once, ahead of its members, so a task holds one set at a time.
+
+def _crossing(rows: DataFrame, tasks: int) -> DataFrame:
+    """Pairs ``a, b`` of members of one region but of two components, inside the length
+    window, the triangle window and what the sketches allow, with their groups ``g, i, j``.
+
+    A region's members are dealt to ``blocks`` blocks, and a group is two blocks (or
+    one with itself): at most about 2 * BLOCK members, however large the region is.
+    Only pairs that stand all tests leave a task.
     """
+    slot = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
+    dealt = rows.withColumn("slot", slot).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("p", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "sig", "n", "label", "d", "sketch")
+
+    def pairs_in(group: list[tuple], i: int, j: int) -> Iterator[tuple[int, int]]:
+        slot, sig, n, label, d = (np.array(c) for c in zip(*[r[:5] for r in group], strict=True))
+        d = d.astype(float)  # None becomes nan, and comparisons with it are false
+        x = np.array([_folded(r[5], 1 << CLASS_BITS) for r in group])
+        for k in np.flatnonzero(slot == i).tolist():
+            apart = np.abs(d - d[k]) > 1 - PERCENT / 100 + 1e-9
+            with_k = (label != label[k]) & ~apart & (100 * np.minimum(n, n[k]) >= PERCENT * np.maximum(n, n[k]))
+            with_k &= (slot == j) if i != j else (np.arange(len(group)) > k)
+            at = np.flatnonzero(with_k)
+            at = at[~_apart(x[at], x[k], n[at].astype(np.int64) + n[k])]
+            for m in at.tolist():
+                if _ruled_out(group[k][5], group[m][5], int(n[k] + n[m])):
+                    continue
+                yield max(int(sig[k]), int(sig[m])), min(int(sig[k]), int(sig[m]))
+
+    def found(parts) -> Iterator[tuple[int, int]]:
+        key, group = None, []
+        for batch in parts:
+            for p, i, j, *row in pairs_of(batch, "p", "i", "j", "slot", "sig", "n", "label", "d", "sketch"):
+                if key != (p, i, j):
+                    if group:
+                        yield from (key + pair for pair in pairs_in(group, *key[1:]))
+                    key, group = (p, i, j), []
+                group.append(row)
+        if group:
+            yield from (key + pair for pair in pairs_in(group, *key[1:]))
+
+    schema = pa.schema([("g", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+    return dealt.repartition(tasks, "p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(
+        lambda parts: batches(found(parts), schema), "g long, i int, j int, a long, b long")
+
+
+def _starred(pairs: DataFrame) -> DataFrame:
+    """Groups ``p, i, j`` for pairs with a pivot: about ``SLOT`` members of a pivot each."""
     slots = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / SLOT).alias("slots"))
-    dealt = pairs.join(slots, "p").withColumn("slot", F.pmod(F.xxhash64("a"), "slots")).drop("slots")
-    members = dealt.join(texts, dealt["a"] == texts["sig"]).select("p", "slot", F.lit(1).alias("role"), "a", "text")
-    pivots = dealt.select("p", "slot").distinct().join(texts, F.col("p") == texts["sig"]).select(
-        "p", "slot", F.lit(0).alias("role"), F.col("p").alias("a"), "text")
+    return pairs.join(slots, "p").select(
+        F.col("p").alias("g"), F.pmod(F.xxhash64("a"), "slots").cast("int").alias("i"), F.lit(-1).alias("j"), "a", F.col("p").alias("b"))
+
+
+def distances(pairs: DataFrame, texts: DataFrame, tasks: int) -> DataFrame:
+    """``a, b, both, either``: exact set sizes of each pair; ``texts`` has ``sig, text``.
+
+    Pairs come in groups ``g, i, j`` of bounded size. A set's text goes once to every
+    group that names it, ahead of the group's pairs, however many pairs it is in.
+    """
+    group = ["g", "i", "j"]
+    named = pairs.select(*group, F.explode(F.array("a", "b")).alias("sig")).distinct()
+    nothing = F.lit(None)
+    rows_of = (
+        named.join(texts, "sig").select(*group, F.lit(0).alias("role"), F.col("sig").alias("a"), nothing.cast("long").alias("b"), "text")
+        .unionAll(pairs.select(*group, F.lit(1).alias("role"), "a", "b", nothing.cast("string").alias("text"))))
 
     def rows(parts) -> Iterator[tuple]:
-        hashes, key, pivot = WordHashes(), None, None
+        hashes, key, sets = word_hashes(), None, {}
         for batch in parts:
-            for p, slot, role, a, text in pairs_of(batch, "p", "slot", "role", "a", "text"):
-                unique = shingle_set(text, hashes)
+            for g, i, j, role, a, b, text in pairs_of(batch, *group, "role", "a", "b", "text"):
+                if key != (g, i, j):
+                    key, sets = (g, i, j), {}
                 if role == 0:
-                    key, pivot = (p, slot), unique
-                elif key == (p, slot):
-                    both = len(np.intersect1d(pivot, unique, assume_unique=True))
-                    yield a, p, both, len(pivot) + len(unique) - both
+                    unique = shingle_set(text, hashes)
+                    if signature(unique) == a:  # not another text of a repeated doc_id
+                        sets[a] = unique
+                else:
+                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    yield a, b, both, len(sets[a]) + len(sets[b]) - both
 
     return (
-        members.unionAll(pivots).repartition(tasks, "p", "slot").sortWithinPartitions("p", "slot", "role")
-        .mapInArrow(lambda parts: batches(rows(parts), _DISTANCE), "a long, p long, both long, either long"))
+        rows_of.repartition(tasks, *group).sortWithinPartitions(*group, "role")
+        .mapInArrow(lambda parts: batches(rows(parts), _DISTANCE), "a long, b long, both long, either long"))
 
 
 def _linked(measured: DataFrame) -> DataFrame:
-    return measured.where(100 * F.col("both") >= PERCENT * F.col("either")).select("a", F.col("p").alias("b"))
+    return measured.where(100 * F.col("both") >= PERCENT * F.col("either")).select("a", "b")
 
 
 def _length_window(a: str, b: str):
@@ -251,73 +340,62 @@ def _length_window(a: str, b: str):
     return 100 * small >= PERCENT * large
 
 
-def links(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """``a, b``: links between sets (by name) that span every component."""
-    spark = docs.sparkSession
+def _merge(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``node, label`` after more links: only the labels that they join are looked at again."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    between = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    joined = materialise(components(between), "labels").withColumnRenamed("label", "to")
+    moved = labels.withColumnRenamed("node", "own").join(joined, F.col("label") == joined["node"], "left").select(
+        F.col("own").alias("node"), F.coalesce("to", "label").alias("label"))
+    fresh = joined.join(labels.select("node"), "node", "left_anti").select("node", F.col("to").alias("label"))
+    return materialise(moved.unionAll(fresh), "labels")
+
+
+def links(docs: DataFrame, cells: DataFrame, named: DataFrame) -> DataFrame:
+    """``node, label`` of every set that is linked with another; nodes are named by ``sig``."""
     tasks = tasks_for(docs)
-    common = common_shingles(materialise(shingle_counts(docs, tasks), "shingles"))
-    cells = materialise(windows(docs, common, tasks), "cells")
-    # Texts of the sets that share a region, one document for each.
-    shared = cells.select("sig").distinct()
-    chosen = named.where("doc_id is not null and sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).join(shared, "sig")
+    sets = named.where("doc_id is not null and sig is not null").groupBy("sig").agg(
+        F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
+    # A region's pivot is its smallest member; regions with one pivot are one from here on.
+    pivots = cells.groupBy("key").agg(F.min(F.struct("sig", "n")).alias("m")).select("key", F.col("m.sig").alias("p"), F.col("m.n").alias("np"))
+    members = materialise(cells.join(pivots, "key").select("p", "np", "sig", "n").distinct().join(sets.drop("doc_id"), "sig"), "members")
     texts = materialise(
-        documents(docs).join(chosen, "doc_id").select("sig", "text").dropDuplicates(["sig"]), "texts")
+        documents(docs).join(sets.select("sig", "doc_id").join(members.select("sig").distinct(), "sig"), "doc_id")
+        .select("sig", "text"), "texts")
 
-    # Every region's first pivot: its smallest member.
-    pivots = cells.groupBy("key").agg(F.min(F.struct("sig", "n")).alias("m")).select("key", F.col("m.sig").alias("p"), F.col("m.n").alias("np"))
-    held = cells.join(pivots, "key")
-    pairs = held.where((F.col("sig") != F.col("p")) & _length_window("n", "np")).select(F.col("sig").alias("a"), "p").distinct()
-    measured = materialise(distances(pairs, texts, tasks), "measured")
-    found = _linked(measured)
-
-    def labelled(regions: DataFrame, edges: DataFrame) -> DataFrame:
-        """Regions that still have members of several components, with the labels."""
-        names = materialise(components(edges), "labels")
-        named_cells = regions.join(names, regions["sig"] == names["node"], "left").withColumn(
-            "label", F.coalesce("label", "sig")).drop("node")
-        open_keys = named_cells.groupBy("key").agg(
-            F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-        return materialise(named_cells.join(open_keys.select("key", "size"), "key"), "open")
-
-    # The distance to the first pivot (null outside the length window) is the window's coordinate.
+    own = members.where("sig = p").select("p", F.col("sketch").alias("sp"))
+    near = members.where((F.col("sig") != F.col("p")) & _length_window("n", "np")).join(own, "p").select(
+        F.col("sig").alias("a"), "p", F.col("sketch").alias("sa"), "sp", F.col("n").alias("na"), "np")
+    measured = materialise(distances(materialise(_starred(_plausible(near)), "pairs"), texts, tasks), "measured")
+    labels = materialise(components(_linked(measured)), "labels")
+
+    # Regions with members of several components, and each member's distance to the
+    # pivot: 0 for the pivot itself, null where the pair was ruled out before.
     coordinate = F.when(F.col("sig") == F.col("p"), 0.0).otherwise(1.0 - F.col("both") / F.col("either"))
-    # measured has (a, p); the same pair may come from several regions.
-    regions = held.join(measured.withColumnRenamed("a", "sig"), ["sig", "p"], "left").withColumn("d", coordinate).drop("both", "either")
-    regions = labelled(regions, found)
-    for _ in range(PIVOT_ROUNDS):
-        large = regions.where(F.col("size") > PAIRWISE)
-        if not large.limit(1).count():
-            break
-        # The next pivot of a large region: its smallest member outside the first pivot's component.
-        own = large.where("sig = p").select("key", F.col("label").alias("own"))
-        rest = large.join(own, "key", "left").where("own is null or label != own")
-        following = rest.groupBy("key").agg(F.min(F.struct("sig", "n", "label")).alias("m")).select(
-            "key", F.col("m.sig").alias("q"), F.col("m.n").alias("nq"), F.col("m.label").alias("lq"))
-        again = large.join(following, "key").where((F.col("label") != F.col("lq")) & _length_window("n", "nq"))
-        more = materialise(distances(again.select(F.col("sig").alias("a"), F.col("q").alias("p")).distinct(), texts, tasks), "measured")
-        new = _linked(more)
-        if not new.limit(1).count():
-            break
-        found = found.unionAll(new)
-        regions = labelled(regions.drop("label", "size"), found)
-    x, y = regions.alias("x"), regions.alias("y")
-    # A partner at positions i and j of the two orders can share at most the rest of either.
-    rest_of = lambda s: F.col(f"{s}.n") - F.col(f"{s}.pos")
-    reach = F.least(rest_of("x"), rest_of("y")) + F.least("x.pos", "y.pos")
-    crossing = x.join(
-        y, (F.col("x.key") == F.col("y.key")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.label") != F.col("y.label"))
-        & (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n"))
-        & (F.col("x.d").isNull() | F.col("y.d").isNull() | (F.abs(F.col("x.d") - F.col("y.d")) <= 1 - PERCENT / 100 + 1e-9))
-        & ((100 + PERCENT) * reach >= PERCENT * (F.col("x.n") + F.col("y.n"))))
-    last = crossing.select(F.col("y.sig").alias("a"), F.col("x.sig").alias("p")).distinct()
-    return found.unionAll(_linked(materialise(distances(last, texts, tasks), "measured")))
+    marked = (
+        members.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+        .join(measured.select(F.col("a").alias("sig"), F.col("b").alias("p"), "both", "either"), ["sig", "p"], "left").withColumn("d", coordinate).drop("both", "either", "np"))
+    still_open = marked.groupBy("p").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("lo < hi")
+    # A pair that several groups name is measured in one of them.
+    last = materialise(
+        _crossing(marked.join(still_open.select("p", "blocks"), "p"), tasks).groupBy("a", "b")
+        .agg(F.min(F.struct("g", "i", "j")).alias("at")).select("at.g", "at.i", "at.j", "a", "b"), "pairs")
+    more = materialise(distances(last, texts, tasks), "measured")
+    return _merge(labels, _linked(more))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
-    named = materialise(classes(docs), "classes")
+    tasks = tasks_for(docs)
+    common = common_shingles(materialise(shingle_counts(docs, tasks), "shingles"))
+    stored = materialise(windows(docs, common, tasks), "cells")
+    # Copies of a text in several tasks put the same set into a region more than once; no harm.
+    cells = stored.where("kind = 0").select("key", "sig", "n", "pos", "common")
+    named = stored.where("kind = 1").select("doc_id", F.col("n").cast("long").alias("n"), "sig", "sketch")
     known = named.where("doc_id is not null and sig is not null")
-    label = components(links(docs, named))
+    label = links(docs, cells, named)
     # Classes of equal sets, then components of linked classes, then documents that have several texts.
     sets = known.join(label.withColumnRenamed("node", "sig"), "sig", "left").select("doc_id", F.coalesce("label", "sig").alias("label"))
     repeated = sets.groupBy("doc_id").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
