@@ -34,15 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinis.llm.mapped import MappedTable, places, publish
-from affinis.llm.text import WordHashes, documents, materialise, mixed, pairs_of, signed, tasks_for, words_of
+from affinis.llm.text import documents, materialise, mixed, pairs_of, signed, tasks_for, word_hashes, words_of
 
 MIN_COUNT = 2
 # A word with this share of all tokens is dealt over SALT buckets, as next word of a bigram.
 HOT_SHARE = 1 / 2000
 SALT = 16
 # Tokens a task holds before it counts and sends them, or scores them.
-CHUNK = 1_500_000
-GROUP = 400_000
+CHUNK = 800_000
+GROUP = 250_000
 
 _UNI = pa.schema([("w", pa.int64()), ("c", pa.int64())])
 _PACKED = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("runs", pa.binary()), ("before", pa.binary()), ("counts", pa.binary())])
@@ -52,13 +52,13 @@ BIGRAM, CONTINUATION, CONTEXT, COUNTS = range(4)
 
 def _marks() -> tuple[int, int]:
     """Hashes of the start and the end; no word contains a space."""
-    hashes = WordHashes()
+    hashes = word_hashes()
     return hashes[b"  "], hashes[b" "]
 
 
 def _token_arrays(parts, size: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """Groups of documents: ids, all tokens' hashes, and where each document starts."""
-    hashes = WordHashes()
+    hashes = word_hashes()
     end = np.array([_marks()[1]], np.uint64)
     ids, held, n = [], [], 0
     for batch in parts:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from affinis.llm.text import materialise, scratch_path
 
-ROWS_PER_FILE = 5_000_000
+ROWS_PER_FILE = 1_000_000
 BYTES = "bytes"
 
 
