@@ -4,8 +4,8 @@ Base kinds, leftmost and non-overlapping each: ``assign`` (a password, secret, t
 key that is given a value of eight or more characters), ``access`` (AKIA keys) and
 ``hex`` (32 or more). The method adds ``markov``: runs of 20 or more key characters
 outside all base spans which a first-order character model of random strings explains
-better than one of ordinary identifiers. Both models are transition counts with add-one
-smoothing, trained on labelled samples: the values of base spans are random strings,
+better than one of ordinary identifiers. Both models are transition counts smoothed by
+character frequencies, trained on labelled samples: the values of base spans are random strings,
 runs of at least 16 letters are ordinary. The training
 counts cover all documents. Short runs are never judged, and a run needs letters and
 digits both, a log-likelihood ratio of ``MIN_RATIO`` nats and ``MIN_RATIO_EACH`` per
@@ -41,6 +41,8 @@ KINDS = ["assign", "access", "hex", "markov"]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"
 MIN_RATIO = 12.0
 MIN_RATIO_EACH = 0.45
+# Transitions that a character's overall frequency counts for in either model.
+PRIOR = 20.0
 MASK = "[SECRET]"
 
 # Fields in the order that spans are listed by.
@@ -111,12 +113,14 @@ def log_ratios(scans: DataFrame, name: str) -> list[float]:
     at = {c: i for i, c in enumerate(ALPHABET)}
     logs = {}
     for label, strings in samples.items():
-        counts = [[1.0] * size for _ in range(size)]
-        seen = _pair_counts(strings).collect()
-        for row in seen:
+        counts = [[0.0] * size for _ in range(size)]
+        for row in _pair_counts(strings).collect():
             a, b = row["pair"]
             counts[at[a]][at[b]] += row["n"]
-        logs[label] = [[math.log(c / sum(line)) for c in line] for line in counts]
+        # A character after a rare one is judged by how frequent it is anywhere.
+        single = [1.0 + sum(line[b] for line in counts) for b in range(size)]
+        total = sum(single)
+        logs[label] = [[math.log((c + PRIOR * single[b] / total) / (sum(line) + PRIOR)) for b, c in enumerate(line)] for line in counts]
     return [r - o for a, b in zip(logs["random"], logs["ordinary"], strict=True) for r, o in zip(a, b, strict=True)]
 
 
@@ -166,13 +170,8 @@ def masked(docs: DataFrame) -> DataFrame:
         return F.aggregate(array, state, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
 
     dirty = F.size(name) > 0
-    text = F.when(dirty, cut(F.col("text"), F.col(name))).otherwise(F.col("text"))
-    out = []
-    for field in docs.schema.fields:
-        column = F.col(f"`{field.name}`")
-        if field.name == "text":
-            column = text
-        elif field.name == "n_chars":
-            column = F.when(dirty, F.length(text)).otherwise(column).cast(field.dataType)
-        out.append(column.alias(field.name))
-    return spans.select(*out)
+    out = spans.withColumn("text", F.when(dirty, cut(F.col("text"), F.col(name))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(dirty, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
