@@ -130,12 +130,14 @@ def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def input_mb(df: DataFrame) -> float:
-    """Optimizer's size estimate of the scan in MB; sizes the partitions of written work."""
-    return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 1e6
+# Above this the optimizer's size is no estimate but its word for "unknown" (4 PB).
+UNKNOWN_BYTES = 1 << 52
 
 
 def tasks_for(df: DataFrame, mb: float = 16.0) -> int:
     """Partitions for a shuffle of work that follows the size of ``df``."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(input_mb(df) / mb) + 1)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= UNKNOWN_BYTES:
+        return max(least, df.rdd.getNumPartitions())
+    return max(least, int(size / (mb * 1e6)) + 1)
