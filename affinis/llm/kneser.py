@@ -10,8 +10,7 @@ number of different words before w,
 
 where D and D' are the modified discounts from the counts of counts, and g(v), g' give
 what was taken away to the lower order, so both sum to one over the V training tokens
-and one unknown. Bigrams below ``MIN_COUNT`` leave all their mass to the lower order
-(the usual cutoff; they still count as continuations and in c(v)).
+and one unknown. ``MIN_COUNT`` is 1: every bigram of the training texts is in the model.
 
 The model is two sorted hash arrays, bigrams and words. Spark writes them in key order
 to the shared scratch folder; every executor lays them out once as flat files beside its
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from affinis.llm.mapped import MappedTable, places, publish
 from affinis.llm.text import documents, materialise, mixed, pairs_of, signed, tasks_for, word_hashes, words_of
 
-MIN_COUNT = 2
+MIN_COUNT = 1
 # A word with this share of all tokens is dealt over SALT buckets, as next word of a bigram.
 HOT_SHARE = 1 / 2000
 SALT = 16
@@ -46,7 +45,7 @@ GROUP = 250_000
 
 _UNI = pa.schema([("w", pa.int64()), ("c", pa.int64())])
 _PACKED = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("runs", pa.binary()), ("before", pa.binary()), ("counts", pa.binary())])
-_MERGED = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
+_MERGED = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("d", pa.int64())])
 BIGRAM, CONTINUATION, CONTEXT, COUNTS = range(4)
 
 
@@ -161,17 +160,17 @@ def bigram_counts(train: DataFrame, hot: np.ndarray, tasks: int) -> DataFrame:
         yield from _rows(BIGRAM, bigram_key(v[kept], w[kept]), c[kept])
         contexts, at = np.unique(v[kept], return_inverse=True)
         sums = [np.bincount(at, weights=x, minlength=len(contexts)).astype(np.int64) for x in (
-            c[kept] == 2, c[kept] > 2, np.where(c[kept] > 2, c[kept], 0))]
+            c[kept] == 1, c[kept] == 2, c[kept] > 2, c[kept])]
         yield from _rows(CONTEXT, contexts.view(np.int64), *sums)
 
     return (
         train.mapInArrow(packed, "bucket int, words binary, runs binary, before binary, counts binary")
-        .repartition(tasks, "bucket").mapInArrow(merged, "kind int, key long, a long, b long, c long"))
+        .repartition(tasks, "bucket").mapInArrow(merged, "kind int, key long, a long, b long, c long, d long"))
 
 
-def _rows(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray | None = None, c: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def _rows(kind: int, key: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
     zero = np.zeros(len(key), np.int64)
-    columns = [key, a, zero if b is None else b, zero if c is None else c]
+    columns = [key, *values, *[zero] * (4 - len(values))]
     for at in range(0, len(key), 100_000):
         part = [pa.array(x[at : at + 100_000].astype(np.int64)) for x in columns]
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *part], schema=_MERGED)
@@ -210,7 +209,7 @@ def fit(train: DataFrame, mounted: bool | None = None) -> Model:
     d = discounts([totals.get((COUNTS, k), 0) for k in range(1, 5)])
     n1 = merged.where(F.col("kind") == CONTINUATION).groupBy("key").agg(F.sum("a").alias("n1"))
     context = merged.where(F.col("kind") == CONTEXT).groupBy("key").agg(
-        F.sum(F.col("a") * (2 - d[1]) + F.col("c") - F.col("b") * d[2]).alias("s"))
+        F.sum(F.col("d") - F.col("a") * d[0] - F.col("b") * d[1] - F.col("c") * d[2]).alias("s"))
     start = signed(np.array([_marks()[0]], np.uint64))[0]
     texts = train.count()
     # The start mark is a context too: it comes before every text's first token.
