@@ -3,21 +3,23 @@
 Base kinds, leftmost and non-overlapping each: ``assign`` (a password, secret, token or
 key that is given a value of eight or more characters), ``access`` (AKIA keys) and
 ``hex`` (32 or more). The method adds ``markov``: runs of 20 or more key characters
-outside all base spans which a first-order character model of random strings explains
-better than one of ordinary identifiers. Both models are transition counts smoothed by
-character frequencies, trained on labelled samples: the values of base spans are random strings,
-runs of at least 16 letters are ordinary. The training
-counts cover all documents. Short runs are never judged, and a run needs letters and
-digits both, a log-likelihood ratio of ``MIN_RATIO`` nats and ``MIN_RATIO_EACH`` per
-character, so that ordinary long words are left alone.
+in what base spans leave of a text, which a model of random strings explains better than
+one of ordinary identifiers. Random strings are uniform draws over the smallest alphabet
+that holds the run (``ALPHABETS``: hex, base32, base36, base62, base64), whatever secrets
+the corpus holds, or else follow the transitions of the values of base spans; the better
+model counts. Ordinary are runs of at least 16 letters, in their own and in upper case,
+with a share of ``SIGNS`` for digits and signs, evenly. Both sets of transitions are
+smoothed by character frequencies; the training counts cover all documents. Short runs
+are never judged, and a run needs letters and digits both, a log-likelihood ratio of
+``MIN_RATIO`` nats and ``MIN_RATIO_EACH`` per character, so that ordinary long words are
+left alone.
 
 Spans are found without Python by splitting a text at the matches and extracting the
 matches: the lengths of both, added up, are the positions (code points, end exclusive).
 
 Defined cases: a null or empty text has no spans. Repeated rows each get their result,
 null ids come out as null, an empty table gives an empty result, other columns stay
-unread (:func:`masked` keeps them). Without any base span in the corpus random strings
-are taken as uniform over the alphabet.
+unread (:func:`masked` keeps them).
 """
 
 from __future__ import annotations
@@ -43,6 +45,12 @@ MIN_RATIO = 12.0
 MIN_RATIO_EACH = 0.45
 # Transitions that a character's overall frequency counts for in either model.
 PRIOR = 20.0
+# Share of digits and signs in ordinary identifiers; samples of letters can't tell it.
+SIGNS = 0.25
+# Alphabets of random strings, smallest first; anything else is drawn from all of ALPHABET.
+ALPHABETS = [
+    (16, "([0-9a-f]+|[0-9A-F]+)"), (32, "([a-z2-7]+|[A-Z2-7]+)=*"), (36, "([a-z0-9]+|[A-Z0-9]+)"), (62, "[A-Za-z0-9]+"),
+    (64, "([A-Za-z0-9+/]+|[A-Za-z0-9_-]+)=*")]
 MASK = "[SECRET]"
 
 # Fields in the order that spans are listed by.
@@ -78,15 +86,27 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(assign.cast(_SPAN), _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
 
 
+def _blanked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces in place of the spans, which are in order of their starts."""
+    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(s, span):
+        gap = F.substring(text, s["at"] + 1, F.greatest(span["start"] - s["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(span["end"] - F.greatest(span["start"], s["at"]), F.lit(0)))
+        return F.struct(F.greatest(s["at"], span["end"]).alias("at"), F.concat(s["out"], gap, blank).alias("out"))
+
+    rest = F.aggregate(spans, state, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, rest).otherwise(text)
+
+
 def scanned(docs: DataFrame, keep: list[str], name: str) -> DataFrame:
     """``keep`` columns and a struct of base spans, candidates and ordinary words; written once."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = base_spans(text)
-    candidates = _spans(text, CANDIDATE, 3)
-    apart = lambda c, b: ~F.exists(b, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
+    candidates = lambda b: let(_blanked(text, b), lambda t: _spans(t, CANDIDATE, 3))
     likely = lambda c: c["value"].rlike("[0-9]") & c["value"].rlike("[A-Za-z]")
     scan = let(base, lambda b: F.struct(
-        b.alias("base"), F.filter(candidates, lambda c: likely(c) & apart(c, b)).alias("candidates"),
+        b.alias("base"), F.filter(candidates(b), likely).alias("candidates"),
         F.regexp_extract_all(text, F.lit(ORDINARY), F.lit(0)).alias("ordinary")))
     return docs.select(*[F.col(f"`{c}`") for c in keep], scan.alias(name))
 
@@ -99,47 +119,63 @@ def _pair_counts(strings: DataFrame) -> DataFrame:
         .where(F.translate("pair", ALPHABET, "") == ""))
 
 
-def log_ratios(scans: DataFrame, name: str) -> list[float]:
-    """log P_random(b | a) - log P_ordinary(b | a) of every transition, row by row of the alphabet.
+def log_models(scans: DataFrame, name: str) -> dict[str, list[float]]:
+    """log P(b | a) of every transition, row by row of the alphabet, ``random`` and ``ordinary``.
 
     Two tables of at most 68 x 68 counts are collected, whatever the size of the corpus.
     """
     field = F.col(name)
+    ordinary = scans.select(F.explode(field["ordinary"]).alias("s"))
     samples = {
         "random": scans.select(F.explode(field["base"]["value"]).alias("s")),
-        "ordinary": scans.select(F.explode(field["ordinary"]).alias("s")),
+        "ordinary": ordinary,
     }
     size = len(ALPHABET)
     at = {c: i for i, c in enumerate(ALPHABET)}
+    letters = [c.isalpha() for c in ALPHABET]
     logs = {}
     for label, strings in samples.items():
         counts = [[0.0] * size for _ in range(size)]
         for row in _pair_counts(strings).collect():
-            a, b = row["pair"]
-            counts[at[a]][at[b]] += row["n"]
+            for a, b in [row["pair"], row["pair"].upper()] if label == "ordinary" else [row["pair"]]:
+                counts[at[a]][at[b]] += row["n"]
         # A character after a rare one is judged by how frequent it is anywhere.
         single = [1.0 + sum(line[b] for line in counts) for b in range(size)]
         total = sum(single)
-        logs[label] = [[math.log((c + PRIOR * single[b] / total) / (sum(line) + PRIOR)) for b, c in enumerate(line)] for line in counts]
-    return [r - o for a, b in zip(logs["random"], logs["ordinary"], strict=True) for r, o in zip(a, b, strict=True)]
+        p = [[(c + PRIOR * single[b] / total) / (sum(line) + PRIOR) for b, c in enumerate(line)] for line in counts]
+        if label == "ordinary":
+            for line in p:
+                share = sum(x for x, letter in zip(line, letters, strict=True) if letter)
+                line[:] = [x / share * (1 - SIGNS) if letter else SIGNS / (size - sum(letters)) for x, letter in zip(line, letters, strict=True)]
+        logs[label] = [math.log(x) for line in p for x in line]
+    return logs
 
 
-def _ratio(value: Column, table: Column) -> Column:
-    """Summed log-likelihood ratio of a string's transitions."""
+def _sum(value: Column, table: Column) -> Column:
+    """Summed log-likelihood of a string's transitions."""
     place = lambda i: F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1))) - 1
     steps = F.sequence(F.lit(1), F.length(value) - 1)
     return F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.coalesce(F.get(table, place(i) * len(ALPHABET) + place(i + 1)), F.lit(0.0)))
 
 
+def _ratio(value: Column, random: Column, ordinary: Column) -> Column:
+    """Log-likelihood ratio of the better random model to the ordinary one."""
+    each = F.lit(math.log(len(ALPHABET)))
+    for size, pattern in reversed(ALPHABETS):
+        each = F.when(value.rlike(f"^{pattern}$"), F.lit(math.log(size))).otherwise(each)
+    return F.greatest(-each * (F.length(value) - 1), _sum(value, random)) - _sum(value, ordinary)
+
+
 def found(docs: DataFrame, keep: list[str], name: str = "secret_scan") -> tuple[DataFrame, str]:
     """``keep`` columns and an array of all spans by start, then kind; with the array's name."""
     name = free_name(docs, name)
     scans = materialise(scanned(docs, keep, name), "scans")
-    table = F.array(*[F.lit(x) for x in log_ratios(scans, name)])
+    models = log_models(scans, name)
+    random, ordinary = (F.split(F.lit(" ".join(map(repr, models[k]))), " ").cast("array<double>") for k in ("random", "ordinary"))
     field = F.col(name)
     judged = F.filter(
         field["candidates"],
-        lambda c: let(_ratio(c["value"], table), lambda r: (r >= MIN_RATIO) & (r >= MIN_RATIO_EACH * F.length(c["value"]))))
+        lambda c: let(_ratio(c["value"], random, ordinary), lambda r: (r >= MIN_RATIO) & (r >= MIN_RATIO_EACH * F.length(c["value"]))))
     spans = F.when(F.size(field["candidates"]) == 0, field["base"]).otherwise(F.sort_array(F.concat(field["base"], judged)))
     return scans.withColumn(name, spans), name
 
