@@ -1,8 +1,9 @@
 """Benchmark decontamination (operator 2): SimHash of item-sized windows.
 
 For every benchmark item of n words, every window of n words of every document is a
-candidate copy. Windows and items carry a 64-bit SimHash of their weighted five-word
-shingles (weight: occurrences). Pairs of equal length within Hamming distance
+candidate copy; a document with fewer words than the item is one window of all its words,
+if its shingles are at least 3/4 as many as the item's. Windows and items carry a 64-bit SimHash of their weighted five-word
+shingles (weight: occurrences). Pairs of such lengths within Hamming distance
 ``RADIUS`` are found by a multi-index join: the fingerprint is cut into 8 blocks of 8
 bits, and by the pigeonhole principle two fingerprints at most 8 * (t + 1) - 1 = 23
 bits apart have a block at most t = 2 bits apart, so an item is listed under all block
@@ -11,8 +12,8 @@ Jaccard similarity of the shingles decides: 0.75 or more is a leak.
 
 Before fingerprints are built, windows are ruled out that cannot be similar to any
 item of their length: two multisets of m shingles with similarity 3/4 share at least
-6m/7 of them, so a window must have that many shingles that occur in the benchmark at
-all. That bound is exact; it only spares fingerprints of windows without a match. A
+6m/7 of them (of m and m', 3/7 of the sum), so a window must have that many shingles that
+occur in the benchmark at all. That bound is exact; it only spares fingerprints of windows without a match. A
 random 64-bit SimHash puts texts of similarity 3/4 about 10 bits apart with a deviation
 of 3; a radius of 23 is four deviations, and a verbatim passage is at distance 0.
 
@@ -50,9 +51,9 @@ _LEAK = pa.schema([
     ("doc_id", pa.int64()), ("item", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())])
 
 
-def needed(m: int) -> int:
-    """Fewest shared shingles of two multisets of ``m`` with similarity 3/4."""
-    return int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * m - 1e-9))
+def needed(m: int, other: int | None = None) -> int:
+    """Fewest shared shingles of multisets of ``m`` and ``other`` (``m``) with similarity 3/4."""
+    return int(np.ceil(SIMILARITY / (1 + SIMILARITY) * (m + (m if other is None else other)) - 1e-9))
 
 
 def simhash(windows: np.ndarray) -> np.ndarray:
@@ -112,14 +113,20 @@ class Items:
             width = min(SHINGLE_WORDS, n)
             s, hits = shingled[width]
             m = n - width + 1
-            if len(s) < m or hits[-1] < needed(m):
+            if len(s) < m:
+                # All of a shorter document is one window.
+                if len(s) >= SIMILARITY * m and hits[-1] >= needed(len(s), m):
+                    yield from self._verified(s, np.zeros(1, np.int64), len(h), len(s), table, m)
+                continue
+            if hits[-1] < needed(m):
                 continue
             starts = np.flatnonzero(hits[m:] - hits[:-m] >= needed(m))
             for part in np.array_split(starts, len(starts) // GROUP + 1):
                 if len(part):
-                    yield from self._verified(s, part, n, m, table)
+                    yield from self._verified(s, part, n, m, table, m)
 
-    def _verified(self, s, starts, n, m, table):
+    def _verified(self, s, starts, n, m, table, of_item):
+        """Windows of ``n`` words and ``m`` shingles against items of ``of_item`` shingles."""
         prints = simhash(s[starts[:, None] + np.arange(m)[None, :]])
         for start, fingerprint, blocks in zip(starts.tolist(), prints, prints.view(np.uint8).reshape(-1, BLOCKS), strict=True):
             listed = [table[k] for k in enumerate(blocks.tolist()) if k in table]
@@ -132,8 +139,8 @@ class Items:
                 window = Counter(s[start : start + m].tolist())
                 for i in items.tolist():
                     both = sum((window & self.counts[i]).values())
-                    if both >= SIMILARITY * (2 * m - both):
-                        yield self.numbers[i], start, n, both / (2 * m - both)
+                    if both >= SIMILARITY * (m + of_item - both):
+                        yield self.numbers[i], start, n, both / (m + of_item - both)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
