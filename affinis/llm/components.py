@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.text import materialise
+from affinis.operators.layout import Sweeps
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -19,10 +19,12 @@ def components(edges: DataFrame) -> DataFrame:
     changes: every node links its larger neighbours to its smallest one, then its
     smaller neighbours to the smallest of them. Both keep the components and halve
     paths, so rounds grow with the logarithm of the longest path. Each round is
-    written, which cuts the lineage and survives lost executors. An edge from a node
+    written, which cuts the lineage and survives lost executors; rounds before the last two
+    are deleted. An edge from a node
     to itself, or with a null end, is ignored.
     """
-    now = materialise(
+    rounds = Sweeps()
+    now = rounds.write(
         edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
     while state[0]:
@@ -32,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
         first = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(first, "a").select(F.explode(F.array(
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
-        following = materialise(small.select("e.a", "e.b").where("a != b").distinct(), "edges")
+        following = rounds.write(small.select("e.a", "e.b").where("a != b").distinct(), "edges")
         before, state = state, _state(following)
         now = following
         if state == before:

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and the pipeline."""
+"""The registered queries of the operators and the pipeline."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 # Each module registers its query here when imported.
-MODULES = ["q_quality", "q_decontaminate", "q_shards", "q_jaccard", "q_spans", "q_rules", "q_packing", "q_urls", "q_kneser", "q_secrets", "q_pipeline"]
+MODULES = ["q_quality", "q_decontaminate", "q_shards", "q_jaccard", "q_spans", "q_rules", "q_packing", "q_urls", "q_kneser", "q_secrets", "q_simhash", "q_pipeline"]
 
 
 def query(name: str, sql: str | None = None):
