@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 # Each module registers its query here when imported.
-MODULES = ["q_quality", "q_decontaminate", "q_shards", "q_jaccard", "q_spans", "q_rules", "q_packing", "q_urls", "q_kneser", "q_secrets", "q_simhash", "q_pipeline"]
+MODULES = ["q_quality", "q_decontaminate", "q_shards", "q_jaccard", "q_spans", "q_rules", "q_packing", "q_urls", "q_kneser", "q_secrets", "q_repair", "q_prefix_trie", "q_simhash", "q_pipeline"]
 
 
 def query(name: str, sql: str | None = None):
