@@ -1,28 +1,39 @@
 """Alternating least squares: plain, biased, tag-extended and zero-filled.
 
 All of them run the half-sweep of :mod:`affinis.operators.normal`. Users are
-solved first, then items, in every sweep. Starting factors are functions of the
-id, so the first half-sweep needs no join at all.
+solved first, then items, in every sweep. Starting factors are functions of the id.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinis.functions.vectors import dot, start_value, start_vector, vector_sum, zeros
+from affinis.functions.vectors import start_value, start_vector, zeros
 from affinis.models.base import FactorModel
 from affinis.operators import stats
 from affinis.operators.layout import RatingStore, Sweeps, materialise, scratch_path, task_count
 from affinis.operators.normal import (
-    gram_matrix, half_sweep, joint_ridge, ridge, ridge_with_bias, times_matrix)
+    gram_matrix, half_sweep, joint_ridge, product, ridge, ridge_with_bias, times_matrix)
 
 
 def _due(sweep: int, iterations: int, every: int) -> bool:
     return sweep == iterations - 1 or (sweep + 1) % every == 0
 
 
+def _fixed(table: DataFrame, key: str, offset: Column | None = None) -> DataFrame:
+    """``key, v, f`` for a half-sweep: v is what a rating loses before it is a target."""
+    return table.select(key, (F.lit(0.0) if offset is None else offset).alias("v"), "f")
+
+
+def _started(store: RatingStore, key: str, k: int, seed: int, init: str, offset: Column | None = None, scale: float = 1.0) -> DataFrame:
+    f = start_vector(F.col(key), k, seed, init)
+    if scale != 1.0:
+        f = F.transform(f, lambda e: e * F.lit(scale))
+    return _fixed(store.ids(key).withColumn("f", f), key, offset)
+
+
 def fit_als(
     ratings: DataFrame, k: int = 20, iterations: int = 40, lam: float = 0.1, seed: int = 42,
     init: str = "uniform", checkpoint_every: int = 4, on_sweep=None,
@@ -30,7 +41,7 @@ def fit_als(
     """User-centred ratings factorised with penalty lam * (ratings of the key)."""
     means = materialise(stats.user_means(ratings), "user-means")
     store = RatingStore(stats.center_by_user(ratings, means))
-    solver, y = ridge(k, lam), F.col("rating")
+    solver = ridge(k, lam)
 
     def model(u: DataFrame, v: DataFrame) -> FactorModel:
         users = means.join(u.select("user", "f"), "user")
@@ -38,17 +49,16 @@ def fit_als(
 
     v, sweeps = None, Sweeps()
     for sweep in range(iterations):
-        x = start_vector(F.col("item"), k, seed, init) if v is None else F.col("f")
-        u = half_sweep(store, "user", k, solver, target=y, regressors=x, fixed=v)
+        fixed = _started(store, "item", k, seed, init) if v is None else _fixed(v, "item")
+        u = half_sweep(store, "user", k, solver, fixed)
         last = _due(sweep, iterations, checkpoint_every)
         if last or on_sweep:
             u = sweeps.write(u, "als-user")
-        v = half_sweep(store, "item", k, solver, target=y, regressors=F.col("f"), fixed=u.select("user", "f"))
+        v = half_sweep(store, "item", k, solver, _fixed(u, "user"))
         if last or on_sweep:
             v = sweeps.write(v, "als-item")
         if on_sweep:
             on_sweep(sweep, model(u, v))
-        v = v.select("item", "bias", "f")
     store.release()
     return model(u, v)
 
@@ -95,19 +105,15 @@ def fit_als_biased(
     store = RatingStore(ratings.select("user", "item", "rating"))
     w = float(store.mean) if global_mean else 0.0
     solver = ridge_with_bias(k, lam, w)
-    start = lambda key: (
-        start_vector(F.col(key), k, seed, init), start_value(F.col(key), k, seed, init))
-    u = store.df.select("user").distinct().select("user", start("user")[1].alias("bias"))
+    start = lambda key: start_value(F.col(key), k, seed, init)
+    u = store.ids("user").select("user", start("user").alias("bias"))
     v, sweeps = None, Sweeps()
     for sweep in range(iterations):
-        x, b = start("item") if v is None else (F.col("f"), F.col("bias"))
-        u = sweeps.write(half_sweep(
-            store, "user", k, solver, target=F.col("rating") - b, regressors=x, fixed=v, prior=u), "als2-user")
+        fixed = _started(store, "item", k, seed, init, start("item")) if v is None else _fixed(v, "item", F.col("bias"))
+        u = sweeps.write(half_sweep(store, "user", k, solver, fixed, prior=u), "als2-user")
         if v is None:
-            v = store.df.select("item").distinct().select("item", start("item")[1].alias("bias"))
-        v = sweeps.write(half_sweep(
-            store, "item", k, solver, target=F.col("rating") - F.col("bias"), regressors=F.col("f"),
-            fixed=u, prior=v), "als2-item")
+            v = store.ids("item").select("item", start("item").alias("bias"))
+        v = sweeps.write(half_sweep(store, "item", k, solver, _fixed(u, "user", F.col("bias")), prior=v), "als2-item")
         if on_sweep:
             on_sweep(sweep, FactorModel(name, {"user_factors": u, "item_factors": v}, {"k": k, "intercept": w}))
     store.release()
@@ -139,10 +145,17 @@ def fit_xals(
     width = k + n_tags
     tags = materialise(tag_vectors(item_tags.withColumn("tag", F.col("tag").cast("int")), n_tags), "item-tags")
     means = materialise(stats.user_means(ratings), "user-means")
-    rows = stats.center_by_user(ratings, means).join(tags, "item", "left")
-    store = RatingStore(rows.withColumn("t", F.coalesce("t", zeros(n_tags))))
+    store = RatingStore(stats.center_by_user(ratings, means))
+    own = materialise(store.ids("item").join(tags, "item", "left").select(
+        "item", F.lit(0.0).alias("v"), F.coalesce("t", zeros(n_tags)).alias("f")), "rated-tags")
     v, sweeps = None, Sweeps()
 
+    def free_block(met, rows):
+        """What the tags leave unexplained, against the users' free factors."""
+        theirs = met.fixed.f[met.at[rows]]
+        t = met.own.f[met.own.find(met.key[rows])[0]]
+        return met.rating[rows] - (theirs[:, k:] * t).sum(axis=1), theirs[:, :k]
+
     def model() -> FactorModel:
         items = v.join(tags, "item", "left").select(
             "item", "bias", F.concat("f", F.coalesce("t", zeros(n_tags))).alias("f"))
@@ -150,15 +163,12 @@ def fit_xals(
                            {"k": width, "intercept": 0.0})
 
     for sweep in range(iterations):
-        free = start_vector(F.col("item"), k, seed, init) if v is None else F.col("f")
-        u = half_sweep(store, "user", width, ridge(width, lam), target=F.col("rating"),
-                       regressors=F.concat(free, F.col("t")), fixed=v, fixed_width=k)
+        free = _started(store, "item", k, seed, init) if v is None else _fixed(v, "item")
+        whole = free.join(own.select("item", F.col("f").alias("t")), "item").select("item", "v", F.concat("f", "t").alias("f"))
+        u = half_sweep(store, "user", width, ridge(width, lam), whole)
         last = _due(sweep, iterations, checkpoint_every) or on_sweep is not None
         u = sweeps.write(u, "xals-user") if last else u
-        v = half_sweep(
-            store, "item", k, ridge(k, lam), fixed=u.select("user", "f"), fixed_width=width,
-            target=F.col("rating") - dot(F.slice("f", k + 1, n_tags), F.col("t"), n_tags),
-            regressors=F.slice("f", 1, k))
+        v = half_sweep(store, "item", k, ridge(k, lam), _fixed(u, "user"), width=width, own=own, own_width=n_tags, regress=free_block)
         v = sweeps.write(v, "xals-item") if last else v
         if on_sweep:
             on_sweep(sweep, model())
@@ -173,20 +183,16 @@ def fit_wals(
     """Zero-filled ALS: missing cells are 0 with the same weight as stored ones.
 
     Every key shares the system matrix V'V + reg I, so a half-sweep is one
-    weighted vector sum per key (combined map-side, hence safe for hot keys)
-    times a constant k x k matrix.
+    weighted vector sum per key times a constant k x k matrix.
     """
     means = materialise(stats.user_means(ratings), "user-means")
     store = RatingStore(stats.center_by_user(ratings, means))
 
     def half(key: str, fixed: DataFrame | None) -> DataFrame:
-        other = store.KEYS[key]
         if fixed is None:
-            ids = store.df.select(other).distinct()
-            fixed = materialise(ids.select(other, start_vector(F.col(other), k, seed, init).alias("f")), "wals-start")
+            fixed = materialise(_started(store, store.KEYS[key], k, seed, init), "wals-start")
         inverse = np.linalg.inv(gram_matrix(fixed, k) + reg * np.eye(k))
-        sums = store.df.join(fixed, other).groupBy(key).agg(vector_sum(F.col("rating"), F.col("f"), k).alias("f"))
-        return sweeps.write(times_matrix(sums, inverse), f"wals-{key}")
+        return sweeps.write(times_matrix(product(store, key, fixed, k), inverse), f"wals-{key}")
 
     v, sweeps = None, Sweeps()
     for _ in range(iterations):
@@ -213,15 +219,11 @@ def fit_cfm(
     solver = joint_ridge(k, reg_w, reg_v)
     v, sweeps = None, Sweeps()
     for sweep in range(iterations):
-        x = start_vector(F.col("item"), k, seed, init) if v is None else F.col("f")
-        if v is None:
-            x, b = F.transform(x, lambda e: e * F.lit(scale)), F.lit(0.0)
-        else:
-            b = F.col("bias")
-        u = half_sweep(store, "user", k, solver, target=F.col("rating") - w0 - b, regressors=x, fixed=v)
+        whole = w0 + F.col("bias")
+        fixed = _started(store, "item", k, seed, init, F.lit(w0), scale) if v is None else _fixed(v, "item", whole)
+        u = half_sweep(store, "user", k, solver, fixed)
         u = sweeps.write(u, "cfm-user") if _due(sweep, iterations, 4) else u
-        v = half_sweep(store, "item", k, solver, target=F.col("rating") - w0 - F.col("bias"),
-                       regressors=F.col("f"), fixed=u)
+        v = half_sweep(store, "item", k, solver, _fixed(u, "user", whole))
         v = sweeps.write(v, "cfm-item") if _due(sweep, iterations, 4) else v
     store.release()
     return FactorModel("cfm", {"user_factors": u, "item_factors": v}, {"k": k, "intercept": w0})

@@ -22,8 +22,8 @@ def _centred(new_ratings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _solve(rows: DataFrame, k: int, lam: float, regressors: Column, items: DataFrame) -> DataFrame:
     store = RatingStore(rows)
-    solved = materialise(half_sweep(store, "user", k, ridge(k, lam), target=F.col("rating"), regressors=regressors,
-                                    fixed=items.select("item", "f")), "newcomers")
+    fixed = items.select("item", F.lit(0.0).alias("v"), regressors.alias("f"))
+    solved = materialise(half_sweep(store, "user", k, ridge(k, lam), fixed), "newcomers")
     store.release()
     return solved
 

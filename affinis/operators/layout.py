@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,11 +115,16 @@ def task_count(spark: SparkSession, rows: int) -> int:
 class RatingStore:
     """Ratings held once, laid out by user and by item for repeated sweeps.
 
-    ``by(key)`` hash-partitions on ``(key, slot)`` and sorts on it. ``slot`` is 0
-    except for keys above ``rows_per_slot`` rows, whose rows are spread over
-    several slots by a hash of the other id, so that a key holding a third of
-    the table is worked on by many tasks. Partial results per slot are merged
-    by the caller (see ``normal.half_sweep``).
+    ``by(key)`` deals the ratings to ``tasks`` stored parts by a hash of ``(key, slot)``
+    and sorts them. ``slot`` is 0 except for keys above ``rows_per_slot`` rows, whose rows
+    are spread over several slots by a hash of the other id, so that a key holding a
+    third of the table is worked on by many tasks. Partial results per slot are merged by
+    the caller (see ``normal.half_sweep``).
+
+    ``routes(key)`` is the static routing table that belongs to it: which parts need
+    which id of the other side. A sweep joins the other side's rows to their routes, so
+    that each is sent once to every part that needs it, and meets the stored ratings
+    there by co-grouping (``meet``). No exchange of a sweep carries a rating.
     """
 
     KEYS = {"user": "item", "item": "user"}
@@ -139,6 +146,8 @@ class RatingStore:
         self.tasks = task_count(self.spark, self.n_ratings)
         self._laid: dict[str, DataFrame] = {}
         self._hot: dict[str, bool] = {}
+        self._routes: dict[tuple[str, str], DataFrame] = {}
+        self._names: list[int] | None = None
 
     def max_rows(self, key: str) -> int:
         """Upper bound on distinct ids of ``key`` (ids are not negative)."""
@@ -148,11 +157,24 @@ class RatingStore:
         self.by(key)
         return self._hot[key]
 
+    def part_names(self) -> list[int]:
+        """A number for every part that Spark's hash deals to a partition of its own, so
+        that no partition gets two parts and none stays empty."""
+        names: dict[int, int] = {}
+        low, step = 0, 20 * self.tasks
+        while len(names) < self.tasks:
+            dealt = F.pmod(F.hash(F.col("id").cast("int")), F.lit(self.tasks)).alias("part")
+            for r in self.spark.range(low, low + step).groupBy(dealt).agg(F.min("id").alias("id")).collect():
+                names.setdefault(r["part"], r["id"])
+            low += step
+        return [names[p] for p in range(self.tasks)]
+
     def by(self, key: str) -> DataFrame:
+        """``user, item, rating, part, hot`` (and further columns), stored."""
         if key in self._laid:
             return self._laid[key]
         other = self.KEYS[key]
-        rows, self._hot[key] = self.df.withColumn("slot", F.lit(0)), False
+        rows, self._hot[key] = self.df.withColumns({"slot": F.lit(0), "hot": F.lit(False)}), False
         if self.n_ratings > self.rows_per_slot:
             # At most n / per_slot keys can be hot; per_slot grows with n so that
             # the broadcast below never exceeds 100,000 rows.
@@ -165,35 +187,97 @@ class RatingStore:
             if hot.limit(1).count():
                 self._hot[key] = True
                 slot = F.coalesce(F.pmod(F.xxhash64(other), F.col("slots")), F.lit(0)).cast("int")
-                rows = self.df.join(F.broadcast(hot), key, "left").withColumn("slot", slot).drop("slots")
+                rows = self.df.join(F.broadcast(hot), key, "left").withColumns(
+                    {"slot": slot, "hot": F.col("slots").isNotNull()}).drop("slots")
+        if self._names is None:
+            self._names = self.part_names()
+        part = F.get(F.array(*[F.lit(n) for n in self._names]), F.pmod(F.xxhash64(key, "slot"), F.lit(self.tasks)).cast("int"))
         laid = (
-            rows.repartition(self.tasks, key, "slot")
-            .sortWithinPartitions(key, "slot")
-            .persist(StorageLevel.MEMORY_AND_DISK)
+            rows.withColumn("part", part.cast("int")).repartition(self.tasks, "part")
+            .sortWithinPartitions("part", key, "slot").persist(StorageLevel.MEMORY_AND_DISK)
         )
         self._laid[key] = laid
         return laid
 
-    def attach(self, key: str, table: DataFrame, width: int, own: DataFrame | None = None, own_width: int = 0) -> DataFrame:
-        """Ratings grouped by ``key`` with the other side's factor row attached,
-        and optionally a table of the key's own attributes.
+    def routes(self, key: str, of: str) -> DataFrame:
+        """``of, part``: the parts of ``by(key)`` in which an id of ``of`` occurs."""
+        if (key, of) not in self._routes:
+            found = materialise(self.by(key).select(F.col(of).alias(of), "part").distinct(), f"routes-{key}-{of}")
+            self._routes[key, of] = found.repartition(self.tasks, of).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._routes[key, of]
+
+    def ids(self, key: str) -> DataFrame:
+        return self.routes(self.KEYS[key], key).select(key).distinct()
 
-        Tables proved small are broadcast and the stored layout is used as it
-        is: no shuffle. Otherwise shuffle joins (split by AQE where skewed) and
-        one exchange back to ``(key, slot)``.
+    def _sent(self, key: str, of: str, table: DataFrame, width: int) -> DataFrame:
+        """``part`` and the columns of ``table``, a row for every part that needs it.
+
+        A table proved small is broadcast to the routes; a larger one is shuffled to
+        them, whose partitioning is already that of the join.
+        """
+        small = fits_broadcast(self.max_rows(of), 8 * (width + 4))
+        return self.routes(key, of).join(F.broadcast(table) if small else table, of)
+
+    def meet(self, key: str, fixed: DataFrame, width: int, task, schema: str, own: DataFrame | None = None, own_width: int = 0) -> DataFrame:
+        """``task(Met)`` for every stored part of ``by(key)``; its tables are the result.
+
+        ``fixed`` has the other side's rows ``other, v, f`` (a number and an array), ``own``
+        such rows of the key itself. A part holds a bounded number of ratings
+        (``task_count``) and the rows of the ids in it.
         """
         other = self.KEYS[key]
-        small = fits_broadcast(self.max_rows(other), 8 * (width + 4))
-        if own is not None:
-            small = small and fits_broadcast(self.max_rows(key), 8 * (own_width + 4))
-        if small:
-            rows = self.by(key).join(F.broadcast(table), other)
-            return rows if own is None else rows.join(F.broadcast(own), key, "left")
-        rows = self.by(key).join(table, other)
+        columns = lambda df, side, ident: df.select(
+            "part", F.lit(side).alias("side"), F.col(ident).cast("bigint").alias("id"), F.col("v").cast("double").alias("v"), "f")
+        sent = columns(self._sent(key, other, fixed, width), 0, other)
         if own is not None:
-            rows = rows.join(own, key, "left")
-        return rows.repartition(self.tasks, key, "slot").sortWithinPartitions(key, "slot")
+            sent = sent.unionAll(columns(self._sent(key, key, own, own_width), 1, key))
+        rows = self.by(key).select("part", F.col(key).cast("bigint").alias("key"), F.col(other).cast("bigint").alias("other"), F.col("rating").cast("double").alias("rating"), "hot")
+        return rows.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(
+            lambda left, right: task(Met(left, right, width, own_width)), schema)
+
+    def attach(self, key: str, table: DataFrame, width: int) -> DataFrame:
+        """Ratings with the other side's row attached, for aggregates that combine map-side."""
+        other = self.KEYS[key]
+        small = fits_broadcast(self.max_rows(other), 8 * (width + 4))
+        return self.by(key).join(F.broadcast(table) if small else table, other)
 
     def release(self) -> None:
-        for df in [self.df, *self._laid.values()]:
+        for df in [self.df, *self._laid.values(), *self._routes.values()]:
             df.unpersist()
+
+
+class Rows:
+    """Rows ``id, v, f`` of one side, found by id."""
+
+    def __init__(self, table: pa.Table, width: int):
+        ids = table.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        self.ids = ids[order]
+        self.v = table.column("v").to_numpy()[order]
+        f = table.column("f").combine_chunks()
+        self.f = np.zeros((len(ids), 0)) if f.null_count == len(f) else f.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), width)[order]
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of ``ids``, and which of them are here."""
+        at = np.minimum(np.searchsorted(self.ids, ids), max(len(self.ids) - 1, 0))
+        return at, self.ids[at] == ids if len(self.ids) else np.zeros(len(ids), bool)
+
+
+class Met:
+    """A stored part of the ratings, sorted by key, with the rows that were sent to it.
+
+    Ratings of which the other side has no row are left out.
+    """
+
+    def __init__(self, left: pa.Table, right: pa.Table, width: int, own_width: int):
+        side = right.column("side").to_numpy()
+        self.fixed = Rows(right.filter(pa.array(side == 0)), width)
+        self.own = Rows(right.filter(pa.array(side == 1)), own_width)
+        at, here = self.fixed.find(left.column("other").to_numpy())
+        self.at = at[here]
+        self.key = left.column("key").to_numpy()[here]
+        self.rating = left.column("rating").to_numpy()[here]
+        self.hot = left.column("hot").to_numpy(zero_copy_only=False)[here]
+        if len(self.key) and (self.key[1:] < self.key[:-1]).any():
+            order = np.argsort(self.key, kind="stable")
+            self.at, self.key, self.rating, self.hot = (c[order] for c in (self.at, self.key, self.rating, self.hot))

@@ -1,9 +1,9 @@
 """Least squares per user (or per item) from one pass over the ratings.
 
-A half-sweep of any alternating least-squares model is the same job: join the
-fixed side onto the ratings, sum ``[x 1]'[x 1]`` and ``[x 1]'y`` per key in Arrow
-batches, then solve one small system per key, a whole batch at a time. What
-differs between the models is only the target, the regressors and the solver.
+A half-sweep of any alternating least-squares model is the same job: route the fixed
+side's rows to the stored ratings, sum ``[x 1]'[x 1]`` and ``[x 1]'y`` per key, then
+solve one small system per key, a whole batch at a time. What differs between the
+models is only the target, the regressors and the solver.
 """
 
 from __future__ import annotations
@@ -16,10 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinis.operators.layout import RatingStore, arrow_rows
+from affinis.functions.vectors import vector_sum
+from affinis.operators.layout import Met, RatingStore, arrow_rows, materialise
 
 STATS = "key bigint, n bigint, gram array<double>, rhs array<double>"
 FACTORS = "key bigint, bias double, f array<double>"
+_LIST = pa.list_(pa.float64())
+_SOLVED = pa.schema([
+    ("key", pa.int64()), ("bias", pa.float64()), ("f", _LIST), ("n", pa.int64()), ("gram", _LIST), ("rhs", _LIST)])
 
 
 def list_array(m: np.ndarray) -> pa.ListArray:
@@ -194,34 +198,94 @@ def merge_statistics(stats: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _runs_of(met: Met, k: int, regress):
+    """``(keys, hot, n, gram, rhs)`` of a part, keys in slices that stay small."""
+    i, j = packed(k + 1)
+    starts = np.flatnonzero(np.r_[True, met.key[1:] != met.key[:-1]]) if len(met.key) else np.zeros(0, np.int64)
+    own_at, _ = met.own.find(met.key[starts]) if len(met.own.ids) else (None, None)
+    rows_at_once, keys_at_once = max(1, 16_000_000 // (k + 1)), max(1, 8_000_000 // len(i))
+    ends, lo = np.r_[starts, len(met.key)], 0
+    while lo < len(starts):
+        # As many whole keys as fit; a key with more rows than that comes in pieces.
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + rows_at_once, side="right")) - 1)
+        hi = min(hi, lo + keys_at_once)
+        first, last = ends[lo], ends[hi]
+        gram, rhs = np.zeros((hi - lo, len(i))), np.zeros((hi - lo, k + 1))
+        for piece in range(first, last, rows_at_once):
+            rows = slice(piece, min(piece + rows_at_once, last))
+            y, raw = regress(met, rows)
+            x = np.empty((len(y), k + 1))
+            x[:, :k], x[:, k] = raw, 1.0
+            cut = np.maximum(starts[lo:hi] - piece, 0) if hi - lo > 1 else np.zeros(1, np.int64)
+            gram += _gram_runs(x, cut, i, j)
+            rhs += np.add.reduceat(x * y[:, None], cut, axis=0)
+        yield met.key[starts[lo:hi]], met.hot[starts[lo:hi]], np.diff(np.r_[starts[lo:hi], last]), gram, rhs, None if own_at is None else own_at[lo:hi]
+        lo = hi
+
+
+def as_they_are(met: Met, rows: slice) -> tuple[np.ndarray, np.ndarray]:
+    """Regressors: the other side's vectors. Target: the rating less the other side's number."""
+    at = met.at[rows]
+    return met.rating[rows] - met.fixed.v[at], met.fixed.f[at]
+
+
 def half_sweep(
-    store: RatingStore, key: str, k: int, solver: Solver, *, target: Column, regressors: Column,
-    fixed: DataFrame | None = None, prior: DataFrame | None = None, fixed_width: int | None = None,
-    own: DataFrame | None = None, own_width: int = 0,
+    store: RatingStore, key: str, k: int, solver: Solver, fixed: DataFrame, *, width: int | None = None,
+    prior: DataFrame | None = None, own: DataFrame | None = None, own_width: int = 0, regress=as_they_are,
 ) -> DataFrame:
     """Solve every ``key`` against the other side; returns ``key, bias, f``.
 
-    ``fixed`` is the other side's table, joined before ``target`` and
-    ``regressors`` are evaluated, and ``own`` a table of the key itself.
-    ``prior`` (key, bias) gives the solver the bias of the previous sweep.
+    ``fixed`` has the other side's ``id, v, f``, routed to the stored ratings
+    (``RatingStore.meet``). ``regress`` turns a part's rows into targets and ``k``
+    regressors; it may look at ``own`` (``key, v, f``), the key's own rows. ``prior``
+    (``key, bias``) gives the solver the bias of the previous sweep. Keys whose ratings
+    are spread over several parts are summed first and solved after a merge.
     """
-    if fixed is None:
-        rows = store.by(key)
-    else:
-        rows = store.attach(key, fixed, k if fixed_width is None else fixed_width, own, own_width)
-    rows = rows.select(F.col(key).alias("key"), target.alias("y"), regressors.alias("x"))
-    split = store.is_split(key)
-    fused_pass = prior is None and not split
-    # Rows in: k + 1 numbers; rows between the two passes, if there are two: the sums.
-    arrow_rows(store.spark, 8 * (k + 2) if fused_pass else 8 * ((k + 1) * (k + 4) // 2 + 3))
-    if fused_pass:
-        def fused(it):
-            for keys, n, gram, rhs in _partials(it, k):
-                yield from _solved(keys, n, gram, rhs, np.zeros(len(keys)), k, solver)
-
-        return rows.mapInArrow(fused, FACTORS).withColumnRenamed("key", key)
-    stats = key_statistics(rows, k, split)
-    return solve_statistics(stats, k, solver, key, prior)
+    split, has_prior = store.is_split(key), prior is not None
+    if has_prior:
+        own, own_width = prior.select(key, F.col("bias").alias("v"), F.lit(None).cast("array<double>").alias("f")), 0
+
+    def task(met: Met) -> pa.Table:
+        out = []
+        for keys, hot, n, gram, rhs, at in _runs_of(met, k, regress):
+            before = met.own.v[at] if has_prior else np.zeros(len(keys))
+            for b in _solved(keys[~hot], n[~hot], gram[~hot], rhs[~hot], before[~hot], k, solver):
+                out.append(b.append_column("n", pa.nulls(len(b), pa.int64())).append_column("gram", pa.nulls(len(b), _LIST)).append_column("rhs", pa.nulls(len(b), _LIST)))
+            if hot.any():
+                b = _stats_batch(keys[hot], n[hot], gram[hot], rhs[hot])
+                out.append(pa.RecordBatch.from_arrays(
+                    [b.column("key"), pa.nulls(len(b), pa.float64()), pa.nulls(len(b), _LIST), *b.columns[1:]], schema=_SOLVED))
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=_SOLVED) for b in out], _SOLVED)
+
+    found = store.meet(key, fixed, k if width is None else width, task, f"{FACTORS}, n bigint, gram array<double>, rhs array<double>", own, own_width)
+    factors = ["key", "bias", "f"]
+    if not split:
+        return found.select(*factors).withColumnRenamed("key", key)
+    found = materialise(found, "half-sweep")
+    merged = merge_statistics(found.where("n is not null"), k)
+    return found.where("n is null").select(*factors).withColumnRenamed("key", key).unionByName(solve_statistics(merged, k, solver, key, prior))
+
+
+def product(store: RatingStore, key: str, fixed: DataFrame, k: int) -> DataFrame:
+    """Sparse product: per ``key``, the sum of rating * vector of the other side (``key, f``)."""
+
+    def task(met: Met) -> pa.Table:
+        if not len(met.key):
+            return pa.table({"key": pa.array([], pa.int64()), "f": pa.array([], _LIST)})
+        starts = np.flatnonzero(np.r_[True, met.key[1:] != met.key[:-1]])
+        total, step = np.zeros((len(starts), k)), max(1, 16_000_000 // k)
+        run = np.cumsum(np.r_[False, met.key[1:] != met.key[:-1]])
+        for lo in range(0, len(met.key), step):
+            rows = slice(lo, lo + step)
+            part = run[rows]
+            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            total[part[cut]] += np.add.reduceat(met.fixed.f[met.at[rows]] * met.rating[rows, None], cut, axis=0)
+        return pa.table({"key": met.key[starts], "f": list_array(total)})
+
+    sums = store.meet(key, fixed.select(store.KEYS[key], F.lit(0.0).alias("v"), "f"), k, task, "key bigint, f array<double>")
+    if store.is_split(key):
+        sums = sums.groupBy("key").agg(vector_sum(F.lit(1.0), F.col("f"), k).alias("f"))
+    return sums.withColumnRenamed("key", key)
 
 
 def solve_statistics(stats: DataFrame, k: int, solver: Solver, key: str, prior: DataFrame | None = None) -> DataFrame:

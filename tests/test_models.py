@@ -65,14 +65,26 @@ def test_splitting_and_shuffling_change_nothing(d1, monkeypatch):
         assert np.allclose(plain, other, atol=1e-9)
 
 
-def test_half_sweep_on_a_broadcast_side_does_not_shuffle(d1):
+@pytest.mark.parametrize("small", [True, False])
+def test_no_exchange_of_a_half_sweep_carries_a_rating(d1, monkeypatch, small):
+    """Beside the stored layouts, a plan moves routes and factors only, whatever their size."""
+    if not small:
+        monkeypatch.setattr(layout, "BROADCAST_BYTES", 0)
     store = layout.RatingStore(d1)
-    store.by("user").count()
-    fixed = layout.materialise(d1.select("item").distinct().select("item", F.array(F.lit(1.0), F.lit(2.0)).alias("f")), "t")
-    out = normal.half_sweep(store, "user", 2, normal.ridge(2, 0.1), target=F.col("rating"), regressors=F.col("f"), fixed=fixed)
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    top = plan.split("InMemoryTableScan")[0] + plan.split("BroadcastExchange")[-1]
-    assert "Exchange hashpartitioning" not in top and "BroadcastHashJoin" in plan
+    store.by("user").count(), store.routes("user", "item").count()
+    fixed = layout.materialise(d1.select("item").distinct().select("item", F.lit(0.0).alias("v"), F.array(F.lit(1.0), F.lit(2.0)).alias("f")), "t")
+    for out in (normal.half_sweep(store, "user", 2, normal.ridge(2, 0.1), fixed), normal.product(store, "user", fixed, 2)):
+        plan = out._jdf.queryExecution().executedPlan()
+        moved, todo = [], [plan]
+        while todo:
+            node = todo.pop()
+            if "Exchange" in node.nodeName():
+                moved.append({a.name() for a in (node.output().apply(k) for k in range(node.output().size()))})
+            children = node.children()
+            todo += [children.apply(k) for k in range(children.size())]
+            if node.nodeName() == "AdaptiveSparkPlan":
+                todo.append(node.executedPlan())
+        assert moved and not any("rating" in m for m in moved)
     store.release()
 
 
@@ -425,8 +437,7 @@ def test_fold_in_reproduces_a_trained_user(d1):
     again = als.fit_als(d1, k=3, iterations=4)
     # Users of the next sweep are exactly the fold-in against these items.
     store = layout.RatingStore(stats.center_by_user(d1))
-    want = normal.half_sweep(store, "user", 3, normal.ridge(3, 0.1), target=F.col("rating"), regressors=F.col("f"),
-                             fixed=model.items.select("item", "f"))
+    want = normal.half_sweep(store, "user", 3, normal.ridge(3, 0.1), model.items.select("item", F.lit(0.0).alias("v"), "f"))
     a, _ = vectors(rows, "user")
     b = {r["user"]: np.array(r["f"]) for r in want.collect()}
     assert all(np.allclose(a[u], b[u]) for u in b)
