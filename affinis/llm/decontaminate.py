@@ -46,6 +46,8 @@ BLOCK_ITEMS = 50_000
 BLOCK_SHINGLES = 4_000_000
 # Windows fingerprinted at a time in a task.
 GROUP = 4096
+# Shingles of a text whose running sums are kept whole (256 bytes each).
+SUMMED = 1 << 16
 
 _LEAK = pa.schema([
     ("doc_id", pa.int64()), ("item", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())])
@@ -56,12 +58,25 @@ def needed(m: int, other: int | None = None) -> int:
     return int(np.ceil(SIMILARITY / (1 + SIMILARITY) * (m + (m if other is None else other)) - 1e-9))
 
 
-def simhash(windows: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of each row of shingle hashes; repeats weigh as often as they occur."""
-    bits = np.zeros((len(windows), 64), np.int32)
-    for column in windows.T:
-        bits += np.unpackbits(np.ascontiguousarray(column).view(np.uint8).reshape(-1, 8), axis=1)
-    return np.packbits(2 * bits > windows.shape[1], axis=1).view(np.uint64).reshape(-1)
+class Fingerprints:
+    """64-bit SimHashes of windows of a sequence of shingle hashes; repeats weigh as often
+    as they occur. Running sums of the bits make a window one difference."""
+
+    def __init__(self, s: np.ndarray):
+        self.s, self.low, self.sums = s, 0, np.zeros((1, 64), np.int32)
+
+    def of(self, starts: np.ndarray, m: int) -> np.ndarray:
+        """Fingerprints of the windows of ``m`` shingles from ``starts`` on, in ascending order."""
+        first, last = int(starts[0]), int(starts[-1]) + m
+        if first < self.low or last >= self.low + len(self.sums):
+            # The whole sequence at once where it is short, else what these windows span.
+            first, last = (0, len(self.s)) if len(self.s) <= SUMMED else (first, last)
+            bits = np.unpackbits(np.ascontiguousarray(self.s[first:last]).view(np.uint8).reshape(-1, 8), axis=1)
+            self.low, self.sums = first, np.zeros((last - first + 1, 64), np.int32)
+            np.cumsum(bits, axis=0, out=self.sums[1:])
+        at = starts - self.low
+        ones = self.sums[at + m] - self.sums[at]
+        return np.packbits(2 * ones > m, axis=1).view(np.uint64).reshape(-1)
 
 
 def _near_values() -> np.ndarray:
@@ -86,7 +101,7 @@ class Items:
             s = runs(hashes.of(words), min(SHINGLE_WORDS, len(words)))
             self.numbers.append(number)
             self.counts.append(Counter(s.tolist()))
-            prints.append(simhash(s[None, :])[0])
+            prints.append(Fingerprints(s).of(np.zeros(1, np.int64), len(s))[0])
             lengths.append(len(words))
             every.append((min(SHINGLE_WORDS, len(words)), s))
         self.prints = np.array(prints, np.uint64)
@@ -104,30 +119,30 @@ class Items:
 
     def leaks(self, h: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """``item, start, words, similarity`` of every similar window of a document."""
-        shingled: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        shingled: dict[int, tuple[Fingerprints, np.ndarray]] = {}
         for width, known in self.known.items():
             s = runs(h, width)
             at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-            shingled[width] = s, np.r_[0, np.cumsum(known[at] == s)]
+            shingled[width] = Fingerprints(s), np.r_[0, np.cumsum(known[at] == s)]
         for n, table in self.by_length.items():
             width = min(SHINGLE_WORDS, n)
-            s, hits = shingled[width]
-            m = n - width + 1
-            if len(s) < m:
+            prints, hits = shingled[width]
+            m, have = n - width + 1, len(prints.s)
+            if have < m:
                 # All of a shorter document is one window.
-                if len(s) >= SIMILARITY * m and hits[-1] >= needed(len(s), m):
-                    yield from self._verified(s, np.zeros(1, np.int64), len(h), len(s), table, m)
+                if have >= SIMILARITY * m and hits[-1] >= needed(have, m):
+                    yield from self._verified(prints, np.zeros(1, np.int64), len(h), have, table, m)
                 continue
             if hits[-1] < needed(m):
                 continue
             starts = np.flatnonzero(hits[m:] - hits[:-m] >= needed(m))
             for part in np.array_split(starts, len(starts) // GROUP + 1):
                 if len(part):
-                    yield from self._verified(s, part, n, m, table, m)
+                    yield from self._verified(prints, part, n, m, table, m)
 
-    def _verified(self, s, starts, n, m, table, of_item):
+    def _verified(self, windows, starts, n, m, table, of_item):
         """Windows of ``n`` words and ``m`` shingles against items of ``of_item`` shingles."""
-        prints = simhash(s[starts[:, None] + np.arange(m)[None, :]])
+        s, prints, held, window = windows.s, windows.of(starts, m), None, Counter()
         for start, fingerprint, blocks in zip(starts.tolist(), prints, prints.view(np.uint8).reshape(-1, BLOCKS), strict=True):
             listed = [table[k] for k in enumerate(blocks.tolist()) if k in table]
             if not listed:
@@ -136,9 +151,14 @@ class Items:
             apart = np.unpackbits((self.prints[items] ^ fingerprint).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=1)
             items = items[apart <= RADIUS]
             if len(items):
-                window = Counter(s[start : start + m].tolist())
+                if held is not None and start - held < m:  # the window before, moved on
+                    window.subtract(s[held:start].tolist())
+                    window.update(s[held + m : start + m].tolist())
+                else:
+                    window = Counter(s[start : start + m].tolist())
+                held = start
                 for i in items.tolist():
-                    both = sum((window & self.counts[i]).values())
+                    both = sum(min(count, window[h]) for h, count in self.counts[i].items())
                     if both >= SIMILARITY * (m + of_item - both):
                         yield self.numbers[i], start, n, both / (m + of_item - both)
 

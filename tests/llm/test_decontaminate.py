@@ -1,23 +1,7 @@
-from collections import Counter
-
 from affinis.llm import decontaminate
 from tests.conftest import SF
 from tests.llm import cases
-
-
-def similar(text, item):
-    """Best weighted similarity of an item-sized window."""
-    w, b = cases.words(text), cases.words(item)
-    if not b or len(w) < len(b):
-        return 0.0
-    width = min(5, len(b))
-    grams = lambda x: Counter(tuple(x[k : k + width]) for k in range(len(x) - width + 1))
-    want, best = grams(b), 0.0
-    for at in range(len(w) - len(b) + 1):
-        window = grams(w[at : at + len(b)])
-        both = sum((window & want).values())
-        best = max(best, both / (2 * sum(want.values()) - both))
-    return best
+from tests.llm.test_decontaminate_short import similar
 
 
 def test_odd_rows(spark):

@@ -7,6 +7,8 @@ from tests.llm import cases
 def similar(text, item):
     """Best weighted similarity of an item-sized window, or of all of a shorter text."""
     w, b = cases.words(text), cases.words(item)
+    if not w or not b:
+        return 0.0
     width = min(5, len(b))
     grams = lambda x: Counter(tuple(x[k : k + width]) for k in range(len(x) - width + 1))
     want, best = grams(b), 0.0
