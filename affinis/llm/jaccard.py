@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinis.llm.components import components
-from affinis.llm.text import WordHashes, batches, documents, materialise, mixed, pairs_of, shingles, signed, tasks_for, word_hashes, words_of
+from affinis.llm.text import WordHashes, batches, documents, free_name, materialise, mixed, pairs_of, shingles, signed, tasks_for, word_hashes, words_of
 
 PERCENT = 75
 # Shingles held in one task before they are counted and sent on.
@@ -309,7 +309,7 @@ def distances(pairs: DataFrame, texts: DataFrame, tasks: int) -> DataFrame:
     named = pairs.select(*group, F.explode(F.array("a", "b")).alias("sig")).distinct()
     nothing = F.lit(None)
     rows_of = (
-        named.join(texts, "sig").select(*group, F.lit(0).alias("role"), F.col("sig").alias("a"), nothing.cast("long").alias("b"), "text")
+        named.join(texts.hint("merge"), "sig").select(*group, F.lit(0).alias("role"), F.col("sig").alias("a"), nothing.cast("long").alias("b"), "text")
         .unionAll(pairs.select(*group, F.lit(1).alias("role"), "a", "b", nothing.cast("string").alias("text"))))
 
     def rows(parts) -> Iterator[tuple]:
@@ -361,7 +361,7 @@ def links(docs: DataFrame, cells: DataFrame, named: DataFrame) -> DataFrame:
     pivots = cells.groupBy("key").agg(F.min(F.struct("sig", "n")).alias("m")).select("key", F.col("m.sig").alias("p"), F.col("m.n").alias("np"))
     members = materialise(cells.join(pivots, "key").select("p", "np", "sig", "n").distinct().join(sets.drop("doc_id"), "sig"), "members")
     texts = materialise(
-        documents(docs).join(sets.select("sig", "doc_id").join(members.select("sig").distinct(), "sig"), "doc_id")
+        documents(docs).join(sets.select("sig", "doc_id").join(members.select("sig").distinct(), "sig").hint("merge"), "doc_id")
         .select("sig", "text"), "texts")
 
     own = members.where("sig = p").select("p", F.col("sketch").alias("sp"))
@@ -411,14 +411,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of every component, all columns kept.
+    """Of every component the row with the smallest doc_id, all columns kept.
 
-    Rows without doc_id stay; of rows that repeat a doc_id one stays.
+    Rows are compared by their texts alone: two rows of one doc_id are two documents
+    unless their texts link, and rows without doc_id take part and come last in the order.
+    Rows without words link with nothing and all stay.
     """
-    found = materialise(near_duplicates(docs), "near")
-    counts = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("first"))
-    gone = counts.where("doc_id is not null and first != doc_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if counts.where("doc_id is not null and rows > 1").limit(1).count():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionAll(kept.where("doc_id is null"))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    row, order = free_name(docs, "row"), free_name(docs, "order")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    # Rows stand for documents: numbers that follow doc_id (no doc_id last) are not needed, for
+    # the smallest doc_id of a component is looked up afterwards.
+    found = materialise(near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text")), "near").select(
+        F.col("doc_id").alias(row), F.col("component_id").alias(order))
+    first = (
+        numbered.select(row, F.col("doc_id").cast("long").alias("doc_id")).join(found, row)
+        .groupBy(order).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("best")).select(F.col(f"best.{row}").alias(row)))
+    return numbered.join(first, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

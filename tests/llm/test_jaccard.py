@@ -47,10 +47,27 @@ def test_one_of_each(spark):
     docs = cases.documents(spark)
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
-    want = cases.jaccard_components([(i, t) for i, t, *_ in cases.texts()])
-    assert sorted(i for i in ids if i is not None) == sorted({i for i, c in want.items() if i == c})
-    assert ids.count(None) == 2
+    assert_one_of_each(kept, cases.texts())
+
+
+def assert_one_of_each(kept, rows):
+    """One row, of the smallest doc_id, per component of texts; rows without words all stay."""
+    component = cases.jaccard_components([(k, t) for k, (_, t, *_) in enumerate(rows)])
+    best = {}
+    for k, c in component.items():
+        key = (rows[k][0] is None, rows[k][0] or 0)
+        best[c] = min(best.get(c, (key, rows[k][0])), (key, rows[k][0]))
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for _, i in best.values())
+
+
+def test_one_id_for_two_texts(spark):
+    """Two unrelated families that share a doc_id: one row of each stays."""
+    a, b = cases.prose(1, 100), cases.prose(2, 100)
+    rows = [(1, a, "en", "s"), (1, b, "en", "s"), (2, cases.changed(a, 1, 1), "en", "s"), (3, cases.changed(b, 1, 1), "en", "s"),
+            (None, a, "en", "s"), (None, cases.prose(3, 50), "en", "s"), (None, cases.prose(3, 50), "en", "s")]
+    kept = jaccard.one_of_each(cases.documents(spark, rows))
+    assert_one_of_each(kept, rows)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "1", "None"]
 
 
 def test_components_of_a_path(spark):
