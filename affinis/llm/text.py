@@ -9,6 +9,7 @@ from __future__ import annotations
 import sys
 import types
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +17,47 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinis.operators.layout import materialise, scratch_path  # noqa: F401
+from affinis.operators.layout import scratch_path
+from affinis.sources.tables import delete_path
 
 SHINGLE_WORDS = 5
 # Word hashes a task remembers; beyond it the memory starts anew, results stay.
 REMEMBERED = 250_000
 
 
+# Where ``materialise`` notes its tables, if anybody asked for it.
+_noted: list[str] | None = None
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared scratch folder and read it back (see ``layout.materialise``)."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    if _noted is not None:
+        _noted.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def tables_written() -> Iterator[list[str]]:
+    """The tables that ``materialise`` writes inside the block."""
+    global _noted
+    before, _noted = _noted, []
+    try:
+        yield _noted
+    finally:
+        _noted = before
+
+
+def drop_tables(spark, tables: list[str], but: DataFrame) -> list[str]:
+    """Delete ``tables``, all but those that ``but`` reads from; returns these."""
+    used = but.inputFiles()
+    keep = [t for t in tables if any(f"{t.split(':', 1)[-1].rstrip('/')}/" in file for file in used)]
+    for path in set(tables) - set(keep):
+        delete_path(spark, path)
+    return keep
+
+
 def kept(name: str, make):
     """A value that a Python worker keeps from task to task, made by the first that asks.
 
