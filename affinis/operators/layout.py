@@ -10,7 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +30,12 @@ ARROW_BATCH_BYTES = 256 << 20
 ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+# Ratings in one packed row of a stored layout.
+PACKED_ROWS = 250_000
+
 _local_scratch: str | None = None
+# number of parts -> their names (see RatingStore.part_names)
+_part_names: dict[int, list[int]] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -145,9 +150,11 @@ class RatingStore:
         self.rows_per_slot = rows_per_slot
         self.tasks = task_count(self.spark, self.n_ratings)
         self._laid: dict[str, DataFrame] = {}
+        self._stored: dict[str, DataFrame] = {}
+        self._dealt: dict[str, DataFrame] = {}
+        self._broadcast: list[Broadcast] = []
         self._hot: dict[str, bool] = {}
         self._routes: dict[tuple[str, str], DataFrame] = {}
-        self._names: list[int] | None = None
 
     def max_rows(self, key: str) -> int:
         """Upper bound on distinct ids of ``key`` (ids are not negative)."""
@@ -160,17 +167,19 @@ class RatingStore:
     def part_names(self) -> list[int]:
         """A number for every part that Spark's hash deals to a partition of its own, so
         that no partition gets two parts and none stays empty."""
-        names: dict[int, int] = {}
-        low, step = 0, 20 * self.tasks
-        while len(names) < self.tasks:
-            dealt = F.pmod(F.hash(F.col("id").cast("int")), F.lit(self.tasks)).alias("part")
-            for r in self.spark.range(low, low + step).groupBy(dealt).agg(F.min("id").alias("id")).collect():
-                names.setdefault(r["part"], r["id"])
-            low += step
-        return [names[p] for p in range(self.tasks)]
+        if self.tasks not in _part_names:
+            names: dict[int, int] = {}
+            low, step = 0, 20 * self.tasks
+            while len(names) < self.tasks:
+                dealt = F.pmod(F.hash(F.col("id").cast("int")), F.lit(self.tasks)).alias("part")
+                for r in self.spark.range(low, low + step, 1, 1).groupBy(dealt).agg(F.min("id").alias("id")).collect():
+                    names.setdefault(r["part"], r["id"])
+                low += step
+            _part_names[self.tasks] = [names[p] for p in range(self.tasks)]
+        return _part_names[self.tasks]
 
     def by(self, key: str) -> DataFrame:
-        """``user, item, rating, part, hot`` (and further columns), stored."""
+        """``user, item, rating, part, slot, hot``, dealt to parts and sorted there."""
         if key in self._laid:
             return self._laid[key]
         other = self.KEYS[key]
@@ -189,73 +198,156 @@ class RatingStore:
                 slot = F.coalesce(F.pmod(F.xxhash64(other), F.col("slots")), F.lit(0)).cast("int")
                 rows = self.df.join(F.broadcast(hot), key, "left").withColumns(
                     {"slot": slot, "hot": F.col("slots").isNotNull()}).drop("slots")
-        if self._names is None:
-            self._names = self.part_names()
-        part = F.get(F.array(*[F.lit(n) for n in self._names]), F.pmod(F.xxhash64(key, "slot"), F.lit(self.tasks)).cast("int"))
+        part = F.get(F.array(*[F.lit(n) for n in self.part_names()]), F.pmod(F.xxhash64(key, "slot"), F.lit(self.tasks)).cast("int"))
         laid = (
             rows.withColumn("part", part.cast("int")).repartition(self.tasks, "part")
-            .sortWithinPartitions("part", key, "slot").persist(StorageLevel.MEMORY_AND_DISK)
+            .sortWithinPartitions("part", key, "slot")
         )
         self._laid[key] = laid
         return laid
 
+    def stored(self, key: str) -> DataFrame:
+        """``by(key)`` in rows of up to ``PACKED_ROWS`` ratings: a part and arrays as bytes."""
+        if key not in self._stored:
+            names = [key, self.KEYS[key], "rating", "hot"]
+            rows = self.by(key).select(
+                "part", F.col(names[0]).cast("bigint"), F.col(names[1]).cast("bigint"), F.col("rating").cast("double"), F.col("hot").cast("byte"))
+
+            def pack(batches):
+                held, part, n = [], None, 0
+                for b in batches:
+                    parts = b.column("part").to_numpy()
+                    edges = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1], True]) if len(parts) else []
+                    for lo, hi in zip(edges[:-1], edges[1:]):
+                        if n and (parts[lo] != part or n >= PACKED_ROWS):
+                            yield _packed_row(part, held)
+                            held, n = [], 0
+                        held.append([b.column(c).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for c in names])
+                        part, n = parts[lo], n + hi - lo
+                if n:
+                    yield _packed_row(part, held)
+
+            arrow_rows(self.spark, 40)
+            self._stored[key] = rows.mapInArrow(pack, "part int, key binary, other binary, rating binary, hot binary").persist(StorageLevel.MEMORY_AND_DISK)
+        return self._stored[key]
+
+    def dealt(self, key: str) -> DataFrame:
+        """The stored rows with a partitioning that the optimizer knows, for co-grouping."""
+        if key not in self._dealt:
+            self._dealt[key] = self.stored(key).repartition(self.tasks, "part").persist(StorageLevel.MEMORY_AND_DISK)
+        return self._dealt[key]
+
     def routes(self, key: str, of: str) -> DataFrame:
-        """``of, part``: the parts of ``by(key)`` in which an id of ``of`` occurs."""
+        """``of, parts``: the parts of ``by(key)`` in which an id of ``of`` occurs."""
         if (key, of) not in self._routes:
-            found = materialise(self.by(key).select(F.col(of).alias(of), "part").distinct(), f"routes-{key}-{of}")
-            self._routes[key, of] = found.repartition(self.tasks, of).persist(StorageLevel.MEMORY_AND_DISK)
+            self._routes[key, of] = (
+                self.by(key).groupBy(of).agg(F.collect_set("part").alias("parts")).persist(StorageLevel.MEMORY_AND_DISK))
         return self._routes[key, of]
 
     def ids(self, key: str) -> DataFrame:
-        return self.routes(self.KEYS[key], key).select(key).distinct()
-
-    def _sent(self, key: str, of: str, table: DataFrame, width: int) -> DataFrame:
-        """``part`` and the columns of ``table``, a row for every part that needs it.
-
-        A table proved small is broadcast to the routes; a larger one is shuffled to
-        them, whose partitioning is already that of the join.
-        """
-        small = fits_broadcast(self.max_rows(of), 8 * (width + 4))
-        return self.routes(key, of).join(F.broadcast(table) if small else table, of)
+        return self.df.select(key).distinct()
+
+    def sent(self, key: str, of: str, table: DataFrame, width: int, side: int = 0) -> DataFrame:
+        """The rows ``of, v, f`` of ``table``, each packed once for every part that needs it.
+        They are shuffled to the routes, whose partitioning is already that of the join."""
+        rows = self.routes(key, of).join(table, of).select(
+            F.col(of).cast("bigint").alias("id"), F.col("v").cast("double").alias("v"), "f", "parts")
+
+        def pack(batches):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                parts = b.column("parts")
+                to = parts.flatten().to_numpy()
+                row = np.repeat(np.arange(b.num_rows), parts.value_lengths().to_numpy())
+                order = np.argsort(to, kind="stable")
+                edges = np.flatnonzero(np.r_[True, np.diff(to[order]) != 0, True])
+                ids, v = b.column("id").to_numpy(), b.column("v").to_numpy(zero_copy_only=False)
+                f = b.column("f").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                picked = [row[order[lo:hi]] for lo, hi in zip(edges[:-1], edges[1:])]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(to[order[edges[:-1]]], pa.int32()), pa.array(np.full(len(picked), side, np.int32)),
+                    *[pa.array([c[p].tobytes() for p in picked], pa.binary()) for c in (ids, v, f)]],
+                    names=["part", "side", "id", "v", "f"])
+
+        arrow_rows(self.spark, 8 * (width + 8))
+        return rows.mapInArrow(pack, "part int, side int, id binary, v binary, f binary")
+
+    def broadcast_rows(self, of: str, table: DataFrame) -> Broadcast:
+        """All rows ``of, v, f`` of a table proved small, packed. Only the last few of an
+        iteration stay with the executors; an older one is fetched again if it is asked for."""
+        got = table.select(F.col(of).cast("bigint").alias("id"), F.col("v").cast("double").alias("v"), "f").toArrow()
+        f = got.column("f").combine_chunks().flatten()
+        columns = [got.column("id").to_numpy(), got.column("v").to_numpy(), f.to_numpy(zero_copy_only=False)]
+        self._broadcast.append(self.spark.sparkContext.broadcast(tuple(c.tobytes() for c in columns)))
+        if len(self._broadcast) > 8:
+            self._broadcast.pop(0).unpersist()
+        return self._broadcast[-1]
 
     def meet(self, key: str, fixed: DataFrame, width: int, task, schema: str, own: DataFrame | None = None, own_width: int = 0) -> DataFrame:
         """``task(Met)`` for every stored part of ``by(key)``; its tables are the result.
 
         ``fixed`` has the other side's rows ``other, v, f`` (a number and an array), ``own``
         such rows of the key itself. A part holds a bounded number of ratings
-        (``task_count``) and the rows of the ids in it.
+        (``task_count``) and the rows of the ids in it. Tables proved small (row bound x
+        width under ``BROADCAST_BYTES``) go to all executors, and nothing is shuffled;
+        others take their routes.
         """
         other = self.KEYS[key]
-        columns = lambda df, side, ident: df.select(
-            "part", F.lit(side).alias("side"), F.col(ident).cast("bigint").alias("id"), F.col("v").cast("double").alias("v"), "f")
-        sent = columns(self._sent(key, other, fixed, width), 0, other)
+        small = fits_broadcast(self.max_rows(other), 8 * (width + 4)) and (
+            own is None or fits_broadcast(self.max_rows(key), 8 * (own_width + 4)))
+        if small:
+            theirs = self.broadcast_rows(other, fixed)
+            mine = None if own is None else self.broadcast_rows(key, own)
+
+            def whole(batches):
+                left = [r for b in batches for r in b.to_pylist()]
+                met = Met(left, [theirs.value], [mine.value] if mine else [], width, own_width)
+                yield from task(met).to_batches()
+
+            return self.stored(key).mapInArrow(whole, schema)
+        sent = self.sent(key, other, fixed, width)
         if own is not None:
-            sent = sent.unionAll(columns(self._sent(key, key, own, own_width), 1, key))
-        rows = self.by(key).select("part", F.col(key).cast("bigint").alias("key"), F.col(other).cast("bigint").alias("other"), F.col("rating").cast("double").alias("rating"), "hot")
-        return rows.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(
-            lambda left, right: task(Met(left, right, width, own_width)), schema)
+            sent = sent.unionAll(self.sent(key, key, own, own_width, 1))
+
+        def grouped(left, right):
+            sides: list[list[tuple]] = [[], []]
+            for row in right.to_pylist():
+                sides[row["side"]].append((row["id"], row["v"], row["f"]))
+            return task(Met(left.to_pylist(), *sides, width, own_width))
+
+        return self.dealt(key).groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(grouped, schema)
 
     def attach(self, key: str, table: DataFrame, width: int) -> DataFrame:
         """Ratings with the other side's row attached, for aggregates that combine map-side."""
         other = self.KEYS[key]
         small = fits_broadcast(self.max_rows(other), 8 * (width + 4))
-        return self.by(key).join(F.broadcast(table) if small else table, other)
+        return self.df.join(F.broadcast(table) if small else table, other)
 
     def release(self) -> None:
-        for df in [self.df, *self._laid.values(), *self._routes.values()]:
-            df.unpersist()
+        for held in [self.df, *self._stored.values(), *self._dealt.values(), *self._routes.values(), *self._broadcast]:
+            held.unpersist()
+
+
+def _packed_row(part: int, held: list) -> pa.RecordBatch:
+    columns = [np.concatenate(c).tobytes() for c in zip(*held)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([part], pa.int32()), *[pa.array([c], pa.binary()) for c in columns]], names=["part", "key", "other", "rating", "hot"])
+
+
+def _unpacked(values: list[bytes], dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(values), dtype)
 
 
 class Rows:
     """Rows ``id, v, f`` of one side, found by id."""
 
-    def __init__(self, table: pa.Table, width: int):
-        ids = table.column("id").to_numpy()
+    def __init__(self, packed: list[tuple[bytes, bytes, bytes]], width: int):
+        ids, v, f = ([row[k] for row in packed] for k in range(3))
+        ids = _unpacked(ids, np.int64)
         order = np.argsort(ids, kind="stable")
-        self.ids = ids[order]
-        self.v = table.column("v").to_numpy()[order]
-        f = table.column("f").combine_chunks()
-        self.f = np.zeros((len(ids), 0)) if f.null_count == len(f) else f.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), width)[order]
+        self.ids, self.v = ids[order], _unpacked(v, np.float64)[order]
+        self.f = _unpacked(f, np.float64).reshape(len(ids), width)[order]
 
     def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of ``ids``, and which of them are here."""
@@ -269,15 +361,12 @@ class Met:
     Ratings of which the other side has no row are left out.
     """
 
-    def __init__(self, left: pa.Table, right: pa.Table, width: int, own_width: int):
-        side = right.column("side").to_numpy()
-        self.fixed = Rows(right.filter(pa.array(side == 0)), width)
-        self.own = Rows(right.filter(pa.array(side == 1)), own_width)
-        at, here = self.fixed.find(left.column("other").to_numpy())
-        self.at = at[here]
-        self.key = left.column("key").to_numpy()[here]
-        self.rating = left.column("rating").to_numpy()[here]
-        self.hot = left.column("hot").to_numpy(zero_copy_only=False)[here]
-        if len(self.key) and (self.key[1:] < self.key[:-1]).any():
+    def __init__(self, left: list[dict], fixed: list[tuple], own: list[tuple], width: int, own_width: int):
+        self.fixed, self.own = Rows(fixed, width), Rows(own, own_width)
+        stored = lambda name, dtype: _unpacked([r[name] for r in left], dtype)
+        at, here = self.fixed.find(stored("other", np.int64))
+        self.at, self.key = at[here], stored("key", np.int64)[here]
+        self.rating, self.hot = stored("rating", np.float64)[here], stored("hot", np.int8)[here] != 0
+        if len(self.key) and (self.key[1:] < self.key[:-1]).any():  # packed rows came in another order
             order = np.argsort(self.key, kind="stable")
             self.at, self.key, self.rating, self.hot = (c[order] for c in (self.at, self.key, self.rating, self.hot))

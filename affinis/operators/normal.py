@@ -243,7 +243,7 @@ def half_sweep(
     """
     split, has_prior = store.is_split(key), prior is not None
     if has_prior:
-        own, own_width = prior.select(key, F.col("bias").alias("v"), F.lit(None).cast("array<double>").alias("f")), 0
+        own, own_width = prior.select(key, F.col("bias").alias("v"), F.array().cast("array<double>").alias("f")), 0
 
     def task(met: Met) -> pa.Table:
         out = []
