@@ -5,15 +5,18 @@ mark. Counting is a Spark job over all training texts: tasks count what they hol
 sorted arrays per hash bucket, and merge them there. With c the bigram counts and N1 the
 number of different words before w,
 
-    p(w | v)  = [c(vw) >= MIN_COUNT] (c(vw) - D(c)) / c(v) + g(v) p1(w)
+    p(w | v)  = (c(vw) - D(c)) / c(v) + g(v) p1(w)
     p1(w)     = (N1(w) - D'(N1)) / (number of bigrams) + g' / (V + 1)
 
 where D and D' are the modified discounts from the counts of counts, and g(v), g' give
 what was taken away to the lower order, so both sum to one over the V training tokens
-and one unknown. ``MIN_COUNT`` is 1: every bigram of the training texts is in the model.
+and one unknown. Every bigram of the training texts is in the model.
 
-The model is two sorted hash arrays, bigrams and words. Spark writes them in key order
-to the shared scratch folder; every executor lays them out once as flat files beside its
+The model is two sorted hash arrays, bigrams and words. A bigram's key begins with a hash
+of its second word (of a frequent one, of a part of its contexts) and the bigrams are
+dealt to tasks by ranges of it, so that what a task merges already is a piece of the
+sorted array, about six bytes a bigram, and all bigrams of a word but a frequent one are
+counted in one place. Every executor lays the pieces out once as flat files beside its
 own work, and its workers map those files into memory and look keys up by binary search.
 Nothing of the model passes through the driver but its size and a dozen sums.
 
@@ -32,10 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.mapped import MappedTable, places, publish
+from affinis.llm.mapped import MappedCounts, MappedTable, places, publish, publish_counts
 from affinis.llm.text import documents, materialise, mixed, pairs_of, signed, tasks_for, word_hashes, words_of
 
-MIN_COUNT = 1
 # A word with this share of all tokens is dealt over SALT buckets, as next word of a bigram.
 HOT_SHARE = 1 / 2000
 SALT = 16
@@ -45,8 +47,16 @@ GROUP = 250_000
 
 _UNI = pa.schema([("w", pa.int64()), ("c", pa.int64())])
 _PACKED = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("runs", pa.binary()), ("before", pa.binary()), ("counts", pa.binary())])
-_MERGED = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("d", pa.int64())])
-BIGRAM, CONTINUATION, CONTEXT, COUNTS = range(4)
+_PIECE = ["low", "high", "count", "sizes", "wide_at", "wide"]
+_MERGED = pa.schema([
+    ("kind", pa.int32()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("piece", pa.int32()),
+    *[(c, pa.binary()) for c in _PIECE]])
+_MERGED_DDL = "kind int, key long, a long, b long, c long, piece int, " + ", ".join(f"{c} binary" for c in _PIECE)
+# Rows of the merged table: a piece of the bigrams (key: its first leading bits, a: how many), different words before a
+# word, bigrams of a context seen once, twice and more often, and counts of counts.
+BIGRAMS, CONTINUATION, CONTEXT, COUNTS = range(4)
+# Bits of a key that count its remainder, and leading bits at least and at most.
+REST_BITS, LEAST_BITS, MOST_BITS = 40, 4, 26
 
 
 def _marks() -> tuple[int, int]:
@@ -89,9 +99,22 @@ def short(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(16)
 
 
-def bigram_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return signed(mixed(word * np.uint64(0x9E3779B97F4A7C15) + before))
+class Keys:
+    """Keys of bigrams: ``bits`` leading bits and a remainder. ``hot`` words, sorted, are spread."""
+
+    def __init__(self, hot: np.ndarray, bits: int):
+        self.hot, self.bits = np.sort(hot), bits
+
+    def of(self, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lead = mixed(word)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, word), len(self.hot) - 1)
+            spread = self.hot[at] == word
+            with np.errstate(over="ignore"):
+                lead[spread] = mixed(word[spread] + mixed(before[spread]) % np.uint64(SALT))
+        with np.errstate(over="ignore"):
+            rest = mixed(word * np.uint64(0x9E3779B97F4A7C15) + before) & np.uint64((1 << REST_BITS) - 1)
+        return lead >> np.uint64(64 - self.bits), rest
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -105,14 +128,11 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(rows, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def bigram_counts(train: DataFrame, hot: np.ndarray, tasks: int) -> DataFrame:
-    """Rows of four kinds: bigrams at ``MIN_COUNT`` and above, continuations of each word,
-    sums of each context over its stored bigrams, and counts of counts."""
-    buckets = 4 * tasks
-    shared = train.sparkSession.sparkContext.broadcast(np.sort(hot))
+def bigram_counts(train: DataFrame, keys: Keys, buckets: int, tasks: int) -> DataFrame:
+    """Rows of four kinds, see ``BIGRAMS``. ``buckets``, a power of two, cut the leading bits."""
+    shared, shift = train.sparkSession.sparkContext.broadcast(keys), keys.bits - (buckets.bit_length() - 1)
 
     def packed(parts) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
         for _, tokens, starts in _token_arrays(parts, CHUNK):
             before = short(_contexts(tokens, starts))
             order = np.lexsort((before, tokens))
@@ -120,34 +140,26 @@ def bigram_counts(train: DataFrame, hot: np.ndarray, tasks: int) -> DataFrame:
             first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (v[1:] != v[:-1])])
             counts = np.diff(np.r_[first, len(w)])
             w, v = w[first], v[first]
-            bucket = mixed(w) % np.uint64(buckets)
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, w), len(hot) - 1)
-                salted = hot[at] == w
-                bucket[salted] = mixed(w[salted] + mixed(v[salted]) % np.uint64(SALT)) % np.uint64(buckets)
+            bucket = shared.value.of(v, w)[0] >> np.uint64(shift)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(1, buckets, dtype=np.uint64))
             out = []
             for b, at in enumerate(np.split(order, cuts)):
                 if len(at):
                     words, runs = np.unique(w[at], return_counts=True)
-                    wide = counts[at].max() > 65535
+                    kind = np.uint8 if (most := counts[at].max()) < 256 else np.uint16 if most < 65536 else np.uint32
                     out.append((b, words.tobytes(), runs.astype(np.uint32).tobytes(),
-                                np.ascontiguousarray(v[at].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(),
-                                counts[at].astype(np.uint32 if wide else np.uint16).tobytes()))
+                                np.ascontiguousarray(v[at].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), counts[at].astype(kind).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PACKED, strict=True)], schema=_PACKED)
 
-    def merged(parts) -> Iterator[pa.RecordBatch]:
+    def merged(b: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         w, v, c = [], [], []
-        for batch in parts:
-            for words, runs, before, counts in pairs_of(batch, "words", "runs", "before", "counts"):
-                w.append(np.repeat(np.frombuffer(words, np.uint64), np.frombuffer(runs, np.uint32)))
-                wide = np.zeros((len(before) // 6, 8), np.uint8)
-                wide[:, :6] = np.frombuffer(before, np.uint8).reshape(-1, 6)
-                v.append(wide.reshape(-1).view(np.uint64))
-                c.append(np.frombuffer(counts, np.uint16 if len(counts) == 2 * len(wide) else np.uint32).astype(np.int64))
-        if not w:
-            return
+        for words, runs, before, counts in rows:
+            w.append(np.repeat(np.frombuffer(words, np.uint64), np.frombuffer(runs, np.uint32)))
+            wide = np.zeros((len(before) // 6, 8), np.uint8)
+            wide[:, :6] = np.frombuffer(before, np.uint8).reshape(-1, 6)
+            v.append(wide.reshape(-1).view(np.uint64))
+            c.append(np.frombuffer(counts, f"u{len(counts) // len(wide)}").astype(np.int64))
         w, v, c = np.concatenate(w), np.concatenate(v), np.concatenate(c)
         order = np.lexsort((v, w))
         w, v, c = w[order], v[order], c[order]
@@ -156,24 +168,38 @@ def bigram_counts(train: DataFrame, hot: np.ndarray, tasks: int) -> DataFrame:
         words, types = np.unique(w, return_counts=True)
         yield from _rows(CONTINUATION, signed(words), types)
         yield from _rows(COUNTS, np.arange(1, 5), np.array([(c == k).sum() for k in range(1, 5)]))
-        kept = c >= MIN_COUNT
-        yield from _rows(BIGRAM, bigram_key(v[kept], w[kept]), c[kept])
-        contexts, at = np.unique(v[kept], return_inverse=True)
-        sums = [np.bincount(at, weights=x, minlength=len(contexts)).astype(np.int64) for x in (
-            c[kept] == 1, c[kept] == 2, c[kept] > 2, c[kept])]
+        contexts, at = np.unique(v, return_inverse=True)
+        sums = [np.bincount(at, weights=x, minlength=len(contexts)).astype(np.int64) for x in (c == 1, c == 2, c > 2)]
         yield from _rows(CONTEXT, contexts.view(np.int64), *sums)
+        top, rest = shared.value.of(v, w)
+        order = np.lexsort((rest, top))
+        piece = MappedCounts.packed(top[order], rest[order], c[order], b << shift, 1 << shift)
+        plain = [BIGRAMS, b << shift, len(c), None, None, b]
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip([*plain, *piece], _MERGED, strict=True)], schema=_MERGED)
+
+    def by_bucket(parts) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in parts:
+            for bucket, *row in pairs_of(batch, "bucket", "words", "runs", "before", "counts"):
+                if bucket != now:
+                    if held:
+                        yield from merged(now, held)
+                    now, held = bucket, []
+                held.append(row)
+        if held:
+            yield from merged(now, held)
 
     return (
         train.mapInArrow(packed, "bucket int, words binary, runs binary, before binary, counts binary")
-        .repartition(tasks, "bucket").mapInArrow(merged, "kind int, key long, a long, b long, c long, d long"))
+        .repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(by_bucket, _MERGED_DDL))
 
 
 def _rows(kind: int, key: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    zero = np.zeros(len(key), np.int64)
-    columns = [key, *values, *[zero] * (4 - len(values))]
     for at in range(0, len(key), 100_000):
-        part = [pa.array(x[at : at + 100_000].astype(np.int64)) for x in columns]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *part], schema=_MERGED)
+        part = [pa.array(x[at : at + 100_000].astype(np.int64)) for x in (key, *values)]
+        m = len(part[0])
+        rest = [pa.nulls(m, f.type) for f in list(_MERGED)[1 + len(part) :]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), *part, *rest], schema=_MERGED)
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -189,8 +215,8 @@ def discounts(n: list[int]) -> list[float]:
 class Model:
     """What tasks need to find and read the model."""
 
-    def __init__(self, words: MappedTable, bigrams: MappedTable, numbers: dict):
-        self.words, self.bigrams, self.numbers = words, bigrams, numbers
+    def __init__(self, words: MappedTable, bigrams: MappedCounts, keys: Keys, numbers: dict):
+        self.words, self.bigrams, self.keys, self.numbers = words, bigrams, keys, numbers
 
 
 def fit(train: DataFrame, mounted: bool | None = None) -> Model:
@@ -204,12 +230,15 @@ def fit(train: DataFrame, mounted: bool | None = None) -> Model:
     n, v = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     # At most 1 / HOT_SHARE words can have that share.
     hot = uni.where(F.col("c") > max(1000, n * HOT_SHARE)).select("w").toArrow()["w"].to_numpy().view(np.uint64)
-    merged = materialise(bigram_counts(train, hot, tasks), "bigrams")
+    # A power of two of buckets, several to a task; leading bits for a few bigrams each.
+    buckets = 1 << (4 * tasks - 1).bit_length()
+    keys = Keys(hot, min(max(int(n).bit_length() - 4, LEAST_BITS, buckets.bit_length() - 1), MOST_BITS))
+    merged = materialise(bigram_counts(train, keys, buckets, tasks), "bigrams")
     totals = {(r["kind"], r["k"]): r["a"] for r in merged.groupBy("kind", F.when(F.col("kind") == COUNTS, F.col("key")).alias("k")).agg(F.sum("a").alias("a")).collect()}
     d = discounts([totals.get((COUNTS, k), 0) for k in range(1, 5)])
     n1 = merged.where(F.col("kind") == CONTINUATION).groupBy("key").agg(F.sum("a").alias("n1"))
     context = merged.where(F.col("kind") == CONTEXT).groupBy("key").agg(
-        F.sum(F.col("d") - F.col("a") * d[0] - F.col("b") * d[1] - F.col("c") * d[2]).alias("s"))
+        F.sum(F.col("a") * d[0] + F.col("b") * d[1] + F.col("c") * d[2]).alias("taken"))
     start = signed(np.array([_marks()[0]], np.uint64))[0]
     texts = train.count()
     # The start mark is a context too: it comes before every text's first token.
@@ -217,17 +246,17 @@ def fit(train: DataFrame, mounted: bool | None = None) -> Model:
     words = materialise(
         known.join(n1.withColumnRenamed("key", "w"), "w", "left")
         .withColumn("v", F.shiftrightunsigned("w", 16)).join(context.withColumnRenamed("key", "v"), "v", "left")
-        .select(F.col("w").alias("key"), "c", F.coalesce("n1", F.lit(0)).cast("int").alias("n1"), F.coalesce("s", F.lit(0.0)).alias("s")), "words")
+        .select(F.col("w").alias("key"), "c", F.coalesce("n1", F.lit(0)).cast("int").alias("n1"), F.coalesce("taken", F.lit(0.0)).alias("taken")), "words")
     of = words.agg(*[F.count(F.when(F.col("n1") == k, 1)).alias(f"n{k}") for k in range(1, 5)], F.count(F.when(F.col("n1") > 2, 1)).alias("more")).first()
     d1 = discounts([of[f"n{k}"] for k in range(1, 5)])
     types = totals.get((CONTINUATION, None), 0)
     taken = of["n1"] * d1[0] + of["n2"] * d1[1] + of["more"] * d1[2]
-    bigrams = merged.where(F.col("kind") == BIGRAM).select("key", F.col("a").cast("int").alias("c"))
+    pieces = {r["piece"]: (r["key"], r["a"]) for r in merged.where(F.col("kind") == BIGRAMS).select("piece", "key", "a").collect()}
     numbers = {
         "tokens": int(n), "types": int(v), "texts": texts, "d": d, "d1": d1, "pairs": int(types), "g1": taken / types if types else 1.0}
     return Model(
-        publish(words, v + 1, {"key": np.int64, "c": np.int64, "n1": np.int32, "s": np.float64}, "words-mapped", mounted),
-        publish(bigrams, bigrams.count(), {"key": np.int64, "c": np.int32}, "bigrams-mapped", mounted), numbers)
+        publish(words, v + 1, {"key": np.int64, "c": np.int64, "n1": np.int32, "taken": np.float64}, "words-mapped", mounted),
+        publish_counts(merged, keys.bits, pieces, mounted), keys, numbers)
 
 
 def _discount(c: np.ndarray, d: list[float]) -> np.ndarray:
@@ -245,18 +274,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             every, inverse = np.unique(signed(np.concatenate([tokens, before])), return_inverse=True)
             at, there = places(words["key"], every)
             pick = lambda c: np.where(there, words[c][at], 0)  # noqa: B023, E731
-            c, n1, s = pick("c"), pick("n1").astype(float), pick("s")
+            c, n1, taken = pick("c"), pick("n1").astype(float), pick("taken")
             is_start = every == signed(np.array([_marks()[0]], np.uint64))[0]
             followed = np.where(is_start, m["texts"], c).astype(float)
             lower = (n1 - _discount(n1, m["d1"])) / max(m["pairs"], 1) + m["g1"] / (m["types"] + 1)
             base = np.log10((c + 0.5) / (m["tokens"] + 0.5 * (m["types"] + 1)))
-            back = np.where(followed > 0, 1 - s / np.maximum(followed, 1), 1.0)
+            back = np.where(followed > 0, taken / np.maximum(followed, 1), 1.0)
             w, v = inverse[: len(tokens)], inverse[len(tokens) :]
-            key = bigram_key(short(before), tokens)
-            order = np.argsort(key)
-            place, hit = places(bigrams["key"], key[order])
+            top, rest = model.keys.of(short(before), tokens)
+            order = np.lexsort((rest, top))
             pair = np.zeros(len(tokens))
-            pair[order] = np.where(hit, bigrams["c"][place] if len(bigrams["c"]) else 0, 0)
+            pair[order] = MappedCounts.find(bigrams, top[order], rest[order])
             p = np.maximum(pair - _discount(pair, m["d"]), 0) / np.maximum(followed[v], 1) + back[v] * lower[w]
             total = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([

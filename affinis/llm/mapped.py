@@ -31,13 +31,7 @@ class MappedTable:
 
     def arrays(self) -> dict[str, np.ndarray]:
         """Columns by name; a ``BYTES`` column ``c`` comes as ``c`` (all bytes) and ``c_at`` (offsets)."""
-        base = os.path.join(SparkFiles.getRootDirectory(), self.name)
-        with open(base + ".lock", "w") as lock:
-            fcntl.flock(lock, fcntl.LOCK_EX)
-            if not os.path.exists(base + ".done"):
-                self._lay_out(base)
-                open(base + ".done", "w").close()
-        out = {}
+        base, out = self._laid_out(), {}
         for c, kind in self.columns.items():
             if kind == BYTES:
                 out[c + "_at"] = np.load(f"{base}-{c}_at.npy", mmap_mode="r")
@@ -46,6 +40,15 @@ class MappedTable:
                 out[c] = np.load(f"{base}-{c}.npy", mmap_mode="r") if self.rows else np.zeros(0, kind)
         return out
 
+    def _laid_out(self) -> str:
+        base = os.path.join(SparkFiles.getRootDirectory(), self.name)
+        with open(base + ".lock", "w") as lock:
+            fcntl.flock(lock, fcntl.LOCK_EX)
+            if not os.path.exists(base + ".done"):
+                self._lay_out(base)
+                open(base + ".done", "w").close()
+        return base
+
     @staticmethod
     def _mapped(path: str) -> np.ndarray:
         return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
@@ -78,6 +81,95 @@ class MappedTable:
         return unquote(urlparse(path).path) if self.mounted else SparkFiles.get(os.path.basename(path))
 
 
+class MappedCounts(MappedTable):
+    """Counts under keys of ``bits`` leading bits and a 40-bit remainder, in key order.
+
+    It is made of pieces, rows of bytes that each cover a range of leading bits: the
+    remainders (32 and 8 bits), counts of one byte, how many keys share each value of the
+    leading bits, and the counts that don't fit a byte with their places. The leading bits
+    themselves aren't stored; offsets per value stand for them.
+    """
+
+    WIDE = 255
+    FIELDS = {"low": np.uint32, "high": np.uint8, "count": np.uint8}
+
+    def __init__(self, name: str, paths: list[str], bits: int, pieces: dict[int, tuple[int, int]], mounted: bool):
+        rows = sum(n for _, n in pieces.values())
+        super().__init__(name, paths, rows, {}, mounted)
+        self.bits, self.pieces = bits, pieces  # piece -> (first value of its leading bits, keys)
+
+    @classmethod
+    def packed(cls, top: np.ndarray, rest: np.ndarray, count: np.ndarray, first: int, values: int) -> tuple[bytes, ...]:
+        """A piece of keys in order whose leading bits are ``first`` .. ``first + values - 1``."""
+        wide = np.flatnonzero(count >= cls.WIDE)
+        return tuple(x.tobytes() for x in (
+            (rest & np.uint64(0xFFFFFFFF)).astype(np.uint32), (rest >> np.uint64(32)).astype(np.uint8), np.minimum(count, cls.WIDE).astype(np.uint8),
+            np.bincount((top - np.uint64(first)).astype(np.int64), minlength=values).astype(np.uint32), wide.astype(np.int64), count[wide].astype(np.int64)))
+
+    def _lay_out(self, base: str) -> None:
+        create = lambda c, kind, n: np.lib.format.open_memmap(f"{base}-{c}.npy", "w+", kind, (n,))
+        out = {c: create(c, kind, max(self.rows, 1)) for c, kind in self.FIELDS.items()}
+        sizes = np.zeros((1 << self.bits) + 1, np.int64)
+        starts, at = {}, 0
+        for piece in sorted(self.pieces):
+            starts[piece] = at
+            at += self.pieces[piece][1]
+        wide, seen = [], 0
+        for path in self.paths:
+            with pq.ParquetFile(self._local(path)) as file:
+                for batch in file.iter_batches(4, columns=["piece", *self.FIELDS, "sizes", "wide_at", "wide"]):
+                    for row in batch.to_pylist():
+                        if row["low"] is None:
+                            continue
+                        first, n = self.pieces[row["piece"]]
+                        for c, kind in self.FIELDS.items():
+                            out[c][starts[row["piece"]] : starts[row["piece"]] + n] = np.frombuffer(row[c], kind)
+                        per_value = np.frombuffer(row["sizes"], np.uint32)
+                        sizes[first + 1 : first + 1 + len(per_value)] = per_value
+                        wide.append((starts[row["piece"]] + np.frombuffer(row["wide_at"], np.int64), np.frombuffer(row["wide"], np.int64)))
+                        seen += n
+        if seen != self.rows:
+            raise OSError(f"{self.name}: {seen} keys of {self.rows}")
+        np.save(f"{base}-offsets.npy", np.cumsum(sizes).astype(np.uint32 if self.rows < 1 << 32 else np.int64))
+        place, value = (np.concatenate([w[k] for w in wide]) if wide else np.zeros(0, np.int64) for k in range(2))
+        order = np.argsort(place)
+        np.save(f"{base}-wide.npy", np.stack([place[order], value[order]]))
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        base = self._laid_out()
+        return {c: np.load(f"{base}-{c}.npy", mmap_mode="r") for c in (*self.FIELDS, "offsets", "wide")}
+
+    @staticmethod
+    def find(arrays: dict[str, np.ndarray], top: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Counts of the keys, 0 where a key isn't there, by binary search inside the leading bits."""
+        low, end = arrays["offsets"][top].astype(np.int64), arrays["offsets"][top + np.uint64(1)].astype(np.int64)
+        last, high = len(arrays["low"]) - 1, end
+        key_at = lambda at: arrays["low"][at] | arrays["high"][at].astype(np.uint64) << np.uint64(32)
+        while (open_ := low < high).any():
+            middle = (low + high) >> 1
+            less = key_at(np.minimum(middle, last)) < rest
+            low, high = np.where(open_ & less, middle + 1, low), np.where(open_ & ~less, middle, high)
+        at = np.minimum(low, last)
+        count = np.where((low < end) & (key_at(at) == rest), arrays["count"][at], 0).astype(np.int64)
+        wide = count == MappedCounts.WIDE
+        if wide.any():
+            places_, values = arrays["wide"]
+            count[wide] = values[np.searchsorted(places_, at[wide])]
+        return count
+
+
+def publish_counts(stored: DataFrame, bits: int, pieces: dict[int, tuple[int, int]], mounted: bool | None = None) -> MappedCounts:
+    """A table already written with the pieces of a :class:`MappedCounts` (``piece`` and its bytes)."""
+    spark, paths = stored.sparkSession, sorted(stored.inputFiles())
+    if mounted is None:
+        mounted = urlparse(scratch_path(spark, "counts")).scheme in ("", "file")
+    if not mounted:
+        for path in paths:
+            spark.sparkContext.addFile(path)
+    name = os.path.basename(os.path.dirname(paths[0])) + "-counts" if paths else "empty-counts"
+    return MappedCounts(name, paths, bits, pieces, mounted)
+
+
 def publish(df: DataFrame, rows: int, columns: dict, label: str, mounted: bool | None = None) -> MappedTable:
     """Writes ``df`` (of ``rows`` rows) in the order of its column ``key``.
 

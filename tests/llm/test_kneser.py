@@ -24,8 +24,7 @@ class Plain:
         self.d = kneser.discounts([sum(c == k for c in pairs.values()) for k in range(1, 5)])
         self.n1, self.s = Counter(w for _, w in pairs), defaultdict(float)
         for (v, _), c in pairs.items():
-            if c >= kneser.MIN_COUNT:
-                self.s[v] += c - self.d[min(c, 3) - 1]
+            self.s[v] += c - self.d[min(c, 3) - 1]
         self.d1 = kneser.discounts([sum(c == k for c in self.n1.values()) for k in range(1, 5)])
         taken = sum(self.d1[min(c, 3) - 1] for c in self.n1.values())
         self.types = max(len(pairs), 1)
@@ -38,7 +37,7 @@ class Plain:
     def p(self, v, w):
         followed = self.texts if v == START else self.uni[v]
         c = self.pairs[v, w]
-        own = (c - self.d[min(c, 3) - 1]) / followed if c >= kneser.MIN_COUNT else 0.0
+        own = (c - self.d[min(c, 3) - 1]) / followed if c else 0.0
         return own + (1 - self.s[v] / followed if followed else 1.0) * self.lower(w)
 
     def score(self, t):
@@ -93,3 +92,24 @@ def test_table_beats_the_base(spark):
     check(scored, Plain(train), [r["text"] for r in rows])
     total = scored.where(held).agg(F.sum("base_score"), F.sum("score")).first()
     assert total[1] > total[0]
+
+
+def test_counts_of_any_size_are_found():
+    """Pieces laid side by side, counts beyond a byte, keys that aren't there."""
+    import numpy as np
+
+    from affinis.llm.mapped import MappedCounts
+
+    r = np.random.default_rng(1)
+    bits, shift = 6, 4
+    keys = np.unique(r.integers(0, 1 << 46, 3000, dtype=np.uint64))
+    counts = r.choice([1, 2, 254, 255, 256, 70_000], len(keys))
+    top, rest = keys >> np.uint64(40), keys & np.uint64((1 << 40) - 1)
+    pieces = [MappedCounts.packed(top[at], rest[at], counts[at], b << shift, 1 << shift) for b in range(4) if (at := top >> np.uint64(shift) == b).any()]
+    whole = [np.concatenate([np.frombuffer(p[k], kind) for p in pieces]) for k, kind in enumerate([np.uint32, np.uint8, np.uint8, np.uint32])]
+    starts = np.cumsum([0] + [len(p[1]) for p in pieces])
+    wide = [np.concatenate([np.frombuffer(p[k], np.int64) + (at if k == 4 else 0) for p, at in zip(pieces, starts, strict=False)]) for k in (4, 5)]
+    arrays = {"low": whole[0], "high": whole[1], "count": whole[2], "offsets": np.r_[0, np.cumsum(whole[3])].astype(np.uint32), "wide": np.stack(wide)}
+    assert (MappedCounts.find(arrays, top, rest) == counts).all()
+    absent = np.setdiff1d(r.integers(0, 1 << 46, 3000, dtype=np.uint64), keys)
+    assert not MappedCounts.find(arrays, absent >> np.uint64(40), absent & np.uint64((1 << 40) - 1)).any()
