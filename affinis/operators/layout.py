@@ -34,7 +34,7 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 PACKED_ROWS = 250_000
 
 _local_scratch: str | None = None
-# number of parts -> their names (see RatingStore.part_names)
+# number of parts -> their names (see part_names)
 _part_names: dict[int, list[int]] = {}
 
 
@@ -117,6 +117,21 @@ def task_count(spark: SparkSession, rows: int) -> int:
     return max(cores(spark), min(most, max(wanted, least)))
 
 
+def part_names(spark: SparkSession, tasks: int) -> list[int]:
+    """A number for every part that Spark's hash deals to a partition of its own, so that
+    no partition gets two parts and none stays empty."""
+    if tasks not in _part_names:
+        names: dict[int, int] = {}
+        low, step = 0, 20 * tasks
+        while len(names) < tasks:
+            dealt = F.pmod(F.hash(F.col("id").cast("int")), F.lit(tasks)).alias("part")
+            for r in spark.range(low, low + step, 1, 1).groupBy(dealt).agg(F.min("id").alias("id")).collect():
+                names.setdefault(r["part"], r["id"])
+            low += step
+        _part_names[tasks] = [names[p] for p in range(tasks)]
+    return _part_names[tasks]
+
+
 class RatingStore:
     """Ratings held once, laid out by user and by item for repeated sweeps.
 
@@ -164,20 +179,6 @@ class RatingStore:
         self.by(key)
         return self._hot[key]
 
-    def part_names(self) -> list[int]:
-        """A number for every part that Spark's hash deals to a partition of its own, so
-        that no partition gets two parts and none stays empty."""
-        if self.tasks not in _part_names:
-            names: dict[int, int] = {}
-            low, step = 0, 20 * self.tasks
-            while len(names) < self.tasks:
-                dealt = F.pmod(F.hash(F.col("id").cast("int")), F.lit(self.tasks)).alias("part")
-                for r in self.spark.range(low, low + step, 1, 1).groupBy(dealt).agg(F.min("id").alias("id")).collect():
-                    names.setdefault(r["part"], r["id"])
-                low += step
-            _part_names[self.tasks] = [names[p] for p in range(self.tasks)]
-        return _part_names[self.tasks]
-
     def by(self, key: str) -> DataFrame:
         """``user, item, rating, part, slot, hot``, dealt to parts and sorted there."""
         if key in self._laid:
@@ -198,7 +199,7 @@ class RatingStore:
                 slot = F.coalesce(F.pmod(F.xxhash64(other), F.col("slots")), F.lit(0)).cast("int")
                 rows = self.df.join(F.broadcast(hot), key, "left").withColumns(
                     {"slot": slot, "hot": F.col("slots").isNotNull()}).drop("slots")
-        part = F.get(F.array(*[F.lit(n) for n in self.part_names()]), F.pmod(F.xxhash64(key, "slot"), F.lit(self.tasks)).cast("int"))
+        part = F.get(F.array(*[F.lit(n) for n in part_names(self.spark, self.tasks)]), F.pmod(F.xxhash64(key, "slot"), F.lit(self.tasks)).cast("int"))
         laid = (
             rows.withColumn("part", part.cast("int")).repartition(self.tasks, "part")
             .sortWithinPartitions("part", key, "slot")

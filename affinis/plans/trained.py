@@ -38,20 +38,56 @@ def sgd_chain(epochs: int, rate=0.01, lam=0.1, start_w="0.5", bias=True, learn_w
             f"g0 AS (SELECT {start_w} AS w{' FROM d' if 'avg' in start_w else ''})",
             f"u0 AS (SELECT DISTINCT {user}, {b0(user)} AS b, {scale} * {grid(user)} AS f FROM d)",
             f"v0 AS (SELECT DISTINCT item, {b0('item')} AS b, {scale} * {grid('item')} AS f FROM d)"]
+    if not compat:
+        return "WITH RECURSIVE " + ",\n".join(ctes + _strata_chain(epochs, rate, lam, bias, learn_w))
     for t in range(1, epochs + 1):
-        if compat:
-            for key, mine, fixed in ((user, "u", "v.f"), ("item", "v", "u.f")):
-                ctes.append(f"""{mine}{t} AS MATERIALIZED (SELECT {key}, b - {rate} * (e / total + {lam} * b) AS b, f - {rate} * (1.0::DOUBLE / total + {lam}) * g AS f
-                  FROM {mine}{t - 1} JOIN (SELECT d.{key}, sum(w + u.b + v.b + u.f * v.f - rating) AS e, sum((w + u.b + v.b + u.f * v.f - rating) * {fixed}) AS g
-                    FROM d JOIN u{t - 1} u USING ({user}) JOIN v{t - 1} v USING (item), g{t - 1} GROUP BY d.{key}) USING ({key}), nn)""")
-        else:
-            ctes.append(f"u{t} AS MATERIALIZED ({implicit_sql(_sums(user, f'v{t - 1}', 'item', f'g{t - 1}'), f'u{t - 1}', user, rate, lam, bias)})")
-            ctes.append(f"v{t} AS MATERIALIZED ({implicit_sql(_sums('item', f'u{t}', user, f'g{t - 1}'), f'v{t - 1}', 'item', rate, lam, bias)})")
-        ctes.append(f"""g{t} AS MATERIALIZED (SELECT any_value(w) + {rate} * sum(rating - w - u.b - v.b - u.f * v.f) / (1 + {rate} * count(*)) AS w
-          FROM d JOIN u{t} u USING ({user}) JOIN v{t} v USING (item), g{t - 1})""" if learn_w else f"g{t} AS (SELECT w FROM g{t - 1})")
+        for key, mine, fixed in ((user, "u", "v.f"), ("item", "v", "u.f")):
+            ctes.append(f"""{mine}{t} AS MATERIALIZED (SELECT {key}, b - {rate} * (e / total + {lam} * b) AS b, f - {rate} * (1.0::DOUBLE / total + {lam}) * g AS f
+              FROM {mine}{t - 1} JOIN (SELECT d.{key}, sum(w + u.b + v.b + u.f * v.f - rating) AS e, sum((w + u.b + v.b + u.f * v.f - rating) * {fixed}) AS g
+                FROM d JOIN u{t - 1} u USING ({user}) JOIN v{t - 1} v USING (item), g{t - 1} GROUP BY d.{key}) USING ({key}), nn)""")
+        ctes.append(f"g{t} AS (SELECT w FROM g{t - 1})")
     return "WITH " + ",\n".join(ctes)
 
 
+# Blocks of users and of items in the queries that take serial steps.
+BLOCKS = 4
+
+
+def _strata_chain(epochs: int, rate, lam, bias: bool, learn_w: bool) -> list[str]:
+    """Strata and rounds replayed at rank 1: a recursion over rounds whose state, keyed by
+    (side, id), has users, items, a constant per user block, and the round."""
+    ranked = lambda name, key: f"""{name} AS MATERIALIZED (SELECT {key}, blk, row_number() OVER (PARTITION BY blk ORDER BY {key}) - 1 AS k,
+        count(*) OVER (PARTITION BY blk) AS n FROM (SELECT DISTINCT {key}, ({key} % 104729) * 7919 % 104729 % {BLOCKS} AS blk FROM d))"""
+    step = lambda value, grad: f"{value} - {rate} * ({grad} + {lam} * {value})"
+    moved_bias = lambda b: step(b, "err") if bias else b
+    moved_user = step("uf", "err * vf")
+    average = "(SELECT sum(n * b) / sum(n) FROM recurring.st JOIN nb ON id = ub WHERE side = 2)"
+    constant = f"CASE WHEN r = 1 AND t > 1 THEN {average} ELSE c.b END" if learn_w else "c.b"
+    moved_w = f"w - coalesce((1 - pow(1 - {rate}, m)) * e, 0)" if learn_w else "w"
+    return [
+        ranked("us", '"user"'), ranked("vs", "item"),
+        f"""rounds AS MATERIALIZED (SELECT d."user", item, rating, us.blk AS ub,
+            dense_rank() OVER (ORDER BY (vs.blk - us.blk + {BLOCKS}) % {BLOCKS}, (us.k + vs.k) % greatest(us.n, vs.n)) AS r
+            FROM d JOIN us USING ("user") JOIN vs USING (item))""",
+        "nb AS MATERIALIZED (SELECT ub, count(*) AS n FROM rounds GROUP BY ub)",
+        "last AS MATERIALIZED (SELECT max(r) AS rounds FROM rounds)",
+        f"""st(side, id, b, f, t) USING KEY (side, id) AS (
+          (SELECT 0 AS side, "user" AS id, b, f, 0::BIGINT AS t FROM u0 UNION ALL SELECT 1, item, b, f, 0 FROM v0
+            UNION ALL SELECT 2, ub, w::DOUBLE, 0.0::DOUBLE, 0 FROM nb, g0 UNION ALL SELECT 3, 0, 0.0::DOUBLE, 0.0::DOUBLE, 0)
+          UNION
+          (WITH now AS (SELECT t + 1 AS t, t % rounds + 1 AS r FROM st, last WHERE side = 3 AND t < {epochs} * rounds),
+            held AS (SELECT c.id AS ub, {constant} AS w, t, r FROM now, (SELECT id, b FROM recurring.st WHERE side = 2) c),
+            x AS (SELECT a."user", a.item, a.ub, held.t AS t, u.b AS ub_, v.b AS vb, u.f AS uf, v.f AS vf, w + u.b + v.b + u.f * v.f - rating AS err
+              FROM held JOIN rounds a USING (ub, r) JOIN recurring.st u ON u.side = 0 AND u.id = a."user" JOIN recurring.st v ON v.side = 1 AND v.id = a.item)
+          SELECT 0, "user", {moved_bias("ub_")}, {moved_user}, t FROM x
+          UNION ALL SELECT 1, item, {moved_bias("vb")}, {step("vf", f"err * ({moved_user})")}, t FROM x
+          UNION ALL SELECT 2, ub, {moved_w}, 0.0, t FROM held LEFT JOIN (SELECT ub, count(*) AS m, avg(err) AS e FROM x GROUP BY ub) USING (ub)
+          UNION ALL SELECT 3, 0, 0.0, 0.0, t FROM now))""",
+        f"""u{epochs} AS MATERIALIZED (SELECT id AS "user", b, f FROM st WHERE side = 0)""",
+        f"v{epochs} AS MATERIALIZED (SELECT id AS item, b, f FROM st WHERE side = 1)",
+        f"g{epochs} AS MATERIALIZED (SELECT sum(n * b) / sum(n) AS w FROM st JOIN nb ON id = ub WHERE side = 2)"]
+
+
 def _final(epochs: int, score="w + u.b + v.b + u.f * v.f") -> str:
     return f"""SELECT d."user", d.item, {rs(score)} AS prediction FROM d JOIN u{epochs} u USING ("user") JOIN v{epochs} v USING (item), g{epochs}"""
 
@@ -63,32 +99,32 @@ def _predict(model, ratings):
 @query(f"{sgd_chain(2)} {_final(2)}")
 def sgd_epoch(spark, sf):
     d1 = fx.stored(fx.part_ratings(spark, sf))
-    return _predict(gradient.fit_sgd(d1, k=1, epochs=2, seed=SEED, init="grid"), d1)
+    return _predict(gradient.fit_sgd(d1, k=1, epochs=2, seed=SEED, init="grid", blocks=BLOCKS), d1)
 
 
 @query(f"{sgd_chain(2, start_w='0.0::DOUBLE', bias=False, learn_w=False)} {_final(2)}")
 def sgd0_epoch(spark, sf):
     d1 = fx.stored(fx.part_ratings(spark, sf))
-    return _predict(gradient.fit_sgd0(d1, k=1, epochs=2, seed=SEED, init="grid"), d1)
+    return _predict(gradient.fit_sgd0(d1, k=1, epochs=2, seed=SEED, init="grid", blocks=BLOCKS), d1)
 
 
 @query(f"{sgd_chain(2, start_w='0.0::DOUBLE', learn_w=False)} {_final(2)}")
 def sgd2_epoch(spark, sf):
     d1 = fx.stored(fx.part_ratings(spark, sf))
-    return _predict(gradient.fit_sgd2(d1, k=1, epochs=2, seed=SEED, init="grid"), d1)
+    return _predict(gradient.fit_sgd2(d1, k=1, epochs=2, seed=SEED, init="grid", blocks=BLOCKS), d1)
 
 
 @query(f"{sgd_chain(2, start_w='0.0::DOUBLE', learn_w=False, compat=True)} {_final(2)}")
 def sgd2_compat(spark, sf):
     d1 = fx.stored(fx.part_ratings(spark, sf))
-    return _predict(gradient.fit_sgd2(d1, k=1, epochs=2, seed=SEED, init="grid", compat=True), d1)
+    return _predict(gradient.fit_sgd2(d1, k=1, epochs=2, seed=SEED, init="grid", compat=True, batches=1), d1)
 
 
 @query(f"""{sgd_chain(2, rate=0.005, lam=0.02, start_w='avg(rating)', learn_w=False, zero_bias=True, scale='0.1::DOUBLE')}
    {_final(2, 'greatest((SELECT min(rating) FROM d), least((SELECT max(rating) FROM d), w + u.b + v.b + u.f * v.f))')}""")
 def ssvd_epoch(spark, sf):
     d1 = fx.stored(fx.part_ratings(spark, sf))
-    return _predict(gradient.fit_ssvd(d1, k=1, epochs=2, seed=SEED, init="grid"), d1)
+    return _predict(gradient.fit_ssvd(d1, k=1, epochs=2, seed=SEED, init="grid", blocks=BLOCKS), d1)
 
 
 def _fold_chain(epochs: int) -> str:
@@ -104,7 +140,7 @@ def _fold_chain(epochs: int) -> str:
    FROM nw JOIN p2 p USING ("user") JOIN v2 v USING (item), g2""")
 def sgd_foldin(spark, sf):
     d1 = fx.stored(fx.part_ratings(spark, sf))
-    model = gradient.fit_sgd(d1, k=1, epochs=2, seed=SEED, init="grid")
+    model = gradient.fit_sgd(d1, k=1, epochs=2, seed=SEED, init="grid", blocks=BLOCKS)
     new = d1.select((F.col("user") + 1_000_000_000).alias("user"), "item", (6 - F.col("rating")).alias("rating"))
     rows = gradient.fold_in_sgd(model, new, epochs=2, start=[0.5])
     return model.predict(new.select("user", "item"), rows).withColumn("prediction", r("prediction"))
@@ -116,7 +152,7 @@ def sgd_foldin(spark, sf):
 def sgd2_foldin(spark, sf):
     """The same fold-in for the pair machine, whose intercept is 0."""
     d1 = fx.stored(fx.part_ratings(spark, sf))
-    model = gradient.fit_sgd2(d1, k=1, epochs=2, seed=SEED, init="grid")
+    model = gradient.fit_sgd2(d1, k=1, epochs=2, seed=SEED, init="grid", blocks=BLOCKS)
     new = d1.select((F.col("user") + 1_000_000_000).alias("user"), "item", (6 - F.col("rating")).alias("rating"))
     rows = gradient.fold_in_sgd(model, new, epochs=2, start=[0.5])
     return model.predict(new.select("user", "item"), rows).withColumn("prediction", r("prediction"))
