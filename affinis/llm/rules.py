@@ -72,7 +72,8 @@ def _class_counts(text: Column) -> Column:
 
 
 # Sorting plain longs is several times faster than sorting structs; a text of more
-# windows than the low bits can number takes the structs.
+# windows than the low bits can number takes the structs, and so does one in which two
+# different windows agree in the bits above.
 INDEX_BITS = 24
 
 
@@ -83,23 +84,29 @@ def _covered(grams: Column) -> Column:
         gaps = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    def starts(ordered: Column, key, at) -> Column:
-        """Ascending window numbers whose hash equals that of a neighbour in hash order."""
+    def starts(ordered: Column, key, at, if_mixed: Column | None = None) -> Column:
+        """Ascending window numbers whose hash equals that of a neighbour in the order of
+        ``key``. Where neighbours agree in the key alone, equal hashes may lie apart:
+        ``if_mixed`` then."""
+        same = lambda p: F.get(grams, p[0]) == F.get(grams, p[1])
+
+        def found_in(beside: Column) -> Column:
+            equal = F.sort_array(F.array_distinct(F.flatten(F.filter(beside, same))))
+            return equal if if_mixed is None else F.when(F.exists(beside, lambda p: ~same(p)), if_mixed).otherwise(equal)
 
         def body(s: Column) -> Column:
-            beside = F.transform(s, lambda e, k: F.when(key(F.get(s, k + 1)) == key(e), F.array(at(e), at(F.get(s, k + 1)))))
-            equal = F.filter(beside, lambda p: F.get(grams, p[0]) == F.get(grams, p[1]))
-            return F.sort_array(F.array_distinct(F.flatten(equal)))
+            return let(F.transform(s, lambda e, k: F.when(key(F.get(s, k + 1)) == key(e), F.array(at(e), at(F.get(s, k + 1))))), found_in)
 
         return let(ordered, body)
 
     low = (1 << INDEX_BITS) - 1
     packed = F.sort_array(F.transform(grams, lambda h, i: F.shiftleft(F.shiftright(h, INDEX_BITS), INDEX_BITS).bitwiseOR(i.cast("long"))))
     plain = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    exact = starts(plain, lambda e: e["h"], lambda e: e["i"])
     found = F.when(
         F.size(grams) <= low,
-        starts(packed, lambda e: F.shiftright(e, INDEX_BITS), lambda e: e.bitwiseAND(F.lit(low).cast("long")).cast("int"))
-    ).otherwise(starts(plain, lambda e: e["h"], lambda e: e["i"]))
+        starts(packed, lambda e: F.shiftright(e, INDEX_BITS), lambda e: e.bitwiseAND(F.lit(low).cast("long")).cast("int"), exact)
+    ).otherwise(exact)
     several = F.size(F.array_distinct(grams)) < F.size(grams)
     return F.when(several, let(found, width)).otherwise(F.lit(0).cast("long"))
 

@@ -63,3 +63,13 @@ def test_counts_on_the_table(whole):
 def test_verdicts_follow_the_labels(whole):
     labelled = whole[whole.quality.notna() & ~whole.base_failed]
     assert (labelled.kept == (labelled.quality == 1)).mean() > 0.97
+
+
+def test_windows_that_agree_in_the_upper_bits_lose_no_repeat(spark, monkeypatch):
+    """With few upper bits most windows of a long text mix with others in the packed order."""
+    monkeypatch.setattr(rules, "INDEX_BITS", 56)
+    texts = [" ".join([*cases.prose(k, 400).split(" "), *cases.prose(k, 60).split(" ")]) for k in range(5)] + [cases.prose(9, 300), "a b c " * 30]
+    rows = [(k, t, "en", "a") for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r["m"]["words"]["n_repeat_words"] for r in cases.documents(spark, rows).select(
+        "doc_id", rules.measures(F.col("text"), F.col("lang")).alias("m")).collect()}
+    assert got == {k: counted(t)[4] for k, t in enumerate(texts)} and max(got.values()) > 50
