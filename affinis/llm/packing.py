@@ -7,13 +7,13 @@ The packing itself only depends on how many pieces there are of each length, so
 computed on that histogram: ``CAPACITY`` numbers, however many documents there are.
 Equal sequences are made in one step with a multiplicity.
 
-1. Reduction. For the longest piece j, a set holding j *dominates* if every other
+1. Reduction. For every piece j, the longest first, a set holding j *dominates* if every other
    feasible set holding j can be mapped into it part by part; an optimal packing with
    that set exists, so it is fixed and its pieces leave the instance. Checked, as in
    Martello and Toth's procedure, for sets of up to three pieces: j alone if nothing
    fits beside it; j and the longest i that fits beside it if they fill the sequence,
    if no two pieces fit beside j, or if any two or three that do are no longer than i.
-   Repeated until the longest piece has no such set.
+   A piece without such a set is passed over and left for best fit.
 2. The rest is packed best-fit, longest first: into the fullest sequence with room.
 
 Pieces then take their places: a range sort by length numbers the pieces of a length
@@ -179,8 +179,9 @@ def reduce_and_fit(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[li
                 best = max(best, a + two if two else 0)
         return best
 
-    while sizes:
-        j = sizes[-1]
+    bound = capacity + 1
+    while below := bisect.bisect_left(sizes, bound):
+        j = sizes[below - 1]
         room = capacity - j
         low = smallest(3, j)
         if not low or low[0] > room:  # alone
@@ -201,7 +202,8 @@ def reduce_and_fit(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[li
         dominates = full or no_two or (no_three and longest_sum(2, room, j) <= i) or (
             no_four and longest_sum(2, room, j) <= i and longest_sum(3, room, j) <= i)
         if not dominates:
-            break
+            bound = j  # stays in the instance, as a partner for shorter ones too
+            continue
         # All copies at once while the reason holds for each of them.
         n = min(left[i], left[j]) if i != j else left[j] // 2
         if i == j:

@@ -96,3 +96,21 @@ def test_fixed_sets_keep_an_optimal_packing(sizes, capacity):
 def test_many_equal_pieces_are_one_step():
     placed, sequences, _ = packing.reduce_and_fit({1500: 10**9, 300: 3 * 10**9, 7: 10**9})
     assert len(placed) < 40 and sequences >= 10**9
+
+
+def test_reduction_passes_over_lengths_without_a_dominating_set():
+    """Full pieces aside, shorter lengths with exact partners are fixed although a longer one isn't."""
+    counts = {90: 1, 61: 5, 39: 5, 52: 4, 48: 4, 3: 6, 2: 6}
+    placed, sequences, fixed = packing.reduce_and_fit(counts, 100)
+    assert fixed >= 9 and sequences * 100 >= sum(s * n for s, n in counts.items())
+    used = {}
+    for length, _, n, sequence, offset, each in placed:
+        for k in range(n):
+            used.setdefault(sequence + k // each, []).append((offset + k % each * length, length))
+    assert sorted(used) == list(range(sequences))
+    for pieces in used.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 100
