@@ -111,9 +111,24 @@ def scanned(docs: DataFrame, keep: list[str], name: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in keep], scan.alias(name))
 
 
+def _characters(value: Column) -> Column:
+    """A string's characters, cut up once: taking them by number walks to each from the start."""
+    return F.filter(F.split(value, ""), lambda c: c != "")
+
+
+def _neighbours(array: Column, of) -> Column:
+    """``of(a, b)`` of every element and the next one."""
+
+    def body(x: Column) -> Column:
+        n = F.greatest(F.size(x) - 1, F.lit(0))
+        return F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, F.lit(2), n), of)
+
+    return let(array, body)
+
+
 def _pair_counts(strings: DataFrame) -> DataFrame:
     """``pair, n``: transitions in the column ``s``, both ends within the alphabet."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring("s", i, F.lit(2)))
+    pairs = _neighbours(_characters(F.col("s")), lambda a, b: F.concat(a, b))
     return (
         strings.where(F.length("s") >= 2).select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
         .where(F.translate("pair", ALPHABET, "") == ""))
@@ -153,9 +168,9 @@ def log_models(scans: DataFrame, name: str) -> dict[str, list[float]]:
 
 def _sum(value: Column, table: Column) -> Column:
     """Summed log-likelihood of a string's transitions."""
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1))) - 1
-    steps = F.sequence(F.lit(1), F.length(value) - 1)
-    return F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.coalesce(F.get(table, place(i) * len(ALPHABET) + place(i + 1)), F.lit(0.0)))
+    places = F.transform(_characters(value), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    steps = _neighbours(places, lambda a, b: F.coalesce(F.get(table, a * len(ALPHABET) + b), F.lit(0.0)))
+    return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)
 
 
 def _ratio(value: Column, random: Column, ordinary: Column) -> Column:

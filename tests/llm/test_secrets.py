@@ -65,3 +65,19 @@ def test_masked(spark):
             assert rows[i]["text"] == t
     for i in (18, 19, 20):
         assert secrets.MASK in rows[i]["text"] and not base(rows[i]["text"]) and rows[i]["n_chars"] == len(rows[i]["text"])
+
+
+def test_one_very_long_run(spark):
+    """A blob of 200,000 characters takes seconds: characters are cut up once."""
+    import random
+    import string
+    import time
+
+    blob = "".join(random.Random(1).choices(string.ascii_letters + string.digits, k=200_000))
+    plain = "internationalisation characteristically misunderstanding straightforwardness " * 40
+    rows = [(1, "see " + blob + " there", "en", "a"), (2, cases.prose(3, 80), "en", "a"), *[(k, plain, "en", "a") for k in range(3, 40)]]
+    start = time.perf_counter()
+    out, name = secrets.found(cases.documents(spark, rows), ["doc_id", "text"])
+    spans = {r["doc_id"]: r["spans"] for r in out.select("doc_id", secrets.listed(out[name]).alias("spans")).collect()}
+    assert spans[1] == "markov:4:200004" and spans[2] == ""
+    assert time.perf_counter() - start < 120
