@@ -20,6 +20,14 @@ def user_mean_center(spark, sf):
     return stats.center_by_user(fx.part_ratings(spark, sf)).withColumn("rating", r("rating"))
 
 
+@query(f"""WITH r AS (SELECT "user", item, rating - 3 AS rating FROM ({fx.D1})), k AS (SELECT * FROM r WHERE rating <> 0),
+   m AS (SELECT "user", avg(rating) AS m FROM k GROUP BY "user") SELECT "user", item, {rs('rating - m')} AS rating FROM k JOIN m USING ("user")""")
+def nonzero_center(spark, sf):
+    """Ratings from -2 to 2, of which stored zeros count as missing, centred by user."""
+    shifted = fx.part_ratings(spark, sf).withColumn("rating", F.col("rating") - 3)
+    return stats.center_by_user(stats.nonzero_ratings(shifted)).withColumn("rating", r("rating"))
+
+
 DOUBLE_CENTER = f"""r AS ({fx.D2}), m AS (SELECT "user", avg(rating) AS m FROM r GROUP BY "user"),
    e AS (SELECT r."user", item, rating - m AS e FROM r JOIN m USING ("user")),
    c AS (SELECT item, sum(e) / (SELECT max("user") + 1 FROM r) AS c FROM e GROUP BY item)"""

@@ -191,6 +191,15 @@ def lasso0_ista(spark, sf):
     return _predict(model, d1)
 
 
+@query(f"""WITH {lasso_chain(3)} SELECT "user", item, {rs('lasso')} AS prediction FROM p
+   UNION ALL SELECT "user" + 1000000000, item, 0.0::DOUBLE FROM p""")
+def lasso_unknown_users(spark, sf):
+    """Pairs of users without a regression score 0 beside those of known users."""
+    d1 = fx.stored(fx.part_ratings(spark, sf))
+    model = tagged.fit_lasso(d1, fx.item_tags(spark, sf), fx.N_TAGS, method="ista", rounds=3)
+    return _predict(model, d1.unionByName(d1.withColumn("user", F.col("user") + 1_000_000_000)))
+
+
 @query(f"""WITH {lasso_chain(3)} SELECT "user", CAST(count(*) FILTER (c <> 0) AS BIGINT) AS nonzero FROM c3 GROUP BY "user" """)
 def lasso_sparsity(spark, sf):
     d1 = fx.stored(fx.part_ratings(spark, sf))

@@ -122,3 +122,12 @@ def test_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         layout.scratch_dir(Session())
+
+
+def test_scramble_orders_by_the_pair_alone(spark):
+    """The order hides the input's: it is that of a seeded hash, whatever order rows came in."""
+    df = spark.range(300).selectExpr("id % 20 as user", "id as item", "1.0D as rating", "id as given")
+    one = [r["given"] for r in prepare.scramble(df).collect()]
+    assert sorted(one) == list(range(300)) and one != sorted(one)
+    assert one == [r["given"] for r in prepare.scramble(df.orderBy(F.desc("given"))).collect()]
+    assert one != [r["given"] for r in prepare.scramble(df, seed=7).collect()]

@@ -262,3 +262,14 @@ def test_streams_in_many_batches_equal_one(spark, d3, tmp_path):
     # The last rating of a pair wins, so the stream agrees with the batch fold-in of the cleaned ratings.
     batch = foldin.fold_in_als(model, d3.select("user", "item", "rating"))
     assert whole[2] == sorted((r["user"], round(r["bias"], 9), *np.round(r["f"], 7)) for r in batch.collect())
+
+
+def test_list_of_metrics():
+    """The metrics by name; one that a user adds is listed with them."""
+    names = evaluate.available_metrics()
+    assert [n for n in names if n in ("rmse", "mae", "dcg", "ndcg")] == ["rmse", "mae", "dcg", "ndcg"]
+    try:
+        evaluate.register_metric("bias of errors", lambda: F.avg(F.col("prediction") - F.col("rating")))
+        assert "bias of errors" in evaluate.available_metrics()
+    finally:
+        evaluate.METRICS.pop("bias of errors")
