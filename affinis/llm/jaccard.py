@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinis.llm.components import components
-from affinis.llm.text import WordHashes, batches, documents, free_name, materialise, mixed, pairs_of, shingles, signed, tasks_for, word_hashes, words_of
+from affinis.llm.text import WordHashes, batches, documents, drop, free_name, materialise, mixed, pairs_of, shingles, signed, tasks_for, word_hashes, words_of
 
 PERCENT = 75
 # Shingles held in one task before they are counted and sent on.
@@ -367,7 +367,9 @@ def links(docs: DataFrame, cells: DataFrame, named: DataFrame) -> DataFrame:
     own = members.where("sig = p").select("p", F.col("sketch").alias("sp"))
     near = members.where((F.col("sig") != F.col("p")) & _length_window("n", "np")).join(own, "p").select(
         F.col("sig").alias("a"), "p", F.col("sketch").alias("sa"), "sp", F.col("n").alias("na"), "np")
-    measured = materialise(distances(materialise(_starred(_plausible(near)), "pairs"), texts, tasks), "measured")
+    starred = materialise(_starred(_plausible(near)), "pairs")
+    measured = materialise(distances(starred, texts, tasks), "measured")
+    drop(starred)
     labels = materialise(components(_linked(measured)), "labels")
 
     # Regions with members of several components, and each member's distance to the
@@ -382,14 +384,18 @@ def links(docs: DataFrame, cells: DataFrame, named: DataFrame) -> DataFrame:
     last = materialise(
         _crossing(marked.join(still_open.select("p", "blocks"), "p"), tasks).groupBy("a", "b")
         .agg(F.min(F.struct("g", "i", "j")).alias("at")).select("at.g", "at.i", "at.j", "a", "b"), "pairs")
+    drop(members, measured)
     more = materialise(distances(last, texts, tasks), "measured")
+    drop(last, texts)
     return _merge(labels, _linked(more))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
     tasks = tasks_for(docs)
-    common = common_shingles(materialise(shingle_counts(docs, tasks), "shingles"))
+    counted = materialise(shingle_counts(docs, tasks), "shingles")
+    common = common_shingles(counted)
+    drop(counted)
     stored = materialise(windows(docs, common, tasks), "cells")
     # Copies of a text in several tasks put the same set into a region more than once; no harm.
     cells = stored.where("kind = 0").select("key", "sig", "n", "pos", "common")

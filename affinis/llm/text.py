@@ -58,6 +58,14 @@ def drop_tables(spark, tables: list[str], but: DataFrame) -> list[str]:
     return keep
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` returned, once all that reads them is written."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            delete_path(table.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def kept(name: str, make):
     """A value that a Python worker keeps from task to task, made by the first that asks.
 
