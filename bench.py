@@ -23,7 +23,7 @@ HEADLINE = [
     "dedup_last", "user_mean_center", "double_center", "item_stats", "popularity_ids", "knn_topk", "knn_topk_parts",
     "knn_predict", "knn2_predict", "als_rank1", "als2_rank1", "als_k20", "als_ml", "wals_rank1", "als_foldin",
     "svd_power1", "svd_k20", "svdknn", "pca_power1", "nmf_k10", "efa_rank1", "sgd_epoch", "lasso_descent", "balse_switch",
-    "cfm", "fma", "gbr", "recommend_group", "rmse_mae", "dcg_ndcg", "compare_models", "vector_sum_wrap", "mask_roundtrip",
+    "cfm", "fma", "gbr", "recommend_group", "rmse_mae", "dcg_ndcg", "compare_models", "vector_sum_wrap", "quorum_sum",
     "stream_item_stats", "stream_foldin",
 ]
 LONG = 3.0
