@@ -29,6 +29,8 @@ rows each give their own results. Other columns are not read.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -46,6 +48,8 @@ BLOCK_ITEMS = 50_000
 BLOCK_SHINGLES = 4_000_000
 # Windows fingerprinted at a time in a task.
 GROUP = 4096
+# Listed items up to which plain numbers are faster than arrays.
+FEW = 64
 # Shingles of a text whose running sums are kept whole (256 bytes each).
 SUMMED = 1 << 16
 
@@ -53,9 +57,10 @@ _LEAK = pa.schema([
     ("doc_id", pa.int64()), ("item", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())])
 
 
+@functools.cache
 def needed(m: int, other: int | None = None) -> int:
     """Fewest shared shingles of multisets of ``m`` and ``other`` (``m``) with similarity 3/4."""
-    return int(np.ceil(SIMILARITY / (1 + SIMILARITY) * (m + (m if other is None else other)) - 1e-9))
+    return math.ceil(SIMILARITY / (1 + SIMILARITY) * (m + (m if other is None else other)) - 1e-9)
 
 
 class Fingerprints:
@@ -105,6 +110,7 @@ class Items:
             lengths.append(len(words))
             every.append((min(SHINGLE_WORDS, len(words)), s))
         self.prints = np.array(prints, np.uint64)
+        self.numbers_of = self.prints.tolist()
         self.known = {
             w: np.unique(np.concatenate([s for width, s in every if width == w])) for w in {width for width, _ in every}}
         near = _near_values()
@@ -143,21 +149,23 @@ class Items:
     def _verified(self, windows, starts, n, m, table, of_item):
         """Windows of ``n`` words and ``m`` shingles against items of ``of_item`` shingles."""
         s, prints, held, window = windows.s, windows.of(starts, m), None, Counter()
-        for start, fingerprint, blocks in zip(starts.tolist(), prints, prints.view(np.uint8).reshape(-1, BLOCKS), strict=True):
-            listed = [table[k] for k in enumerate(blocks.tolist()) if k in table]
+        for start, fingerprint, blocks in zip(starts.tolist(), prints.tolist(), prints.view(np.uint8).reshape(-1, BLOCKS).tolist(), strict=True):
+            listed = [table[k] for k in enumerate(blocks) if k in table]
             if not listed:
                 continue
-            items = np.unique(np.concatenate(listed))
-            apart = np.unpackbits((self.prints[items] ^ fingerprint).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=1)
-            items = items[apart <= RADIUS]
-            if len(items):
+            if sum(map(len, listed)) <= FEW:
+                items = [i for i in sorted({i for part in listed for i in part.tolist()}) if (self.numbers_of[i] ^ fingerprint).bit_count() <= RADIUS]
+            else:
+                items = np.unique(np.concatenate(listed))
+                items = items[np.bitwise_count(self.prints[items] ^ np.uint64(fingerprint)) <= RADIUS].tolist()
+            if items:
                 if held is not None and start - held < m:  # the window before, moved on
                     window.subtract(s[held:start].tolist())
                     window.update(s[held + m : start + m].tolist())
                 else:
                     window = Counter(s[start : start + m].tolist())
                 held = start
-                for i in items.tolist():
+                for i in items:
                     both = sum(min(count, window[h]) for h, count in self.counts[i].items())
                     if both >= SIMILARITY * (m + of_item - both):
                         yield self.numbers[i], start, n, both / (m + of_item - both)

@@ -1,5 +1,7 @@
 from collections import Counter
 
+import pytest
+
 from affinis.llm import decontaminate
 from tests.llm import cases
 
@@ -19,7 +21,9 @@ def similar(text, item):
     return best
 
 
-def test_documents_shorter_than_the_item(spark):
+@pytest.mark.parametrize("few", [0, 64])
+def test_documents_shorter_than_the_item(spark, monkeypatch, few):
+    monkeypatch.setattr(decontaminate, "FEW", few)
     item = cases.prose(77, 59).split(" ")
     rows = [(k, " ".join(item[:k] + item[k + 1 :]), "en", "a") for k in (0, 20, 58)]
     rows += [(100 + k, " ".join(item[k:]), "en", "a") for k in range(59)] + [(200 + k, " ".join(item[: 59 - k]), "en", "a") for k in range(1, 59)]
