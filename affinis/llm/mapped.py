@@ -117,10 +117,10 @@ class MappedCounts(MappedTable):
         wide, seen = [], 0
         for path in self.paths:
             with pq.ParquetFile(self._local(path)) as file:
-                for batch in file.iter_batches(4, columns=["piece", *self.FIELDS, "sizes", "wide_at", "wide"]):
-                    for row in batch.to_pylist():
-                        if row["low"] is None:
-                            continue
+                for group in range(file.num_row_groups):
+                    # Other kinds of rows in the file have no piece.
+                    rows = file.read_row_group(group, columns=["piece", *self.FIELDS, "sizes", "wide_at", "wide"])
+                    for row in rows.filter(rows.column("piece").is_valid()).to_pylist():
                         first, n = self.pieces[row["piece"]]
                         for c, kind in self.FIELDS.items():
                             out[c][starts[row["piece"]] : starts[row["piece"]] + n] = np.frombuffer(row[c], kind)
