@@ -145,10 +145,13 @@ class MappedCounts(MappedTable):
         low, end = arrays["offsets"][top].astype(np.int64), arrays["offsets"][top + np.uint64(1)].astype(np.int64)
         last, high = len(arrays["low"]) - 1, end
         key_at = lambda at: arrays["low"][at] | arrays["high"][at].astype(np.uint64) << np.uint64(32)
-        while (open_ := low < high).any():
-            middle = (low + high) >> 1
-            less = key_at(np.minimum(middle, last)) < rest
-            low, high = np.where(open_ & less, middle + 1, low), np.where(open_ & ~less, middle, high)
+        left = np.flatnonzero(low < high)  # most ranges are a few keys, those of frequent words are long
+        high = high.copy()
+        while len(left):
+            middle = (low[left] + high[left]) >> 1
+            less = key_at(middle) < rest[left]
+            low[left[less]], high[left[~less]] = middle[less] + 1, middle[~less]
+            left = left[low[left] < high[left]]
         at = np.minimum(low, last)
         count = np.where((low < end) & (key_at(at) == rest), arrays["count"][at], 0).astype(np.int64)
         wide = count == MappedCounts.WIDE
