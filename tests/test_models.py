@@ -88,6 +88,35 @@ def test_no_exchange_of_a_half_sweep_carries_a_rating(d1, monkeypatch, small):
     store.release()
 
 
+@pytest.mark.parametrize("per_slot", [20, 1_000_000])
+def test_tables_too_large_for_routes_are_shared(d1, tags, monkeypatch, per_slot):
+    """Same predictions, and no exchange at all in a half-sweep: what it moves is one copy of a table."""
+    pairs = d1.select("user", "item")
+    fits = (lambda: als.fit_als(d1, k=3, iterations=2), lambda: als.fit_als_biased(d1, k=3, iterations=2),
+            lambda: als.fit_xals(d1, tags, N_TAGS, k=2, iterations=1), lambda: latent.fit_nmf(d1, k=2, iterations=2))
+    score = lambda fit: fit().predict(pairs).toPandas().sort_values(["user", "item"]).prediction.values
+    plain = [score(fit) for fit in fits]
+    monkeypatch.setattr(layout, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(layout, "ROUTED_BYTES", 0)
+    monkeypatch.setattr(layout, "SHARED_ROWS", 7)
+    monkeypatch.setattr(layout.RatingStore.__init__, "__defaults__", (per_slot,))
+    for fit, want in zip(fits, plain):
+        assert np.allclose(score(fit), want, atol=1e-9)
+    store = layout.RatingStore(d1)
+    fixed = d1.select("item").distinct().select("item", F.lit(0.0).alias("v"), F.array(F.lit(1.0), F.lit(2.0)).alias("f"))
+    plan = store.meet("user", fixed, 2, lambda met: None, "key bigint")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "cogroup" not in plan.lower() and "CoGroup" not in plan
+    store.release()
+
+
+def test_a_product_without_columns_is_empty(d1):
+    store = layout.RatingStore(d1)
+    fixed = d1.select("item").distinct().select("item", F.array().cast("array<double>").alias("f"))
+    got = normal.product(store, "user", fixed, 0)
+    assert got.where("size(f) = 0").count() == d1.select("user").distinct().count()
+    store.release()
+
+
 def test_gram_runs_agree():
     rng = np.random.default_rng(1)
     x = rng.random((600, 4))
