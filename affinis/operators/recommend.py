@@ -9,15 +9,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from affinis.functions.vectors import dot, elem, literal_vector
+from affinis.functions.vectors import dot, elem, literal_vector, zeros
 from affinis.models.base import FactorModel, Model
-from affinis.operators.layout import fits_broadcast
+from affinis.operators.layout import arrow_rows, cores, fits_broadcast
 from affinis.operators.prepare import dense_ids
 
 USERS_PER_SLOT = 256
+# Member x item scores that a task holds at once, and those it computes in all.
+SCORES_AT_ONCE, SCORES_PER_TASK = 2_000_000, 1_000_000_000
 # Up to this many rows the final numbering happens in one small task.
 SMALL_TOP = 10_000
 
@@ -67,6 +71,52 @@ def _group_row(model: FactorModel, users: DataFrame | None, extra: DataFrame | N
     return row["b"] / row["n"], [row[f"c{j}"] / row["n"] for j in range(k)]
 
 
+def _member_rows(model: FactorModel, users: DataFrame | None, extra: DataFrame | None) -> DataFrame:
+    """weight, b, f of every member; what a member lacks counts as 0."""
+    parts = []
+    if users is not None:
+        known = model.users.select("user", "bias", "f")
+        parts.append(group_members(users).join(known, "user", "left").select("weight", "bias", "f"))
+    if extra is not None:
+        parts.append(extra.select(F.lit(1).cast("bigint").alias("weight"), "bias", "f"))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return rows.select(
+        F.col("weight").cast("double").alias("weight"), F.coalesce("bias", F.lit(0.0)).alias("b"), F.coalesce("f", zeros(model.params["k"])).alias("f"))
+
+
+def _all_scores(model: FactorModel, members: DataFrame, n: int, items: DataFrame) -> DataFrame:
+    """item, score: every member scored against every item inside the items' tasks, which
+    hold all members' rows (counted to be small). Neither pairs nor vectors are shuffled."""
+    k, spark = model.params["k"], items.sparkSession
+    got = members.toArrow()
+    f = got.column("f").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, k)
+    held = spark.sparkContext.broadcast((got.column("weight").to_numpy(), got.column("b").to_numpy(), f))
+    base, low, high = float(model.params.get("intercept", 0.0)), model.params.get("low"), model.params.get("high")
+    most = items.count()
+    cand = items.join(model.items.select("item", "bias", "f"), "item", "left").select(
+        F.col("item").cast("bigint").alias("item"), F.coalesce("bias", F.lit(0.0)).alias("b"), F.coalesce("f", zeros(k)).alias("f"))
+    tasks = max(cores(spark), min(max(1, most // 100), math.ceil(most * n / SCORES_PER_TASK)))
+
+    def score(batches):
+        weight, b, f = held.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ib = batch.column("b").to_numpy(zero_copy_only=False)
+            vf = batch.column("f").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, k)
+            total = np.zeros(batch.num_rows)
+            for lo in range(0, len(weight), step := max(1, SCORES_AT_ONCE // batch.num_rows)):
+                part = slice(lo, lo + step)
+                each = base + b[None, part] + ib[:, None] + vf @ f[part].T
+                if low is not None:
+                    each = np.clip(each, low, high)
+                total += each @ weight[part]
+            yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(total / weight.sum())], names=["item", "score"])
+
+    arrow_rows(spark, 8 * (k + 4))
+    return cand.repartition(tasks, "item").mapInArrow(score, "item bigint, score double")
+
+
 def item_scores(
     model: Model, users: DataFrame | None, extra: DataFrame | None = None, items: DataFrame | None = None,
     pushdown: bool = True,
@@ -90,6 +140,11 @@ def item_scores(
         known = model.item_scores(members).join(members, "user").groupBy("item").agg(
             (F.sum(F.col("prediction") * F.col("weight")) / n).alias("score"))
         return items.join(known, "item", "left").fillna(0.0, ["score"])
+    if type(model).predict is FactorModel.predict:
+        members = _member_rows(model, users, extra)
+        n = members.count()
+        if n and fits_broadcast(n, 8 * (model.params["k"] + 4)):
+            return _all_scores(model, members, n, items)
     scored = []
     if users is not None:
         scored.append(model.predict(group_grid(users, items)))

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from affinis.operators import similarity
+from affinis.llm import spans
+from affinis.models import als
+from affinis.operators import layout, recommend, similarity
 
 
 def rows_of(df, *order):
@@ -31,3 +33,30 @@ def test_stored_blocks_find_the_same_neighbours(spark, monkeypatch, items):
     monkeypatch.setattr(similarity, "SENT_BLOCKS", 10**6)
     assert stored == results()
     assert all(len(r) for r in stored)
+
+
+def test_pairwise_group_scores_shuffle_no_pairs(spark, d1, monkeypatch):
+    model = als.fit_als(d1, k=2, iterations=1)
+    group = d1.select("user").distinct().where("user % 4 = 0")
+    group = group.unionAll(group.where("user % 8 = 0")).unionAll(spark.createDataFrame([(10**6,)], "user bigint"))
+    extra = model.users.where("user % 5 = 1").withColumn("user", F.col("user") + 10**7)
+    items = d1.select("item").unionAll(spark.createDataFrame([(10**6,)], "item bigint"))
+    for low in (None, 2.5):
+        model.params.update(low=low, high=None if low is None else 3.5)
+        score = lambda: {r["item"]: r["score"] for r in recommend.item_scores(model, group, extra, items, pushdown=False).collect()}
+        got = score()
+        plan = recommend.item_scores(model, group, extra, items, pushdown=False)._jdf.queryExecution().executedPlan().toString()
+        assert "slot" not in plan
+        with monkeypatch.context() as m:
+            m.setattr(recommend, "fits_broadcast", lambda rows, size: False)
+            want = score()
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_the_copy_of_the_documents_goes_once_the_runs_are_written(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(layout, "scratch_dir", lambda spark: str(tmp_path))
+    text = "One two three four five six seven eight nine ten eleven twelve thirteen. And more."
+    docs = spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id bigint, text string")
+    got = spans.repeats(docs, whole=True)
+    assert [r["doc_id"] for r in got.collect()] == [2]
+    assert not list(tmp_path.glob("affinis/*/rows-*")) and list(tmp_path.glob("affinis/*/runs-*"))
