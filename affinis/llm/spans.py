@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.text import batches, free_name, materialise, pairs_of
+from affinis.llm.text import batches, drop, free_name, materialise, pairs_of
 
 SPAN = 3
 MIN_WORDS = 12
@@ -134,8 +134,11 @@ def repeats(docs: DataFrame, whole: bool = False) -> DataFrame:
     ``spans`` are merged ranges of code points ``(start, end)`` in order, end exclusive.
     With ``whole``, runs are the shortest with ``MIN_WORDS`` words; else ``SPAN`` pieces each.
     """
-    rows = docs if {"row", "doc_id", "text"} == set(docs.columns) else numbered(docs)
+    given = {"row", "doc_id", "text"} == set(docs.columns)
+    rows = docs if given else numbered(docs)
     runs = materialise(spans(rows, whole), "runs")
+    if not given:
+        drop(rows)  # all that follows reads the runs
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "pos")
     twice = materialise(
         runs.groupBy("hash").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "first"), "repeated")
