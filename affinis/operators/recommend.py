@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from affinis.functions.vectors import dot, elem, literal_vector, zeros
@@ -71,8 +71,14 @@ def _group_row(model: FactorModel, users: DataFrame | None, extra: DataFrame | N
     return row["b"] / row["n"], [row[f"c{j}"] / row["n"] for j in range(k)]
 
 
+def _filled(k: int) -> list[Column]:
+    """b, f and whether f lacks a number, which makes its products count as 0 whatever the other side has."""
+    whole = F.col("f").isNotNull() & ~F.exists("f", lambda e: e.isNull())
+    return [F.coalesce("bias", F.lit(0.0)).alias("b"), F.when(whole, F.col("f")).otherwise(zeros(k)).alias("f"), (~whole).alias("lacks")]
+
+
 def _member_rows(model: FactorModel, users: DataFrame | None, extra: DataFrame | None) -> DataFrame:
-    """weight, b, f of every member; what a member lacks counts as 0."""
+    """weight, b, f, lacks of every member; what a member lacks counts as 0."""
     parts = []
     if users is not None:
         known = model.users.select("user", "bias", "f")
@@ -80,8 +86,7 @@ def _member_rows(model: FactorModel, users: DataFrame | None, extra: DataFrame |
     if extra is not None:
         parts.append(extra.select(F.lit(1).cast("bigint").alias("weight"), "bias", "f"))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return rows.select(
-        F.col("weight").cast("double").alias("weight"), F.coalesce("bias", F.lit(0.0)).alias("b"), F.coalesce("f", zeros(model.params["k"])).alias("f"))
+    return rows.select(F.col("weight").cast("double").alias("weight"), *_filled(model.params["k"]))
 
 
 def _all_scores(model: FactorModel, members: DataFrame, n: int, items: DataFrame) -> DataFrame:
@@ -90,26 +95,29 @@ def _all_scores(model: FactorModel, members: DataFrame, n: int, items: DataFrame
     k, spark = model.params["k"], items.sparkSession
     got = members.toArrow()
     f = got.column("f").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, k)
-    held = spark.sparkContext.broadcast((got.column("weight").to_numpy(), got.column("b").to_numpy(), f))
+    held = spark.sparkContext.broadcast((got.column("weight").to_numpy(), got.column("b").to_numpy(), f, got.column("lacks").to_numpy()))
     base, low, high = float(model.params.get("intercept", 0.0)), model.params.get("low"), model.params.get("high")
     most = items.count()
     cand = items.join(model.items.select("item", "bias", "f"), "item", "left").select(
-        F.col("item").cast("bigint").alias("item"), F.coalesce("bias", F.lit(0.0)).alias("b"), F.coalesce("f", zeros(k)).alias("f"))
+        F.col("item").cast("bigint").alias("item"), *_filled(k))
     tasks = max(cores(spark), min(max(1, most // 100), math.ceil(most * n / SCORES_PER_TASK)))
 
     def score(batches):
-        weight, b, f = held.value
+        weight, b, f, lacks = held.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             ib = batch.column("b").to_numpy(zero_copy_only=False)
+            bare = batch.column("lacks").to_numpy(zero_copy_only=False)
             vf = batch.column("f").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, k)
             total = np.zeros(batch.num_rows)
             for lo in range(0, len(weight), step := max(1, SCORES_AT_ONCE // batch.num_rows)):
                 part = slice(lo, lo + step)
-                each = base + b[None, part] + ib[:, None] + vf @ f[part].T
-                if low is not None:
-                    each = np.clip(each, low, high)
+                product = vf @ f[part].T
+                product[bare], product[:, lacks[part]] = 0.0, 0.0
+                each = base + b[None, part] + ib[:, None] + product
+                if low is not None:  # a score that is no number is above all others, as in FactorModel.clip
+                    each = np.where(np.isnan(each), high, np.clip(each, low, high))
                 total += each @ weight[part]
             yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(total / weight.sum())], names=["item", "score"])
 
