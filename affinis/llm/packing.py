@@ -260,29 +260,23 @@ def packed(cut: DataFrame) -> DataFrame:
     ends = stored.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
     counts = {r["length"]: r["n"] for r in stored.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     placed, _, _ = reduce_and_fit(counts)
-    before = np.cumsum([0] + [r["n"] for r in ends])[:-1]
-    parts = np.array([r["part"] for r in ends], np.int64)
-    lengths = np.array(sorted(counts), np.int64)
-    below = np.cumsum([0] + [counts[s] for s in lengths.tolist()])[:-1]
+    before = np.cumsum([0] + [r["n"] for r in ends])[:-1].tolist()
+    lengths = sorted(counts)
+    below = dict(zip(lengths, np.cumsum([0] + [counts[s] for s in lengths])[:-1].tolist()))
     # Placements as intervals of the overall order: length, then number within it.
-    table = np.array(placed, np.int64).reshape(-1, 6)
-    first = below[np.searchsorted(lengths, table[:, 0])] + table[:, 1]
-    table = np.column_stack([first, table[:, 0], table[:, 3], table[:, 4], table[:, 5]])[np.argsort(first)]
-    shared = spark.sparkContext.broadcast((parts, before, table))
-
-    def seated(batches_in) -> Iterator[pa.RecordBatch]:
-        parts, before, table = shared.value
-        for batch in batches_in:
-            place = batch.column("place").to_numpy()
-            number = before[np.searchsorted(parts, place >> 33)] + (place & ((1 << 33) - 1))
-            first, length, sequence, offset, each = table[np.searchsorted(table[:, 0], number, "right") - 1].T
-            at = number - first
-            yield (
-                batch.drop_columns(["place"])
-                .append_column("sequence_id", pa.array(sequence + at // each)).append_column("offset", pa.array(offset + at % each * length)))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
-    return stored.mapInArrow(seated, fields + ", sequence_id long, offset long")
+    runs = spark.createDataFrame(
+        [(s, below[s] + first, below[s] + first + n, sequence, offset, each) for s, first, n, sequence, offset, each in placed],
+        "s_length long, s_first long, s_end long, s_sequence long, s_offset long, s_each long")
+    starts = spark.createDataFrame([(r["part"], b) for r, b in zip(ends, before)], "s_part long, s_before long")
+    # Both are small and go to the pieces, which never leave the JVM: with their ids they
+    # take 8 KB each, and an Arrow batch of them more than a task's share of memory.
+    number = F.col("s_before") + F.col("place").bitwiseAND((1 << 33) - 1)
+    numbered = stored.join(F.broadcast(starts), part == F.col("s_part")).withColumn("s_number", number)
+    inside = (F.col("length") == F.col("s_length")) & (F.col("s_number") >= F.col("s_first")) & (F.col("s_number") < F.col("s_end"))
+    at = F.col("s_number") - F.col("s_first")
+    return numbered.join(F.broadcast(runs), inside).select(
+        *cut.columns, (F.col("s_sequence") + F.expr("(s_number - s_first) div s_each")).alias("sequence_id"),
+        (F.col("s_offset") + at % F.col("s_each") * F.col("length")).alias("offset"))
 
 
 def pack(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:

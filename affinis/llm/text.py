@@ -69,10 +69,13 @@ def drop(*tables: DataFrame) -> None:
 def kept(name: str, make):
     """A value that a Python worker keeps from task to task, made by the first that asks.
 
-    Only for caches: a new worker starts without them and gets the same results.
+    Only for caches: a new worker starts without them and gets the same results. One at a
+    time: workers live on from operator to operator, and would add up what each remembers.
     """
     state = sys.modules.setdefault("affinis_worker_state", types.ModuleType("affinis_worker_state"))
     if name not in state.__dict__:
+        for other in [n for n in state.__dict__ if not n.startswith("__")]:
+            del state.__dict__[other]
         state.__dict__[name] = make()
     return state.__dict__[name]
 

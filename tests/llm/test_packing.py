@@ -114,3 +114,33 @@ def test_reduction_passes_over_lengths_without_a_dominating_set():
             assert offset == at
             at += length
         assert at <= 100
+
+
+def test_seats_are_found_without_python(spark):
+    """Pieces with their ids never go through Arrow batches again; every batch of them would be 80 MB."""
+    cut = spark.range(3000).selectExpr(
+        "id % 700 AS doc_id", "cast(id % 5 AS int) AS piece", "id AS start", "1 + id * id % 2048 AS length", "cast(repeat('a', 8) AS binary) AS ids")
+    out = packing.packed(cut)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "PythonMapInArrow" not in plan
+    rows = out.collect()
+    want = Counter(tuple(r) for r in cut.collect())
+    assert Counter(tuple(r)[:5] for r in rows) == want
+    filled = defaultdict(list)
+    for r in rows:
+        filled[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sorted(filled) == list(range(len(filled)))
+    for parts in filled.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_a_worker_remembers_for_one_operator():
+    from affinis.llm.text import kept
+
+    assert kept("first", lambda: [1]) is kept("first", lambda: [2])
+    kept("second", list)
+    assert kept("first", lambda: [3]) == [3]
