@@ -533,3 +533,10 @@ def test_third_of_all_rows_on_one_key(spark):
     finally:
         layout.RatingStore.__init__.__defaults__ = saved
     assert np.allclose(plain.values, split.values, atol=1e-9)
+
+
+def test_a_part_holds_few_wide_vectors(spark):
+    from affinis.operators.layout import PART_BYTES, task_count
+
+    assert 8 * 34 * 200_000_000 / task_count(spark, 200_000_000, 32) <= PART_BYTES
+    assert task_count(spark, 1000, 32) == task_count(spark, 1000)
