@@ -535,6 +535,34 @@ def test_third_of_all_rows_on_one_key(spark):
     assert np.allclose(plain.values, split.values, atol=1e-9)
 
 
+def test_wide_predictions_move_no_vectors(spark, monkeypatch):
+    """Long vectors of many items: the same predictions, bit by bit, as by joins, and an exchange carries ids only."""
+    from affinis.models.base import FactorModel
+    from affinis.operators import scoring
+
+    k = 9
+    vec = lambda key, off: F.array(*[F.sin(F.col(key) * (j + off)) for j in range(k)])
+    users = spark.range(60).select(F.col("id").alias("user"), (F.col("id") / 7).alias("bias"), vec("id", 1).alias("f"))
+    items = spark.range(0, 90, 2).select(
+        F.col("id").alias("item"), F.when(F.col("id") != 4, F.cos("id")).alias("bias"), F.when(F.col("id") != 6, vec("id", 3)).alias("f"))
+    pairs = spark.range(4000).select(
+        F.when(F.col("id") % 97 != 0, F.col("id") * 7 % 70).alias("user"), F.when(F.col("id") % 89 != 0, F.col("id") * 5 % 95).alias("item"),
+        (F.col("id") % 3).cast("string").alias("more"))
+    tables = {"user_factors": users, "item_factors": items}
+    for model in (FactorModel("any", tables, {"k": k, "intercept": 0.3}),
+                  tagged.LassoModel("lasso", tables, {"k": k, "intercept": 0.0, "strict": False, "low": -2.0, "high": 2.0}),
+                  tagged.LassoModel("lasso", tables, {"k": k, "intercept": 0.0, "strict": True})):
+        monkeypatch.setattr(scoring, "BROADCAST_BYTES", 1 << 30)
+        joined = model.predict(pairs)
+        monkeypatch.setattr(scoring, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(scoring, "CHUNK_ROWS", 700)
+        shared = model.predict(pairs)
+        plan = shared._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "MapInArrow" in plan
+        assert shared.columns == joined.columns
+        assert sorted(map(repr, shared.collect())) == sorted(map(repr, joined.collect()))
+
+
 def test_a_part_holds_few_wide_vectors(spark):
     from affinis.operators.layout import PART_BYTES, task_count
 
