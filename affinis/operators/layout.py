@@ -173,7 +173,7 @@ class RatingStore:
 
     KEYS = {"user": "item", "item": "user"}
 
-    def __init__(self, ratings: DataFrame, rows_per_slot: int = ROWS_PER_SLOT, width: int = 0):
+    def __init__(self, ratings: DataFrame, rows_per_slot: int = ROWS_PER_SLOT, *, width: int = 0):
         self.spark = ratings.sparkSession
         self.df = ratings.persist(StorageLevel.MEMORY_AND_DISK)
         row = self.df.agg(
