@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.operators.layout import Sweeps
+from affinis.operators.layout import Sweeps, shuffles_dropped
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -20,9 +20,14 @@ def components(edges: DataFrame) -> DataFrame:
     smaller neighbours to the smallest of them. Both keep the components and halve
     paths, so rounds grow with the logarithm of the longest path. Each round is
     written, which cuts the lineage and survives lost executors; rounds before the last two
-    are deleted. An edge from a node
+    are deleted, and so are a round's shuffles. An edge from a node
     to itself, or with a null end, is ignored.
     """
+    with shuffles_dropped(edges.sparkSession):
+        return _rounds(edges)
+
+
+def _rounds(edges: DataFrame) -> DataFrame:
     rounds = Sweeps()
     now = rounds.write(
         edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinis.operators.layout import scratch_path
+from affinis.operators.layout import scratch_path, shuffles_dropped
 from affinis.sources.tables import delete_path
 
 SHINGLE_WORDS = 5
@@ -30,9 +30,11 @@ _noted: list[str] | None = None
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back (see ``layout.materialise``)."""
+    """Write ``df`` to the shared scratch folder and read it back (see ``layout.materialise``).
+    What it was shuffled to on the way is deleted."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     if _noted is not None:
         _noted.append(path)
     return spark.read.schema(df.schema).parquet(path)

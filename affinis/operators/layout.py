@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from affinis.sources.tables import delete_path
 
 SCRATCH_CONF = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # Largest table we ship to every executor on our own account. Anything larger
 # goes through a shuffle join, where adaptive execution splits skewed keys.
 BROADCAST_BYTES = 32 << 20
@@ -83,6 +85,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside the block delete their shuffle files when they end, instead of
+    when the driver happens to collect its garbage. For queries on written tables alone:
+    a persisted one may want its shuffle again."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 class Sweeps:
     """Tables written by an iteration. Once two newer ones of the same label
     exist, nothing reads a table any more and its files are deleted."""

@@ -1,7 +1,10 @@
+import time
+
 import pytest
 
 from affinis.llm import jaccard
 from affinis.llm.components import components
+from affinis.llm.text import materialise
 from tests.conftest import SF
 from tests.llm import cases
 
@@ -74,3 +77,20 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (200, 300)], "a long, b long")
     got = {r["node"]: r["label"] for r in components(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {200: 200, 300: 200}
+
+
+def shuffle_files(spark) -> set[str]:
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {name for k in range(blocks.size()) if (name := blocks.apply(k).toString()).startswith("shuffle_")}
+
+
+def test_written_tables_leave_no_shuffle(spark):
+    before = shuffle_files(spark)
+    ids = spark.range(10_000)
+    held = [materialise(ids.repartition(3, "id"), "ids"), components(ids.selectExpr("id a", "id div 2 b"))]
+    for _ in range(100):  # files are deleted in the background
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and held[0].count() == held[1].count() == 10_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
