@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from affinis.llm import spans
 from affinis.models import als
-from affinis.operators import layout, recommend, similarity
+from affinis.operators import layout, recommend, similarity, strata
 
 
 def rows_of(df, *order):
@@ -63,3 +63,53 @@ def test_the_copy_of_the_documents_goes_once_the_runs_are_written(spark, monkeyp
     got = spans.repeats(docs, whole=True)
     assert [r["doc_id"] for r in got.collect()] == [2]
     assert not list(tmp_path.glob("affinis/*/rows-*")) and list(tmp_path.glob("affinis/*/runs-*"))
+
+
+def test_rounds_together_are_serial_steps():
+    """Many rounds in one operation, with the result of one step after the other."""
+    rng = np.random.default_rng(5)
+    n, m, k, rate, penalty = 1500, 2000, 2, 0.05, 0.1
+    pairs = rng.permutation(n * m)[:4000]
+    user, item, rating = pairs // m, pairs % m, rng.integers(1, 6, 4000).astype(float)
+
+    def block(side, size, seed):
+        made = np.random.default_rng(seed)
+        return strata.Block({"side": side, "block": 0, "w": 0.5, "n": 0, "id": np.arange(size).tobytes(),
+                             "b": made.random(size).tobytes(), "f": made.random((size, k)).tobytes()}, k)
+
+    for with_bias, learn_w in ((True, True), (True, False), (False, False)):
+        users, items, u, v = block(0, n, 1), block(1, m, 2), block(0, n, 1), block(1, m, 2)
+        strata.serial_steps(users, items, user, item, rating, rate, penalty, with_bias, learn_w)
+        w, turn = 0.5, (user + item) % m
+        for r in range(m):
+            errors = []
+            for j in np.flatnonzero(turn == r).tolist():
+                a, c = user[j], item[j]
+                err = w + u.b[a] + v.b[c] + u.f[a] @ v.f[c] - rating[j]
+                errors.append(err)
+                if with_bias:
+                    u.b[a] -= rate * (err + penalty * u.b[a])
+                    v.b[c] -= rate * (err + penalty * v.b[c])
+                u.f[a] -= rate * (err * v.f[c] + penalty * u.f[a])
+                v.f[c] -= rate * (err * u.f[a] + penalty * v.f[c])
+            if learn_w and errors:
+                w -= (1 - (1 - rate) ** len(errors)) * float(np.mean(errors))
+        for got, want in ((users.b, u.b), (items.b, v.b), (users.f, u.f), (items.f, v.f), (users.w, w)):
+            assert np.allclose(got, want, rtol=0, atol=1e-12)
+
+
+def test_rounds_are_taken_together():
+    rng = np.random.default_rng(6)
+    n, m = 1500, 2000
+    pairs = rng.permutation(n * m)[:4000]
+    a, c = pairs // m, pairs % m
+    order = np.lexsort((a, (a + c) % m))
+    a, c = a[order], c[order]
+    turn = (a + c) % m
+    edges = np.flatnonzero(np.r_[True, turn[1:] != turn[:-1], True])
+    ranges = list(strata.independent(a, c, edges))
+    assert [first for first, _ in ranges] == [0, *(last for _, last in ranges[:-1])] and ranges[-1][1] == len(edges) - 1
+    assert len(ranges) < len(edges) / 5
+    for first, last in ranges:
+        got = np.arange(edges[first], edges[last])
+        assert len(np.unique(a[got])) == len(np.unique(c[got])) == len(got)
