@@ -6,17 +6,24 @@ solved first, then items, in every sweep. Starting factors are functions of the
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinis.functions.vectors import start_value, start_vector, zeros
 from affinis.models.base import FactorModel
 from affinis.operators import stats
-from affinis.operators.layout import RatingStore, Sweeps, materialise, scratch_path, task_count
+from affinis.operators.layout import ROUTED_BYTES, RatingStore, Sweeps, materialise, scratch_path, task_count
 from affinis.operators.normal import (
     gram_matrix, half_sweep, joint_ridge, product, ridge, ridge_with_bias, times_matrix)
 
+# What a sweep of Spark's ALS may move per rating: about as much as dealing the rating anew.
+MOVED_BYTES = 24
+# Ratings in one of its blocks, of 12 bytes while the block is built and 8 afterwards.
+BLOCK_RATINGS = 64_000_000
+
 
 def _due(sweep: int, iterations: int, every: int) -> bool:
     return sweep == iterations - 1 or (sweep + 1) % every == 0
@@ -63,6 +70,17 @@ def fit_als(
     return model(u, v)
 
 
+def mllib_blocks(spark: SparkSession, ratings: int, ids: int, k: int) -> int:
+    """Blocks for Spark's ALS, which sends the factors of nearly every user and item to
+    each block in every sweep. A block is also a task: small tables get one per task.
+    Otherwise the sends of a sweep stay below ``MOVED_BYTES`` per rating however many
+    ratings there are, unless blocks would then hold more than ``BLOCK_RATINGS``."""
+    blocks, sent = task_count(spark, ratings), ids * (4 * k + 10)
+    if blocks * sent <= ROUTED_BYTES:
+        return blocks
+    return max(math.ceil(ratings / BLOCK_RATINGS), min(blocks, ratings * MOVED_BYTES // sent), 1)
+
+
 def fit_als_mllib(
     ratings: DataFrame, k: int = 20, iterations: int = 40, lam: float = 0.1, seed: int = 42,
 ) -> FactorModel:
@@ -76,7 +94,10 @@ def fit_als_mllib(
     means = materialise(stats.user_means(ratings), "user-means")
     centred = stats.center_by_user(ratings, means)
     spark = ratings.sparkSession
-    blocks = task_count(spark, centred.count())
+    # Ratings without a user find no mean and are not in ``centred``.
+    n, users, items = ratings.agg(
+        F.count("user"), F.approx_count_distinct("user"), F.approx_count_distinct("item")).first()
+    blocks = mllib_blocks(spark, n, users + items, k)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch_path(spark, "als"))
     als = ALS(rank=k, maxIter=iterations, regParam=lam, seed=seed, userCol="item", itemCol="user",

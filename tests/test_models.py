@@ -132,6 +132,24 @@ def test_mllib_als_has_the_same_objective(d1):
     assert abs(rmse(ours, d1) - rmse(theirs, d1)) < 0.02
 
 
+def test_mllib_blocks_follow_what_they_send(d1, monkeypatch):
+    """Every block gets almost every factor: more ratings of the same shape make no more of them."""
+    from pyspark.ml.recommendation import ALS
+
+    used, plain = [], ALS.fit
+    monkeypatch.setattr(ALS, "fit", lambda self, df: used.append((self.getNumUserBlocks(), self.getNumItemBlocks())) or plain(self, df))
+    small = als.fit_als_mllib(d1, k=4, iterations=1)
+    monkeypatch.setattr(als, "task_count", lambda spark, rows: 36)
+    als.fit_als_mllib(d1, k=4, iterations=1)
+    monkeypatch.setattr(als, "ROUTED_BYTES", 0)
+    large = als.fit_als_mllib(d1, k=4, iterations=1)
+    assert used[0] == (layout.task_count(d1.sparkSession, d1.count()),) * 2 and used[1] == (36, 36)
+    assert 1 <= used[2][0] == used[2][1] < 36
+    assert small.predict(d1).count() == large.predict(d1).where("prediction is not null").count() == d1.count()
+    for times in (1, 10, 100):
+        assert als.mllib_blocks(d1.sparkSession, 1_000_000 * times, 58_000 * times, 20) == 4
+
+
 def test_biased_and_tagged_als_beat_the_mean(d1, tags, mean_rmse):
     for model in (als.fit_als_biased(d1, k=4, iterations=4), als.fit_als3(d1, k=4, iterations=4),
                   als.fit_xals(d1, tags, N_TAGS, k=3, iterations=3), als.fit_wals(d1, k=4, iterations=4),
