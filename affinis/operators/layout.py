@@ -43,6 +43,8 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 PART_BYTES = 128 << 20
 # Ratings in one packed row of a stored layout.
 PACKED_ROWS = 250_000
+# Numbers between the least and the largest id of rows that are looked up by position (at most 64 MB).
+PLACES = 16 << 20
 
 _local_scratch: str | None = None
 # number of parts -> their names (see part_names)
@@ -212,6 +214,7 @@ class RatingStore:
         self._broadcast: list[Broadcast] = []
         self._shared: list[str] = []
         self._hot: dict[str, bool] = {}
+        self._counted: dict[str, DataFrame] = {}
         self._routes: dict[tuple[str, str], DataFrame] = {}
 
     def max_rows(self, key: str) -> int:
@@ -223,7 +226,7 @@ class RatingStore:
         return self._hot[key]
 
     def by(self, key: str) -> DataFrame:
-        """``user, item, rating, part, slot, hot``, dealt to parts and sorted there."""
+        """``user, item, rating, part, slot, hot``, dealt to parts and sorted by key there."""
         if key in self._laid:
             return self._laid[key]
         other = self.KEYS[key]
@@ -232,21 +235,16 @@ class RatingStore:
             # At most n / per_slot keys can be hot; per_slot grows with n so that
             # the broadcast below never exceeds 100,000 rows.
             per_slot = max(self.rows_per_slot, -(-self.n_ratings // 100_000))
-            hot = (
-                self.df.groupBy(key).count().where(F.col("count") > per_slot)
-                .select(key, F.ceil(F.col("count") / per_slot).alias("slots"))
-            )
-            hot = materialise(hot, f"hot-{key}")
+            hot = self.counted(key).where(F.col("count") > per_slot).select(
+                key, F.ceil(F.col("count") / per_slot).alias("slots"))
             if hot.limit(1).count():
                 self._hot[key] = True
                 slot = F.coalesce(F.pmod(F.xxhash64(other), F.col("slots")), F.lit(0)).cast("int")
                 rows = self.df.join(F.broadcast(hot), key, "left").withColumns(
                     {"slot": slot, "hot": F.col("slots").isNotNull()}).drop("slots")
         part = F.get(F.array(*[F.lit(n) for n in part_names(self.spark, self.tasks)]), F.pmod(F.xxhash64(key, "slot"), F.lit(self.tasks)).cast("int"))
-        laid = (
-            rows.withColumn("part", part.cast("int")).repartition(self.tasks, "part")
-            .sortWithinPartitions("part", key, "slot")
-        )
+        # By one column alone: Spark then sorts by the number itself instead of comparing rows.
+        laid = rows.withColumn("part", part.cast("int")).repartition(self.tasks, "part").sortWithinPartitions(key)
         self._laid[key] = laid
         return laid
 
@@ -258,18 +256,18 @@ class RatingStore:
                 "part", F.col(names[0]).cast("bigint"), F.col(names[1]).cast("bigint"), F.col("rating").cast("double"), F.col("hot").cast("byte"))
 
             def pack(batches):
-                held, part, n = [], None, 0
+                held: dict[int, list] = {}
                 for b in batches:
                     parts = b.column("part").to_numpy()
-                    edges = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1], True]) if len(parts) else []
-                    for lo, hi in zip(edges[:-1], edges[1:]):
-                        if n and (parts[lo] != part or n >= PACKED_ROWS):
-                            yield _packed_row(part, held)
-                            held, n = [], 0
-                        held.append([b.column(c).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for c in names])
-                        part, n = parts[lo], n + hi - lo
-                if n:
-                    yield _packed_row(part, held)
+                    for part in np.unique(parts).tolist():  # one, unless a partition got several
+                        own = b if (parts == part).all() else b.filter(pa.array(parts == part))
+                        mine = held.setdefault(part, [])
+                        if sum(len(c[0]) for c in mine) >= PACKED_ROWS:
+                            yield _packed_row(part, mine)
+                            mine.clear()
+                        mine.append([own.column(c).to_numpy(zero_copy_only=False) for c in names])
+                for part, mine in held.items():
+                    yield _packed_row(part, mine)
 
             arrow_rows(self.spark, 40)
             self._stored[key] = rows.mapInArrow(pack, "part int, key binary, other binary, rating binary, hot binary").persist(StorageLevel.MEMORY_AND_DISK)
@@ -288,7 +286,15 @@ class RatingStore:
                 self.by(key).groupBy(of).agg(F.collect_set("part").alias("parts")).persist(StorageLevel.MEMORY_AND_DISK))
         return self._routes[key, of]
 
+    def counted(self, key: str) -> DataFrame:
+        """``key, count``, written once for large tables: who is hot, and which ids there are."""
+        if key not in self._counted:
+            self._counted[key] = materialise(self.df.groupBy(key).count(), f"counted-{key}")
+        return self._counted[key]
+
     def ids(self, key: str) -> DataFrame:
+        if self.n_ratings > self.rows_per_slot:
+            return self.counted(key).select(key)
         return self.df.select(key).distinct()
 
     def sent(self, key: str, of: str, table: DataFrame, width: int, side: int = 0) -> DataFrame:
@@ -454,6 +460,12 @@ def _packed_row(part: int, held: list) -> pa.RecordBatch:
         [pa.array([part], pa.int32()), *[pa.array([c], pa.binary()) for c in columns]], names=["part", "key", "other", "rating", "hot"])
 
 
+def distinct(ids: np.ndarray) -> np.ndarray:
+    """``np.unique`` of whole numbers by sorting them; numpy's own hashes them, ten times as slowly."""
+    ids = np.sort(ids)
+    return ids[np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])] if len(ids) else ids
+
+
 def _unpacked(values: list[bytes], dtype) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype)
 
@@ -461,6 +473,8 @@ def _unpacked(values: list[bytes], dtype) -> np.ndarray:
 class Rows:
     """Rows ``id, v, f`` of one side, found by id."""
 
+    _places: np.ndarray | None = None
+
     def __init__(self, packed: list[tuple[bytes, bytes, bytes]], width: int):
         ids, v, f = ([row[k] for row in packed] for k in range(3))
         ids = _unpacked(ids, np.int64)
@@ -472,22 +486,45 @@ class Rows:
     def wanted(cls, files: list[str], width: int, ids: np.ndarray) -> Rows:
         """The rows of ``ids`` in files of ``RatingStore.shared_rows``, read piece by piece."""
         out = cls([], width)
-        out.ids = np.unique(ids)
+        out.ids = distinct(ids)
         if not len(out.ids):
             return out
         out.v, out.f, seen = np.zeros(len(out.ids)), np.zeros((len(out.ids), width)), np.zeros(len(out.ids), bool)
+        low, high, marked = int(out.ids[0]), int(out.ids[-1]), None
+        if high - low < PLACES:
+            marked = np.zeros(high - low + 1, bool)
+            marked[out.ids - low] = True
         for there, v, f in shared_pieces(files, width):
-            at, here = out.find(there)
-            at = at[here]
+            # Every part sees every row there is, so that one it does not want costs a byte.
+            if marked is not None:
+                first, last = np.searchsorted(there, low), np.searchsorted(there, high, side="right")
+                here = first + np.flatnonzero(marked[there[first:last] - low])
+                at = np.searchsorted(out.ids, there[here])
+            else:
+                at, here = out.find(there)
+                at = at[here]
             out.v[at], out.f[at], seen[at] = v[here], f[here], True
         if not seen.all():
-            out.ids, out.v, out.f = out.ids[seen], out.v[seen], out.f[seen]
+            out.ids, out.v, out.f, out._places = out.ids[seen], out.v[seen], out.f[seen], None
         return out
 
     def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of ``ids``, and which of them are here."""
-        at = np.minimum(np.searchsorted(self.ids, ids), max(len(self.ids) - 1, 0))
-        return at, self.ids[at] == ids if len(self.ids) else np.zeros(len(ids), bool)
+        """Positions of ``ids``, and which of them are here.
+
+        A part looks up an id per rating. Where ids are dense, that is a table from
+        id to position; otherwise a binary search."""
+        if not len(self.ids):
+            return np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+        low, high = int(self.ids[0]), int(self.ids[-1])
+        if high - low >= min(PLACES, 32 * len(self.ids)):
+            at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        else:
+            if self._places is None:
+                self._places = np.zeros(high - low + 1, np.int32)
+                # Backwards, so that of equal ids the first counts, as in a search.
+                self._places[self.ids[::-1] - low] = np.arange(len(self.ids) - 1, -1, -1, dtype=np.int32)
+            at = self._places[np.clip(ids, low, high) - low]
+        return at, self.ids[at] == ids
 
 
 class Met:

@@ -23,6 +23,8 @@ STATS = "key bigint, n bigint, gram array<double>, rhs array<double>"
 FACTORS = "key bigint, bias double, f array<double>"
 # Numbers in one temporary array of a half-sweep (16 MB); a task holds several of them.
 SLICE_VALUES = 2_000_000
+# Products in a run of rows from which on a call of BLAS for it alone is worth its cost.
+RUN_VALUES = 600
 _LIST = pa.list_(pa.float64())
 _SOLVED = pa.schema([
     ("key", pa.int64()), ("bias", pa.float64()), ("f", _LIST), ("n", pa.int64()), ("gram", _LIST), ("rhs", _LIST)])
@@ -53,11 +55,11 @@ def unpack(flat: np.ndarray, k: int) -> np.ndarray:
 
 
 def _gram_runs(x: np.ndarray, starts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Packed x'x of every run of rows. Long runs go to BLAS one by one; where
-    runs are short, products are formed for many rows at once, in slices so that
+    """Packed x'x of every run of rows. Runs with many products go to BLAS one by one;
+    where they have few, products are formed for many rows at once, in slices so that
     a wide model does not multiply a whole batch by k*k."""
     out = np.zeros((len(starts), len(i)))
-    if len(x) >= 4 * len(starts):
+    if len(x) >= 4 * len(starts) and len(x) * len(i) >= RUN_VALUES * len(starts):
         square = np.empty((x.shape[1], x.shape[1]))
         for g, (lo, hi) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(x)])):
             np.dot(x[lo:hi].T, x[lo:hi], out=square)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from affinis.functions.vectors import zeros
 from affinis.operators.layout import (
-    BROADCAST_BYTES, PART_BYTES, Rows, arrow_rows, is_mounted, share_rows, shared_files, shared_pieces)
+    BROADCAST_BYTES, PART_BYTES, Rows, arrow_rows, distinct, is_mounted, share_rows, shared_files, shared_pieces)
 
 # Pairs that a task works on at once, and how often it counts their users meanwhile.
 CHUNK_ROWS, COUNTED_ROWS = 1_000_000, 100_000
@@ -48,7 +48,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Table]:
         rows, new = rows + batch.num_rows, new + batch.num_rows
         if new >= COUNTED_ROWS or rows >= CHUNK_ROWS:
             late = pa.Table.from_batches(held).column("user").slice(rows - new)
-            users, new = np.union1d(users, late.cast(pa.int64()).fill_null(0).to_numpy()), 0
+            users, new = distinct(np.r_[users, late.cast(pa.int64()).fill_null(0).to_numpy()]), 0
             if rows >= CHUNK_ROWS or len(users) * 8 * (k + 2) >= PART_BYTES:
                 yield pa.Table.from_batches(held)
                 held, rows, users = [], 0, np.zeros(0, np.int64)

@@ -127,6 +127,69 @@ def test_gram_runs_agree():
         assert np.allclose(got, want)
 
 
+def test_gram_runs_agree_where_runs_are_long():
+    rng = np.random.default_rng(2)
+    i, j = normal.packed(2)
+    x, starts = rng.random((6000, 2)), np.array([0, 3000, 3500])
+    want = np.array([(x[a:b].T @ x[a:b])[i, j] for a, b in zip(starts, [3000, 3500, 6000])])
+    assert np.allclose(normal._gram_runs(x, starts, i, j), want)
+    assert np.allclose(normal._gram_runs(x[:, :1], starts, *normal.packed(1)), (want[:, :1]))
+
+
+@pytest.mark.parametrize("spread", [1, 40, 10**12])
+@pytest.mark.parametrize("places", [1, 16 << 20])
+def test_rows_are_found_by_id(tmp_path, monkeypatch, spread, places):
+    """Dense ids, ids with gaps and ids far apart; asked for more than is there, in any order."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(layout, "PLACES", places)
+    rng = np.random.default_rng(3)
+    ids = (rng.permutation(500)[:300] - 100) * spread
+    f = rng.random((300, 2))
+    files, pieces = [], []
+    for k, at in enumerate(np.array_split(np.arange(300), 4)):
+        at = at[np.argsort(ids[at])]
+        pieces.append((ids[at].tobytes(), ids[at].astype(float).tobytes(), f[at].tobytes()))
+        files.append(str(tmp_path / f"{k}.parquet"))
+        pq.write_table(pa.table({n: pa.array([c], pa.binary()) for n, c in zip(("id", "v", "f"), pieces[-1])}), files[-1])
+    asked = rng.integers(-150, 450, 2000) * spread + rng.integers(0, 2, 2000)
+    there = {int(a): n for n, a in enumerate(ids)}
+    for rows in (layout.Rows.wanted(files, 2, asked), layout.Rows(pieces, 2)):
+        at, here = rows.find(asked)
+        assert here.tolist() == [int(a) in there for a in asked]
+        assert (rows.v[at[here]] == asked[here]).all()
+        assert (rows.f[at[here]] == f[[there[int(a)] for a in asked[here]]]).all()
+    assert not len(layout.Rows.wanted(files, 2, asked[:0]).ids)
+    assert not layout.Rows([], 2).find(asked)[1].any()
+
+
+def test_a_large_store_counts_a_side_once(d1):
+    """Who is hot and which ids there are come from one written count; the layouts sort by one number."""
+    store = layout.RatingStore(d1, rows_per_slot=100)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for key in ("user", "item"):
+        assert "Exchange" not in plan(store.ids(key))
+        assert sorted(store.ids(key).collect()) == sorted(d1.select(key).distinct().collect())
+        assert f"Sort [{key}#" in plan(store.by(key)) and "slot" not in plan(store.by(key)).split("Sort [")[1].split("]")[0]
+    store.release()
+
+
+def test_parts_that_share_a_partition_stay_apart(spark, d1, monkeypatch):
+    """Where a partition holds several parts, every packed row still has one part, sorted by key."""
+    monkeypatch.setattr(layout, "part_names", lambda spark, tasks: [5] * (tasks // 2) + [6] * (tasks - tasks // 2))
+    monkeypatch.setattr(layout, "PACKED_ROWS", 500)
+    store = layout.RatingStore(d1)
+    store.tasks = 4
+    rows, seen = store.stored("user").collect(), 0
+    for r in rows:
+        key = np.frombuffer(r["key"], np.int64)
+        assert (key[1:] >= key[:-1]).all()
+        seen += len(key)
+    assert {r["part"] for r in rows} == {5, 6} and len(rows) < 60 and seen == d1.count()
+    store.release()
+
+
 def test_mllib_als_has_the_same_objective(d1):
     ours, theirs = als.fit_als(d1, k=4, iterations=15), als.fit_als_mllib(d1, k=4, iterations=15)
     assert abs(rmse(ours, d1) - rmse(theirs, d1)) < 0.02
