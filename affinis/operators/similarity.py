@@ -14,6 +14,10 @@ shared folder, and a task takes one block, reads the others one by one and keeps
 best k so far. What is written and sent then grows with the ratings alone. Blocks with few
 common items are compared through the pairs that share one.
 
+Where most users share no item, every pair of blocks costs reading them and little else, so
+blocks are wide: only pairs with a common item are formed, a run of rows at a time, and users
+without one are filled in at the end, by id, where a row has too few.
+
 Similarities are rounded to nine decimals before they are compared, so that
 ties are decided by id and not by the order of floating-point additions.
 """
@@ -29,7 +33,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinis.operators.layout import PACKED_ROWS, arrow_rows, cores, is_mounted, local_path, materialise
+from affinis.operators.layout import PACKED_ROWS, arrow_rows, cores, distinct, is_mounted, local_path, scratch_path
 from affinis.operators.normal import matrix
 
 # A tile of this many users squared takes 32 MB; bigger blocks mean fewer copies
@@ -38,12 +42,22 @@ BLOCK = 2048
 TILES_PER_TASK = 16
 # Up to so many blocks, rows are sent to every tile of their block.
 SENT_BLOCKS = 8
+# Users and ratings of a block where most users share no item, and from how many common items
+# of two users on, in the mean over all pairs, blocks are compared densely.
+WIDE_USERS, WIDE_RATINGS = 65_536, 1_500_000
+DENSE_ITEMS = 1 / 16
+# Bytes of a stored row group: about what a reader holds beside a block.
+STORED_BYTES = 8 << 20
 DECIMALS = 9
 _PAIRS_AT_ONCE = 2_000_000
+# Pairs formed at once between wide blocks, candidates that wait before the best are sorted, what is
+# sorted at once, and numbers of a dense array.
+_MET, _HELD, _SORTED, _CELLS = 500_000, 500_000, 500_000, 4_000_000
 
 LEFT, RIGHT = 0, 1
 USERS, RATINGS, TARGETS = 0, 1, 2
 NEIGHBOURS = "user bigint, neighbor bigint, sim double"
+RATERS = "user bigint, item bigint, rater bigint, sim double, rating double"
 
 
 def _expand(li: np.ndarray, n_right: np.ndarray, start_right: np.ndarray, item_of_left: np.ndarray):
@@ -242,16 +256,20 @@ def _run(mirror: bool, k: int | None, skip_self: bool, finish: str):
 
 
 class _Stored:
-    """Blocks written once: which files a block's pieces are in."""
+    """Blocks written once: which files a block's pieces are in. The users of a block come
+    first, so that its ratings name them by their place among these."""
 
     def __init__(self, rows: DataFrame, blocks: int, label: str):
         names = ["user", "item", "rating"]
 
         def pack(batches):
-            held, now, n = [], None, 0
+            held, now, n, ids, of = [], None, 0, [], None
 
             def out():
-                columns = [np.concatenate(c).tobytes() for c in zip(*held)]
+                columns = [np.concatenate(c) for c in zip(*held)]
+                if now[1] == RATINGS:
+                    columns[0] = np.searchsorted(np.concatenate(ids), columns[0])
+                columns = [c.tobytes() for c in columns]
                 return pa.RecordBatch.from_arrays(
                     [pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), *[pa.array([c], pa.binary()) for c in columns]],
                     names=["block", "phase", *names])
@@ -266,19 +284,25 @@ class _Stored:
                         held, n = [], 0
                     held.append([b.column(c).slice(lo, hi - lo).to_numpy() for c in names])
                     now, n = key, n + hi - lo
+                    if key[1] == USERS:
+                        ids, of = [*(ids if of == key[0] else []), held[-1][0]], key[0]
             if n:
                 yield out()
 
         arrow_rows(rows.sparkSession, 64)
         dealt = rows.select(_block("user", blocks).alias("block"), "phase", *names).repartition(
             max(1, min(blocks, 16 * cores(rows.sparkSession))), "block").sortWithinPartitions("block", "phase", "item", "user")
-        stored = materialise(dealt.mapInArrow(pack, "block int, phase int, user binary, item binary, rating binary"), label)
+        packed = dealt.mapInArrow(pack, "block int, phase int, user binary, item binary, rating binary")
+        path = scratch_path(rows.sparkSession, label)
+        packed.write.option("compression", "none").option("parquet.enable.dictionary", "false").option(
+            "parquet.block.size", str(STORED_BYTES)).option("parquet.block.size.row.check.min", "1").parquet(path)
+        stored = rows.sparkSession.read.schema(packed.schema).parquet(path)
         self.files: dict[int, str] = {}
         for r in stored.select("block", F.input_file_name().alias("file")).distinct().collect():
             self.files[r["block"]] = local_path(r["file"])
 
     def read(self, block: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """phase -> user, item, rating of a block, by item."""
+        """phase -> user, item, rating of a block, by item; of ratings, the user's place."""
         held: dict[int, list] = {}
         if block in self.files:
             with pq.ParquetFile(self.files[block], memory_map=True) as file:
@@ -287,30 +311,95 @@ class _Stored:
                 for group in range(file.num_row_groups):
                     n = file.metadata.row_group(group).num_rows
                     if (at[low:low + n] == block).any():
-                        table = file.read_row_group(group, use_threads=False).slice(0).filter(pa.array(at[low:low + n] == block))
-                        for row in table.to_pylist():
-                            held.setdefault(row["phase"], []).append(
-                                [np.frombuffer(row[c], t) for c, t in (("user", np.int64), ("item", np.int64), ("rating", np.float64))])
+                        table = file.read_row_group(group, use_threads=False)
+                        if not (at[low:low + n] == block).all():
+                            table = table.filter(pa.array(at[low:low + n] == block))
+                        for row, phase in enumerate(table.column("phase").to_pylist()):
+                            held.setdefault(phase, []).append([np.frombuffer(table.column(c)[row].as_buffer(), t) for c, t in (
+                                ("user", np.int64), ("item", np.int64), ("rating", np.float64))])
                     low += n
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return {p: tuple(np.concatenate(c) for c in zip(*held[p])) if p in held else none for p in (USERS, RATINGS, TARGETS)}
 
 
+def _grouped(item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values of a sorted column, where each starts and how often it comes."""
+    starts = np.flatnonzero(np.r_[True, item[1:] != item[:-1]]) if len(item) else np.zeros(0, np.int64)
+    return item[starts], starts, np.diff(np.r_[starts, len(item)])
+
+
 class _Side:
     """A block in memory: users in order, ratings by item, lengths of the rows."""
 
     def __init__(self, read):
-        self.ids = np.unique(read[USERS][0])
-        user, self.item, self.value = read[RATINGS]
-        self.row = np.searchsorted(self.ids, user)
+        self.ids = read[USERS][0]
+        row, self.item, self.value = read[RATINGS]
+        self.row = row.astype(np.int32)
         self.norm = np.sqrt(np.bincount(self.row, self.value * self.value, len(self.ids)))
         self.norm[self.norm == 0] = 1.0
         self.targets = read[TARGETS]
+        self.items, self.starts, self.n_of = _grouped(self.item)
+
+
+class _ByRow:
+    """The left block of many pairs of blocks in which few users share an item."""
+
+    def __init__(self, side: _Side):
+        self.ids, self.norm, self.items = side.ids, side.norm, side.items
+        order = np.argsort(side.row, kind="stable")
+        self.row, self.value = side.row[order].astype(np.int32), side.value[order]
+        self.what = np.repeat(np.arange(len(side.items), dtype=np.int32), side.n_of)[order]
+        self.edges = np.searchsorted(self.row, np.arange(len(self.ids) + 1))
+
+    def only(self, rows: np.ndarray) -> _ByRow:
+        """The same block with the ratings of ``rows`` alone."""
+        some = object.__new__(_ByRow)
+        some.ids, some.norm, some.items = self.ids, self.norm, self.items
+        wanted = np.zeros(len(self.ids), bool)
+        wanted[rows] = True
+        at = wanted[self.row]
+        some.row, some.value, some.what = self.row[at], self.value[at], self.what[at]
+        some.edges = np.searchsorted(some.row, np.arange(len(some.ids) + 1))
+        return some
+
+    def met(self, right: _Side) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """``low, high, rows, columns, dots``: the pairs with a common item of the rows from low
+        to high, by row. The runs of rows follow each other and cover the block."""
+        low, n = 0, len(self.ids)
+        if len(right.items) and len(self.items):
+            at = np.minimum(np.searchsorted(right.items, self.items), len(right.items) - 1)
+            here = right.items[at] == self.items
+            each, begin = np.where(here, right.n_of[at], 0).astype(np.int32), right.starts[at].astype(np.int32)
+            of_rating = each[self.what]
+            pairs = np.r_[0, np.cumsum(of_rating)][self.edges]  # before every row
+            shift = len(right.ids).bit_length()
+            while low < n:
+                # As many whole rows as are few pairs, and one at least.
+                high = max(low + 1, int(np.searchsorted(pairs, pairs[low] + _MET, side="right")) - 1)
+                total = int(pairs[high] - pairs[low])
+                entry = self.edges[low] + np.flatnonzero(of_rating[self.edges[low]:self.edges[high]])
+                rep, place = of_rating[entry], np.arange(total)
+                mine = np.repeat(entry, rep)
+                theirs = place + np.repeat(begin[self.what[entry]] - np.cumsum(rep) + rep, rep)
+                dots = self.value[mine] * right.value[theirs]
+                code = (self.row[mine].astype(np.int64) - low) << shift | right.row[theirs]
+                bits = total.bit_length()
+                # Sorted as one number with its place: numbers alone sort many times as fast as pairs.
+                code = np.sort(code << bits | place)
+                order, code = code & ((1 << bits) - 1), code >> bits
+                starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if total else place
+                code = code[starts]
+                dots = np.add.reduceat(dots[order], starts) if total else dots
+                yield low, high, (code >> shift) + low, code & ((1 << shift) - 1), dots
+                low = high
+        if low < n:
+            none = np.zeros(0, np.int64)
+            yield low, n, none, none, np.zeros(0)
 
 
 def _common(left: _Side, right: _Side):
     """Dense dot products of two blocks or, where few pairs share an item, ``rows, columns, dots``."""
-    items, starts, n_of = np.unique(left.item, return_index=True, return_counts=True)
+    items, starts, n_of = left.items, left.starts, left.n_of
     at = np.minimum(np.searchsorted(items, right.item), max(len(items) - 1, 0))
     hit = items[at] == right.item if len(items) else np.zeros(len(right.item), bool)
     at, col, val = at[hit], right.row[hit], right.value[hit]
@@ -332,7 +421,7 @@ def _common(left: _Side, right: _Side):
         return dot, None
     codes, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
     for i, j in _expand(at, n_of, starts, at):
-        code, inverse = np.unique(left.row[j] * len(right.ids) + col[i], return_inverse=True)
+        code, inverse = np.unique(left.row[j].astype(np.int64) * len(right.ids) + col[i], return_inverse=True)
         codes.append(code)
         sums.append(np.bincount(inverse, left.value[j] * val[i], len(code)))
     code, inverse = np.unique(np.concatenate(codes), return_inverse=True)
@@ -340,6 +429,23 @@ def _common(left: _Side, right: _Side):
     return None, (code // max(len(right.ids), 1), code % max(len(right.ids), 1), total)
 
 
+def _ordered(row: np.ndarray, sim: np.ndarray, ident: np.ndarray) -> np.ndarray:
+    """The order by row, then the larger similarity, then the smaller id."""
+    whole, scale = np.isfinite(sim), 10**DECIMALS
+    if not len(row) or row.max() >= 1 << 17 or np.abs(sim[whole]).max(initial=0) > 8000:
+        return np.lexsort((ident, -sim, row))
+    # Similarities have nine decimals: a row and one of them are a single number.
+    place = np.full(len(row), 1 << 44, np.int64)
+    place[whole] = -np.rint(sim[whole] * scale).astype(np.int64)
+    key = (row.astype(np.int64) << 45) + (place + (1 << 43))
+    order = np.argsort(key)
+    key = key[order]
+    same = key[1:] == key[:-1]
+    tied = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+    order[tied] = order[tied][np.lexsort((ident[order[tied]], key[tied]))]
+    return order
+
+
 class _Best:
     """The k best of every row so far: larger similarity first, then the smaller id."""
 
@@ -347,27 +453,56 @@ class _Best:
         self.k = k
         self.sim, self.id = np.full((rows, k), -np.inf), np.full((rows, k), np.iinfo(np.int64).max)
         self.value = np.zeros((rows, k))
+        self.least = self.sim[:, -1].copy()
+        self.held, self.n_held = [], 0
 
     def better(self, row, sim, ident):
         """Which of these would still enter."""
-        last = self.sim[row, -1]
+        last = self.least[row]
         return (sim > last) | ((sim == last) & (ident < self.id[row, -1]))
 
+    def hold(self, row, sim, ident, value=None) -> None:
+        """As ``offer``, of many together, at the latest when ``flush`` is called."""
+        ok = self.better(row, sim, ident) & np.isfinite(sim)
+        self.held.append([row[ok], sim[ok], ident[ok], np.zeros(int(ok.sum())) if value is None else value[ok]])
+        self.n_held += len(self.held[-1][0])
+        if self.n_held >= _HELD:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.n_held:
+            held, self.held, self.n_held = self.held, [], 0
+            self.offer(*[np.concatenate(c) for c in zip(*held)])
+
     def offer(self, row, sim, ident, value=None) -> None:
         ok = self.better(row, sim, ident) & np.isfinite(sim)
         if not ok.any():
             return
         row, sim, ident = row[ok], sim[ok], ident[ok]
         value = np.zeros(len(row)) if value is None else value[ok]
-        some = np.unique(row)
+        if len(row) > 1:
+            order = np.argsort(row, kind="stable")
+            row, sim, ident, value = row[order], sim[order], ident[order], value[order]
+        some, starts, n_of = _grouped(row)
+        edges, lo = starts + n_of + np.arange(1, len(some) + 1) * self.k, 0
+        while lo < len(some):
+            # A few rows at a time, with what they have and what is new.
+            done = edges[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(edges, done + _SORTED, side="right")))
+            first, last = starts[lo], starts[hi - 1] + n_of[hi - 1]
+            self._merge(some[lo:hi], np.repeat(np.arange(hi - lo), n_of[lo:hi]), sim[first:last], ident[first:last], value[first:last])
+            lo = hi
+
+    def _merge(self, some, place, sim, ident, value) -> None:
         row, sim, ident, value = (np.concatenate([old.ravel(), new]) for old, new in (
-            (np.repeat(some, self.k), row), (self.sim[some], sim), (self.id[some], ident), (self.value[some], value)))
-        order = np.lexsort((ident, -sim, row))
+            (np.repeat(np.arange(len(some)), self.k), place), (self.sim[some], sim), (self.id[some], ident), (self.value[some], value)))
+        order = _ordered(row, sim, ident)
         row = row[order]
         first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
         keep = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)])) < self.k
         order = order[keep]
         self.sim[some], self.id[some], self.value[some] = (c[order].reshape(len(some), self.k) for c in (sim, ident, value))
+        self.least[some] = self.sim[some, -1]
 
     def offer_dense(self, rows, sim, ids) -> None:
         """A row of similarities with ``ids`` (in order) for each of ``rows``."""
@@ -417,7 +552,7 @@ def _raters_of(left: _Side, right: _Side, best: _Best) -> None:
     sim = np.round(dot / np.outer(left.norm, right.norm), DECIMALS) + 0.0
     who, what, _ = left.targets
     asked = np.searchsorted(left.ids, who)
-    items, starts, n_of = np.unique(right.item, return_index=True, return_counts=True)
+    items, starts, n_of = right.items, right.starts, right.n_of
     at = np.minimum(np.searchsorted(items, what), max(len(items) - 1, 0))
     hit = np.flatnonzero(items[at] == what) if len(items) else np.zeros(0, np.int64)
     edges = np.flatnonzero(np.r_[True, at[hit][1:] != at[hit][:-1], True]) if len(hit) else np.zeros(1, np.int64)
@@ -432,8 +567,54 @@ def _raters_of(left: _Side, right: _Side, best: _Best) -> None:
         best.offer(rows[i], part[i, j], right.ids[right.row[raters[j]]], right.value[raters[j]])
 
 
-def _by_blocks(left: DataFrame, bl: int, right: DataFrame | None, b: int, k: int, skip_self: bool, finish: str) -> DataFrame:
-    """The best ``k`` over stored blocks: a task has one left block and a run of right ones."""
+def _nearest_met(left: _ByRow, right: _Side, best: _Best, skip_self: bool) -> None:
+    """Offers the users who share an item, unless their similarity is 0."""
+    for _, _, row, col, dot in left.met(right):
+        sim = dot / (left.norm[row] * right.norm[col])
+        high = np.flatnonzero(sim >= best.least[row] - 10.0**-DECIMALS)
+        row, col, sim = row[high], col[high], np.round(sim[high], DECIMALS) + 0.0
+        near = sim != 0
+        if skip_self:
+            near &= left.ids[row] != right.ids[col]
+        best.hold(row[near], sim[near], right.ids[col[near]])
+
+
+def _fill_zeros(left: _ByRow, right: _Side, best: _Best, skip_self: bool, wanted: np.ndarray) -> None:
+    """Offers ``wanted`` rows, in order, the first of the users at similarity 0. ``left`` has the
+    ratings of these rows alone."""
+    if not len(right.ids):
+        return
+    for low, high, row, col, dot in left.met(right):
+        rows = wanted[np.searchsorted(wanted, low):np.searchsorted(wanted, high)]
+        rows = rows[best.better(rows, np.zeros(len(rows)), right.ids[0])]
+        if not len(rows):
+            continue
+        near = np.round(dot / (left.norm[row] * right.norm[col]), DECIMALS) + 0.0 != 0
+        row, col = row[near], col[near]
+        n_near = np.bincount(row - low, minlength=high - low)
+        starts = np.cumsum(n_near) - n_near
+        # At most so many of the first users are no candidates; rows with many come first.
+        width = np.minimum(n_near[rows - low] + best.k + 1, len(right.ids))
+        order = np.argsort(-width, kind="stable")
+        rows, width, lo = rows[order], width[order], 0
+        while lo < len(rows):
+            some, wide = rows[lo:lo + max(1, _CELLS // int(width[lo]))], int(width[lo])
+            free = np.ones((len(some), wide), bool)
+            each = n_near[some - low]
+            at = np.repeat(np.arange(len(some)), each)
+            there = col[np.arange(len(at)) + np.repeat(starts[some - low] - np.cumsum(each) + each, each)]
+            free[at[there < wide], there[there < wide]] = False
+            if skip_self:
+                own = np.searchsorted(right.ids[:wide], left.ids[some])
+                same = np.flatnonzero(right.ids[:wide][np.minimum(own, wide - 1)] == left.ids[some])
+                free[same, own[same]] = False
+            i, j = np.nonzero(free & (np.cumsum(free, axis=1) <= best.k))
+            best.hold(some[i], np.zeros(len(i)), right.ids[j])
+            lo += len(some)
+
+
+def _by_blocks(left: DataFrame, bl: int, right: DataFrame | None, b: int, k: int, skip_self: bool, finish: str, wide: bool = False) -> DataFrame:
+    """The best ``k`` over stored blocks, with ranks: a task has one left block and a run of right ones."""
     spark = left.sparkSession
     mine = _Stored(left, bl, "left-blocks")
     theirs = mine if right is None else _Stored(right, b, "right-blocks")
@@ -446,21 +627,40 @@ def _by_blocks(left: DataFrame, bl: int, right: DataFrame | None, b: int, k: int
                 a, part = divmod(number, runs)
                 ours = _Side(mine.read(a))
                 best = _Best(len(ours.targets[0]) if raters else len(ours.ids), k)
-                for block in range(part, b, runs):
-                    other = _Side(theirs.read(block))
-                    if not len(ours.ids) or not len(other.ids):
-                        continue
-                    _raters_of(ours, other, best) if raters else _nearest_of(ours, other, best, skip_self)
+                others = lambda: (other for n in range(part, b, runs) if len((other := _Side(theirs.read(n))).ids))
+                if not len(ours.ids):
+                    continue
+                if raters:
+                    for other in others():
+                        _raters_of(ours, other, best)
+                elif wide:
+                    rows = _ByRow(ours)
+                    ours.row = ours.item = ours.value = None
+                    for other in others():
+                        _nearest_met(rows, other, best, skip_self)
+                    best.flush()
+                    short = np.flatnonzero(best.least <= 0)
+                    if len(short):
+                        rows = rows.only(short)
+                        for other in others():
+                            _fill_zeros(rows, other, best, skip_self, short)
+                            best.flush()
+                else:
+                    for other in others():
+                        _nearest_of(ours, other, best, skip_self)
                 keep = np.isfinite(best.sim).ravel()
-                rows = [np.repeat(c, k)[keep] for c in (ours.targets[:2] if raters else [ours.ids])]
+                keys = [np.repeat(c, k)[keep] for c in (ours.targets[:2] if raters else [ours.ids])]
                 values = [best.id.ravel()[keep], best.sim.ravel()[keep], *([best.value.ravel()[keep]] if raters else [])]
-                for lo in range(0, len(values[0]), 100_000):
+                rank = np.broadcast_to(np.arange(1, k + 1, dtype=np.int32), best.sim.shape).ravel()[keep]
+                for lo in range(0, len(rank), 100_000):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c[lo:lo + 100_000]) for c in (*rows, *values)],
-                        names=["user", "item", "rater", "sim", "rating"] if raters else ["user", "neighbor", "sim"])
+                        [pa.array(c[lo:lo + 100_000]) for c in (*keys, *values, rank)],
+                        names=["user", "item", "rater", "sim", "rating", "rank"] if raters else ["user", "neighbor", "sim", "rank"])
 
     tasks = spark.range(0, bl * runs, 1, bl * runs)
-    return tasks.mapInArrow(run, "user bigint, item bigint, rater bigint, sim double, rating double" if raters else NEIGHBOURS)
+    found = tasks.mapInArrow(run, (RATERS if raters else NEIGHBOURS) + ", rank int")
+    # One task saw all candidates of a row: its ranks are final.
+    return found if runs == 1 else _keep_best(found.drop("rank"), k, *(["item", "rater"] if raters else [None, "neighbor"]))
 
 
 def _is_shared(spark, bl: int, b: int) -> bool:
@@ -515,8 +715,21 @@ def _blocks_for(users: DataFrame, block: int) -> int:
     return max(1, math.ceil(n / block), min(spread, n // 64))
 
 
-def _keep_best(found: DataFrame, k: int) -> DataFrame:
-    best = Window.partitionBy("user").orderBy(F.desc("sim"), "neighbor")
+def _wide_blocks(users: DataFrame, ratings: DataFrame, block: int) -> int:
+    n, spread = users.count(), math.ceil(math.sqrt(2 * cores(users.sparkSession)))
+    return max(1, math.ceil(n / WIDE_USERS), math.ceil(ratings.count() / WIDE_RATINGS), min(spread, n // block))
+
+
+def _share_little(left: DataFrame, right: DataFrame) -> bool:
+    """Whether a user of ``left`` and one of ``right`` share few items, in the mean over all pairs."""
+    count = lambda df, name: df.groupBy("item").agg(F.count(F.lit(1)).cast("double").alias(name))
+    shared = count(left, "m").join(count(right, "n"), "item").agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0.0
+    pairs = left.select("user").distinct().count() * right.select("user").distinct().count()
+    return shared < DENSE_ITEMS * pairs
+
+
+def _keep_best(found: DataFrame, k: int, item: str | None = None, ident: str = "neighbor") -> DataFrame:
+    best = Window.partitionBy("user", *([item] if item else [])).orderBy(F.desc("sim"), ident)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
@@ -549,7 +762,9 @@ def top_neighbours(
     b = _blocks_for(users, block)
     everyone = _rows(USERS, users).unionByName(_rows(RATINGS, ratings))
     if queries is None and new_ratings is None and _is_shared(ratings.sparkSession, b, b):
-        return _keep_best(_by_blocks(everyone, b, None, b, k, True, "best"), k)
+        wide = _share_little(ratings, ratings)
+        b = _wide_blocks(users, ratings, block) if wide else b
+        return _by_blocks(everyone, b, None, b, k, True, "best", wide)
     if queries is None and new_ratings is None:
         found = _tiles(_both_sides(everyone, b), b * (b + 1) // 2).mapInArrow(
             _run(True, k, True, "best"), NEIGHBOURS)
@@ -562,7 +777,10 @@ def top_neighbours(
     bl = _blocks_for(ask, block)
     asking = _rows(USERS, ask).unionByName(_rows(RATINGS, left))
     if _is_shared(ratings.sparkSession, bl, b):
-        return _keep_best(_by_blocks(asking, bl, everyone, b, k, new_ratings is None, "best"), k)
+        wide = _share_little(left, ratings)
+        if wide:
+            bl, b = _wide_blocks(ask, left, block), _wide_blocks(users, ratings, block)
+        return _by_blocks(asking, bl, everyone, b, k, new_ratings is None, "best", wide)
     rows = _one_side(asking, LEFT, bl, b).unionByName(_one_side(everyone, RIGHT, b, bl))
     found = _tiles(rows, bl * b).mapInArrow(_run(False, k, new_ratings is None, "best"), NEIGHBOURS)
     return _keep_best(found, k)
@@ -579,13 +797,10 @@ def nearest_raters(pairs: DataFrame, ratings: DataFrame, k: int, block: int = BL
     )
     right = _rows(USERS, users).unionByName(_rows(RATINGS, ratings))
     if _is_shared(ratings.sparkSession, bl, b):
-        found = _by_blocks(left, bl, right, b, k, False, "raters")
-    else:
-        rows = _one_side(left, LEFT, bl, b).unionByName(_one_side(right.unionByName(_rows(TARGETS, ratings)), RIGHT, b, bl))
-        found = _tiles(rows, bl * b).mapInArrow(
-            _run(False, k, False, "raters"), "user bigint, item bigint, rater bigint, sim double, rating double")
-    best = Window.partitionBy("user", "item").orderBy(F.desc("sim"), "rater")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        return _by_blocks(left, bl, right, b, k, False, "raters")
+    rows = _one_side(left, LEFT, bl, b).unionByName(_one_side(right.unionByName(_rows(TARGETS, ratings)), RIGHT, b, bl))
+    found = _tiles(rows, bl * b).mapInArrow(_run(False, k, False, "raters"), RATERS)
+    return _keep_best(found, k, "item", "rater")
 
 
 def nearest_vectors(

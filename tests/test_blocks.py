@@ -35,6 +35,44 @@ def test_stored_blocks_find_the_same_neighbours(spark, monkeypatch, items):
     assert all(len(r) for r in stored)
 
 
+@pytest.mark.parametrize("items", [4, 40, 4000])
+def test_wide_blocks_form_only_pairs_with_a_common_item(spark, monkeypatch, items):
+    rng = np.random.default_rng(items)
+    pairs = sorted({(int(u), int(i)) for u, i in zip(rng.integers(0, 90, 700), rng.integers(0, items, 700))})
+    values = [-2.0, 0.0, 0.5, 2.0, 4.0]
+    rated = spark.createDataFrame([(u, i, float(rng.choice(values))) for u, i in pairs], "user bigint, item bigint, rating double").cache()
+    new = rated.where("user % 3 = 0").select((F.col("user") + 1000).alias("user"), "item", (F.col("rating") + 1).alias("rating"))
+    asked = rated.where("user % 5 = 1").select("user").unionAll(spark.createDataFrame([(5000,)], "user bigint"))
+
+    def results():
+        near = lambda **kw: rows_of(similarity.top_neighbours(rated, 6, block=9, **kw).select("user", "neighbor", "sim", "rank"), "user", "rank")
+        return near(), near(queries=asked), near(new_ratings=new)
+
+    def dense(*_):
+        raise AssertionError("a pair of blocks was compared densely")
+
+    with monkeypatch.context() as m:
+        m.setattr(similarity, "SENT_BLOCKS", 10**6)
+        sent = results()
+    monkeypatch.setattr(similarity, "DENSE_ITEMS", 10**6)
+    monkeypatch.setattr(similarity, "_nearest_of", dense)
+    for users, at_once, held, cells in ((65_536, 2_000_000, 1_000_000, 4_000_000), (30, 50, 100, 64)):
+        monkeypatch.setattr(similarity, "WIDE_USERS", users)
+        monkeypatch.setattr(similarity, "_MET", at_once)
+        monkeypatch.setattr(similarity, "_HELD", held)
+        monkeypatch.setattr(similarity, "_CELLS", cells)
+        assert results() == sent
+
+
+def test_the_order_of_the_best_is_that_of_three_keys():
+    rng = np.random.default_rng(8)
+    for scale in (1.0, 1e6):
+        row, ident = rng.integers(0, 50, 4000), rng.permutation(4000)
+        sim = np.round(rng.choice([-1.0, -0.25, 0.0, 0.123456789, 0.123456788, 1.0], 4000) * scale, 9)
+        sim[::7] = -np.inf
+        assert (similarity._ordered(row, sim, ident) == np.lexsort((ident, -sim, row))).all()
+
+
 @pytest.mark.parametrize("broken", [False, True])
 def test_pairwise_group_scores_shuffle_no_pairs(spark, d1, monkeypatch, broken):
     model = als.fit_als(d1, k=2, iterations=1)
