@@ -64,6 +64,33 @@ def test_wide_blocks_form_only_pairs_with_a_common_item(spark, monkeypatch, item
         assert results() == sent
 
 
+def test_a_tile_looks_up_only_raters_that_can_enter(monkeypatch):
+    """Requests of users with common items: most tiles pass without a look at the raters."""
+    rng = np.random.default_rng(7)
+    none = np.zeros(0, np.int64)
+
+    def side(low, n, asks):
+        row, item = np.nonzero(rng.random((n, 40)) < 0.5)
+        order = np.lexsort((row, item))
+        row, item = row[order], item[order]
+        value = rng.choice([-2.0, 0.1, 2.0, 4.0], len(row))
+        targets = (low + row, item, np.zeros(len(row))) if asks else (none, none, np.zeros(0))
+        return similarity._Side({similarity.USERS: (np.arange(low, low + n), none, none), similarity.RATINGS: (row, item, value), similarity.TARGETS: targets})
+
+    ours, others = side(0, 60, True), [side(1000 * t, 400, False) for t in range(1, 13)]
+    want, got, calls = similarity._Best(len(ours.row), 5), similarity._Best(len(ours.row), 5), []
+    for other in others:
+        similarity._raters_of(ours, other, want)
+    whole = similarity._raters_of
+    monkeypatch.setattr(similarity, "_raters_of", lambda *a: (calls.append(1), whole(*a)))
+    asked = similarity._Asked(ours)
+    for other in others:
+        asked.offer(other, got)
+        got.flush()
+    assert len(calls) < len(others) / 2
+    assert (got.id == want.id).all() and (got.sim == want.sim).all() and (got.value == want.value).all()
+
+
 def test_the_order_of_the_best_is_that_of_three_keys():
     rng = np.random.default_rng(8)
     for scale in (1.0, 1e6):
