@@ -23,6 +23,8 @@ from affinis.operators.normal import (
 MOVED_BYTES = 24
 # Ratings in one of its blocks, of 12 bytes while the block is built and 8 afterwards.
 BLOCK_RATINGS = 64_000_000
+# What a task of it may hold: factors as Java arrays, and ratings while they are sorted.
+HELD_BYTES = 512 << 20
 
 
 def _due(sweep: int, iterations: int, every: int) -> bool:
@@ -81,6 +83,26 @@ def mllib_blocks(spark: SparkSession, ratings: int, ids: int, k: int) -> int:
     return max(math.ceil(ratings / BLOCK_RATINGS), min(blocks, ratings * MOVED_BYTES // sent), 1)
 
 
+def held_by_block(blocks: int, ratings: int, users: int, items: int, k: int) -> float:
+    """Bytes of one of ``blocks`` blocks: its ratings, its factors and those that are sent to it,
+    of all ids with a rating in the block. Ratings are taken to be spread evenly."""
+    per_id, most = 4 * k + 24, max(users, items, 1)
+    missed = lambda ids: math.exp(ratings / max(ids, 1) * math.log1p(-1 / blocks)) if blocks > 1 else 0.0
+    sent = max(ids * (1 - missed(ids)) for ids in (users, items))
+    return (sent + most / blocks) * per_id + 24 * ratings / blocks
+
+
+def fitting_blocks(ratings: int, users: int, items: int, k: int) -> int:
+    """The fewest blocks that hold at most ``HELD_BYTES``."""
+    low, high = 0, 1
+    while held_by_block(high, ratings, users, items, k) > HELD_BYTES:
+        low, high = high, 2 * high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if held_by_block(middle, ratings, users, items, k) > HELD_BYTES else (low, middle)
+    return high
+
+
 def fit_als_mllib(
     ratings: DataFrame, k: int = 20, iterations: int = 40, lam: float = 0.1, seed: int = 42,
 ) -> FactorModel:
@@ -97,11 +119,14 @@ def fit_als_mllib(
     # Ratings without a user find no mean and are not in ``centred``.
     n, users, items = ratings.agg(
         F.count("user"), F.approx_count_distinct("user"), F.approx_count_distinct("item")).first()
-    blocks = mllib_blocks(spark, n, users + items, k)
+    blocks = max(mllib_blocks(spark, n, users + items, k), fitting_blocks(n, users, items, k))
+    # Large tables: blocks wait on disk, and the files of a sweep's sends go with that sweep.
+    large = blocks * (users + items) * (4 * k + 10) > ROUTED_BYTES
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch_path(spark, "als"))
     als = ALS(rank=k, maxIter=iterations, regParam=lam, seed=seed, userCol="item", itemCol="user",
-              ratingCol="rating", checkpointInterval=4, numUserBlocks=blocks, numItemBlocks=blocks)
+              ratingCol="rating", checkpointInterval=1 if large else 4, numUserBlocks=blocks, numItemBlocks=blocks,
+              intermediateStorageLevel="DISK_ONLY" if large else "MEMORY_AND_DISK")
     fitted = als.fit(centred.select(F.col("user").cast("int"), F.col("item").cast("int"), "rating"))
 
     def side(df: DataFrame, key: str) -> DataFrame:

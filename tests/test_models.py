@@ -213,6 +213,28 @@ def test_mllib_blocks_follow_what_they_send(d1, monkeypatch):
         assert als.mllib_blocks(d1.sparkSession, 1_000_000 * times, 58_000 * times, 20) == 4
 
 
+def test_mllib_blocks_hold_a_bounded_share(d1, monkeypatch):
+    """At 360 times the tables four blocks would each hold most factors of the other side and 54 million ratings."""
+    from pyspark.ml.recommendation import ALS
+
+    shape = lambda times: (600_000 * times, 15_000 * times, 20_000 * times)
+    assert als.held_by_block(4, *shape(360), 20) > 3 * als.HELD_BYTES
+    for times in (60, 360, 3600):
+        blocks = als.fitting_blocks(*shape(times), 20)
+        assert als.held_by_block(blocks, *shape(times), 20) <= als.HELD_BYTES < als.held_by_block(blocks - 1, *shape(times), 20)
+    assert als.fitting_blocks(*shape(1), 20) == als.fitting_blocks(1_000_000_000 // 100, 10_000, 1, 20) == 1
+    used, plain = [], ALS.fit
+    monkeypatch.setattr(ALS, "fit", lambda self, df: used.append(self) or plain(self, df))
+    monkeypatch.setattr(als, "ROUTED_BYTES", 0)
+    kept = als.fit_als_mllib(d1, k=4, iterations=2)
+    monkeypatch.setattr(als, "HELD_BYTES", 15_000)
+    als.fit_als_mllib(d1, k=4, iterations=1)
+    assert used[0].getIntermediateStorageLevel() == "DISK_ONLY" and used[0].getCheckpointInterval() == 1
+    assert used[1].getNumUserBlocks() == used[1].getNumItemBlocks() > used[0].getNumUserBlocks()
+    monkeypatch.undo()
+    assert kept.predict(d1).where("prediction is not null").count() == d1.count()
+
+
 def test_biased_and_tagged_als_beat_the_mean(d1, tags, mean_rmse):
     for model in (als.fit_als_biased(d1, k=4, iterations=4), als.fit_als3(d1, k=4, iterations=4),
                   als.fit_xals(d1, tags, N_TAGS, k=3, iterations=3), als.fit_wals(d1, k=4, iterations=4),
