@@ -1,11 +1,12 @@
 """Neighbours over stored blocks: the same rows as by sent tiles, of ratings dense, sparse, negative and tied."""
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from affinis.llm import spans
-from affinis.models import als
+from affinis.models import als, gradient
 from affinis.operators import layout, recommend, similarity, strata
 
 
@@ -163,6 +164,43 @@ def test_rounds_together_are_serial_steps():
             assert np.allclose(got, want, rtol=0, atol=1e-12)
 
 
+@pytest.mark.parametrize("mounted", [True, False])
+def test_a_stratum_reads_its_ratings_a_range_of_rounds_at_a_time(spark, monkeypatch, mounted):
+    """A task holds no more of a pair's ratings than a range, and takes the same steps."""
+    rng = np.random.default_rng(9)
+    pairs = rng.permutation(80 * 120)[:3000].tolist()
+    rated = spark.createDataFrame([(n // 120 * 7, n % 120 * 5, float(rng.integers(1, 6))) for n in pairs], "user bigint, item bigint, rating double").cache()
+
+    def fitted():
+        model = gradient.fit_sgd(rated, k=2, epochs=2, seed=3, blocks=2)
+        return rows_of(model.users, "user"), rows_of(model.items, "item"), model.params["intercept"]
+
+    want = fitted()
+    monkeypatch.setattr(strata, "RANGE_RATINGS", 100)
+    monkeypatch.setattr(strata, "HELD_RATINGS", 300)
+    monkeypatch.setattr(strata, "ID_ROWS", 16)
+    if mounted:
+        plain = strata.placed_steps
+
+        def few(users, items, a, *rest):
+            assert len(a) < 250, len(a)
+            plain(users, items, a, *rest)
+
+        monkeypatch.setattr(strata, "placed_steps", few)
+    else:
+        monkeypatch.setattr(strata, "is_mounted", lambda spark: False)
+    assert fitted() == want
+
+
+def test_packed_rows_are_row_groups_of_their_own(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(layout, "scratch_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(layout, "SHARED_ROWS", 20_000)
+    table = spark.range(0, 200_000, 1, 1).select(F.col("id").alias("item"), F.lit(0.0).alias("v"), F.array(*[F.rand(1)] * 60).alias("f"))
+    files = layout.shared_files(spark, layout.share_rows("item", table, 60))
+    groups = [pq.ParquetFile(f).metadata.row_group(g).num_rows for f in files for g in range(pq.ParquetFile(f).num_row_groups)]
+    assert sum(groups) > 10 and max(groups) <= 2
+
+
 def test_rounds_are_taken_together():
     rng = np.random.default_rng(6)
     n, m = 1500, 2000
